@@ -7,6 +7,7 @@ import importlib
 #: Module of each query.
 QUERIES = {
     "op2_token_files": "token_files",
+    "op7_near_dedup": "near_dedup",
 }
 
 
