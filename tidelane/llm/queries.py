@@ -8,6 +8,7 @@ import importlib
 QUERIES = {
     "op2_token_files": "token_files",
     "op7_near_dedup": "near_dedup",
+    "op9_secrets": "secrets",
     "op10_lattice": "lattice",
 }
 
