@@ -7,7 +7,9 @@ import importlib
 #: Module of each query.
 QUERIES = {
     "op2_token_files": "token_files",
+    "op6_shards": "shards",
     "op7_near_dedup": "near_dedup",
+    "op8_mix": "mixing",
     "op9_secrets": "secrets",
     "op10_lattice": "lattice",
 }
