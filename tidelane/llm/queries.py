@@ -7,6 +7,7 @@ import importlib
 #: Module of each query.
 QUERIES = {
     "op2_token_files": "token_files",
+    "op4_language": "language",
     "op6_shards": "shards",
     "op7_near_dedup": "near_dedup",
     "op8_mix": "mixing",
