@@ -8,6 +8,7 @@ import importlib
 QUERIES = {
     "op2_token_files": "token_files",
     "op4_language": "language",
+    "op5_quality": "quality",
     "op6_shards": "shards",
     "op7_near_dedup": "near_dedup",
     "op8_mix": "mixing",
