@@ -50,11 +50,13 @@ def test_empty(spark):
 
 def test_estimates_recover_accuracies():
     rng = np.random.default_rng(3)
-    n, true = 60000, np.array([0.95, 0.85, 0.7, 0.8, 0.65])
-    good = rng.random(n) < 0.7
-    right = rng.random((n, 5)) < true
-    votes = np.where(right == good[:, None], 1, -1) * (rng.random((n, 5)) < 0.8)
-    share, accuracy = Q.estimate(list(Counter(map(tuple, votes.tolist())).items()))
-    assert abs(share - 0.7) < 0.03 and np.abs(np.array(accuracy) - true).max() < 0.03
-    post = Q._posterior(votes, share, np.array(accuracy))
-    assert ((post >= 0.5) == good).mean() > 0.9
+    n, alarm = 60000, np.array([0.01, 0.02, 0.05, 0.03])
+    kind = rng.choice(5, n, p=[0.85, 0.08, 0.04, 0.02, 0.01])
+    rates = np.vstack([alarm, [[0.95, 0.3, 0.05, 0.03], [0.01, 0.9, 0.6, 0.03], [0.01, 0.02, 0.97, 0.5], [0.2, 0.02, 0.05, 0.9]]])
+    votes = np.where(rng.random((n, 4)) < rates[kind], -1, 1) * (rng.random((n, 4)) < 0.9)
+    found = Counter(map(tuple, votes.tolist()))
+    table = np.array(list(found))
+    shares, got = Q.estimate(table, np.array(list(found.values()), float), alarm)
+    assert abs(shares[0] - 0.85) < 0.04 and np.abs(got[0] - alarm).max() < 0.02 and got[1, 0] > 0.8
+    kept = Q.posterior(votes, shares, got)[:, 0] >= 0.5
+    assert kept[kind == 0].mean() > 0.97 and kept[kind == 1].mean() < 0.2

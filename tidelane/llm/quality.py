@@ -1,23 +1,23 @@
 """Operator 5: quality by weak supervision.
 
-The rules of _rules() read a document's measures and vote good (1), bad (-1) or abstain (0). Expectation
-maximisation takes the true quality as hidden and gives the share of good documents and each
-rule's accuracy where it votes; votes count as independent given the quality. Its input is the
-number of documents of each combination of votes (at most 3 to the number of rules, however many
+The rules of _rules() read a document's measures and vote good (1), bad (-1) or abstain (0).
+Expectation maximisation takes the true quality as hidden: a document is good, or fails in one of
+as many ways as there are rules (junk of one kind passes the rules made for other kinds). It gives
+the share of each, and each rule's accuracy in each: how often it calls good documents good, and
+documents of each failure bad. Votes count as independent given the quality. Rules state how often they
+may call a good document bad; that guess weighs as much as all documents do, so a rule counts as
+evidence by itself only where it speaks up clearly more often. The input is the number of
+documents of each combination of votes (at most 3 to the number of rules, however many
 documents), so all documents shape the estimates and the driver holds only that table. A document
 is kept if its posterior probability of being good is at least KEEP and it does not fail the base
 rule (fewer than 50 words, or over half of the words in repeated 3-word windows).
 
-Accuracies start at START and stay within BOUNDS: a rule is better than chance by assumption,
-which also settles which class is the good one.
-
 Nulls: a null text has no words and fails the base rule; a null doc_id is kept as it is. Repeated
 rows count as often as they stand; an empty table gives an empty result. Texts are read whole.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from tidelane.llm._shared import Scratch, ship, slices, table, word_codes
 
-START, BOUNDS, KEEP, ROUNDS = 0.75, (0.55, 0.99), 0.5, 200
+#: First guesses: the share of good documents; how often a rule calls bad its own failure, and others.
+START = (0.9, 0.9, 0.15)
+PRIOR, KEEP, ROUNDS = 2.0, 0.5, 200
 SYMBOLS = b"#*$%&|<>"
 MEASURES = [
     "n_words",
@@ -132,53 +134,54 @@ def _share(part: str, whole: str) -> Column:
 
 
 
-def _rules() -> list[tuple[str, Column, Column]]:
-    """Each rule: name, where it votes bad, where it votes good; otherwise it abstains."""
+def _rules() -> list[tuple[str, Column, Column, float]]:
+    """Each rule: name, where it votes bad, where it votes good, how often it may call a good document
+    bad. Elsewhere it abstains."""
     word = _share("word_chars", "n_words")
     symbols = _share("n_symbols", "n_words")
     dup, ends = _share("n_dup_lines", "n_lines"), _share("n_ends", "n_lines")
     repeat, distinct = _share("n_repeat_words", "n_words"), _share("n_distinct", "n_words")
     upper, digits = _share("n_upper", "n_letters"), _share("n_digits", "word_chars")
     letters = _share("n_letters", "word_chars")
-    many = F.col("n_words") >= 100
     return [
-        ("length", F.col("n_words") < 50, many),
-        ("word_length", (word < 2.5) | (word > 12), (word >= 3.5) & (word <= 9)),
-        ("symbols", symbols > 0.1, symbols <= 0.02),
-        ("repeated_lines", dup > 0.3, (dup <= 0.05) & (F.col("n_lines") >= 3)),
-        ("repeated_windows", repeat > 0.25, many & (repeat <= 0.05)),
-        ("upper", upper > 0.3, (upper > 0) & (upper <= 0.15)),
-        ("digits", digits > 0.2, digits <= 0.03),
-        ("letters", letters < 0.7, letters >= 0.9),
-        ("line_ends", many & (ends < 0.1), ends >= 0.5),
-        ("variety", (distinct < 0.2) & (F.col("n_words") <= 1000), many & (distinct >= 0.4)),
+        ("word_length", (word < 2.5) | (word > 12), (word >= 3.5) & (word <= 9), 0.02),
+        ("symbols", symbols > 0.1, symbols <= 0.02, 0.01),
+        ("repeated_lines", dup > 0.3, dup <= 0.05, 0.05),
+        ("repeated_windows", repeat > 0.3, repeat <= 0.1, 0.03),
+        ("upper", upper > 0.3, upper <= 0.15, 0.02),
+        ("digits", digits > 0.2, digits <= 0.03, 0.02),
+        ("letters", letters < 0.7, letters >= 0.9, 0.02),
+        ("line_ends", ends < 0.1, ends >= 0.5, 0.05),
+        ("variety", (distinct < 0.2) & (F.col("n_words") <= 1000), distinct >= 0.4, 0.05),
     ]
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[float]]:
-    """The share of good documents and the rules' accuracies, from votes and their numbers."""
-    if not patterns:
-        return 0.5, []
-    votes = np.array([p for p, _ in patterns], float)
-    n = np.array([c for _, c in patterns], float)
-    share, accuracy = 0.5, np.full(votes.shape[1], START)
+def estimate(votes: np.ndarray, n: np.ndarray, alarm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From combinations of votes, their numbers and the rules' expected false alarms: the shares of
+    good documents and of each failure, and each rule's rate of bad votes in each (row 0: good)."""
+    rules = votes.shape[1]
+    shares = np.array([START[0], *[(1 - START[0]) / rules] * rules])
+    rates = np.vstack([alarm, np.full((rules, rules), START[2]) + np.eye(rules) * (START[1] - START[2])])
+    start, total = rates.copy(), n.sum()
+    # The expected false alarms weigh as much as the documents; the other guesses weigh as a few.
+    weight = np.array([total, *[PRIOR] * rules])[:, None]
     for _ in range(ROUNDS):
-        good = _posterior(votes, share, accuracy)
-        new_share = float(np.clip((n * good).sum() / n.sum(), 0.01, 0.99))
-        right = (n[:, None] * ((votes > 0) * good[:, None] + (votes < 0) * (1 - good[:, None]))).sum(0)
-        cast = (n[:, None] * (votes != 0)).sum(0)
-        # One right vote in START of each rule's favour stands for the prior.
-        new = np.clip((right + START) / (cast + 1), *BOUNDS)
-        done = abs(new_share - share) + np.abs(new - accuracy).max() < 1e-9
-        share, accuracy = new_share, new
-        if done:
+        who = n[:, None] * posterior(votes, shares, rates)
+        new_shares = np.maximum(who.sum(0) / total, 1e-9)
+        new_rates = (who.T @ (votes < 0) + weight * start) / (who.T @ (votes != 0) + weight)
+        new_rates = np.clip(new_rates, 1e-4, 0.999)
+        moved = np.abs(new_shares - shares).max() + np.abs(new_rates - rates).max()
+        shares, rates = new_shares / new_shares.sum(), new_rates
+        if moved < 1e-9:
             break
-    return share, accuracy.tolist()
+    return shares, rates
 
 
-def _posterior(votes: np.ndarray, share: float, accuracy: np.ndarray) -> np.ndarray:
-    odds = math.log(share / (1 - share)) + votes @ np.log(accuracy / (1 - accuracy))
-    return 1 / (1 + np.exp(-odds))
+def posterior(votes: np.ndarray, shares: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """The probabilities of being good and of each failure, for each row of votes."""
+    like = np.log(shares) + (votes < 0) @ np.log(rates).T + (votes > 0) @ np.log(1 - rates).T
+    like = np.exp(like - like.max(1, keepdims=True))
+    return like / like.sum(1, keepdims=True)
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -192,22 +195,22 @@ def scored(docs: DataFrame) -> DataFrame:
     )
     rules = _rules()
     vote = lambda bad, good: F.when(bad, -1).when(good, 1).otherwise(0)
-    voted = rows.withColumn("votes", F.struct(*[vote(bad, good).alias(name) for name, bad, good in rules]))
-    found = voted.groupBy("votes").agg(F.count("*").alias("n")).collect()
-    patterns = sorted((tuple(r.votes), r.n) for r in found)
-    share, accuracy = estimate(patterns)
-    odds = F.lit(math.log(share / (1 - share)))
-    for (name, _, _), a in zip(rules, accuracy):
-        odds = odds + F.col("votes")[name] * math.log(a / (1 - a))
+    voted = rows.withColumn("votes", F.array(*[vote(bad, good) for _, bad, good, _ in rules]))
+    found = sorted((tuple(r.votes), r.n) for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect())
+    votes, n = np.array([v for v, _ in found]).reshape(-1, len(rules)), np.array([c for _, c in found], float)
+    shares, rates = estimate(votes, n, np.array([a for *_, a in rules])) if found else (None, None)
+    good = posterior(votes, shares, rates)[:, 0].tolist() if found else []
+    # A row for each combination of votes: at most 3 to the number of rules.
+    verdicts = spark.createDataFrame([(list(v), g) for (v, _), g in zip(found, good)], "votes array<int>, posterior double")
+    voted = voted.join(F.broadcast(verdicts), "votes")
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    posterior = 1 / (1 + F.exp(-odds))
     return voted.select(
         "doc_id",
         *MEASURES,
         base_failed.alias("base_failed"),
         "votes",
-        posterior.alias("posterior"),
-        (~base_failed & (posterior >= KEEP)).alias("kept"),
+        "posterior",
+        (~base_failed & (F.col("posterior") >= KEEP)).alias("kept"),
     )
 
 
