@@ -7,6 +7,7 @@ import importlib
 #: Module of each query.
 QUERIES = {
     "op2_token_files": "token_files",
+    "op3_word_pieces": "word_pieces",
     "op4_language": "language",
     "op5_quality": "quality",
     "op6_shards": "shards",
