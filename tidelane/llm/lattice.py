@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidelane.llm._shared import Scratch, ship, table
 from tidelane.llm.components import stars
-from tidelane.llm.near_dedup import _groups
+from tidelane.llm.near_dedup import _groups, forest
 
 TABLES, BLOCKS, PROBES, WIDTH = 8, 2, 4, 2.0
 #: Rows of one cell that are compared in one piece.
@@ -145,24 +145,6 @@ def _placed(tables: int, blocks: int, probes: int, width: float):
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Enough of the links to keep their nodes together."""
-    top: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while top.setdefault(x, x) != x:
-            top[x] = x = top[top[x]]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        p, q = find(x), find(y)
-        if p != q:
-            top[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
-
-
 def _met(blocks: int, probes: int, width: float, least: float):
     """Rows of one part of a cell, sorted by part -> counts (a, null, copies linked) and links (a, b, 0)."""
 
@@ -196,7 +178,7 @@ def _met(blocks: int, probes: int, width: float, least: float):
             # The product rounds by its blocking; the sum over each pair decides.
             sure = np.concatenate([(x[p[s : s + 65536]] * x[q[s : s + 65536]]).sum(1) for s in range(0, len(p), 65536)]) >= least
             p, q = p[sure], q[sure]
-            for u, v in _forest(rep[p], rep[q]):
+            for u, v in forest(rep[p], rep[q]):
                 a.append(u)
                 b.append(v)
                 n.append(0)

@@ -9,9 +9,10 @@ similarity.
 Links: documents of equal shingle sets are one class, so copies never meet each other. Classes
 whose sketches agree in all bins of a band are candidates. Each band's classes are first checked
 against the least of them on their full sets. Bands whose classes are then still in several
-components are compared between components, block by block; sketches rule out the clearly
-different, and full sets decide the rest. So no pair is lost that banding finds, and a large
-group of near copies costs about as many checks as it has members.
+components are compared between components, block by block, each pair in the first band that it
+shares: sketches rule out the clearly different, and the rest meet again with their texts, where
+full sets decide. So no pair is lost that banding finds, and no task puts out pairs: only rows
+of the cell, or links that join components.
 
 With BINS 128 in bands of BAND 4, a pair at similarity 0.8 shares no band with probability
 5e-8; the sketch estimate of a pair at 0.8 is below LEAST_ESTIMATE with probability about 1e-6.
@@ -133,6 +134,7 @@ def _bands(bins: int, band: int):
             yield pa.RecordBatch.from_pydict(
                 {
                     "band": pa.array(h.view(np.int64).ravel()),
+                    "number": pa.array(np.tile(np.arange(bins // band, dtype=np.int32), len(s))),
                     "rep": pa.array(np.repeat(batch.column("rep").to_numpy(), bins // band)),
                 }
             )
@@ -165,6 +167,27 @@ def _alike(size: int, percent: int):
     return run
 
 
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Enough of the links (a, b) to keep their nodes together."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = find(x), find(y)
+        if p != q:
+            top[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return out
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Runs of equal keys in rows that are sorted by key, whole even across batches."""
     rest: list[pa.RecordBatch] = []
@@ -185,45 +208,80 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def _across(bins: int, band: int, least: float):
-    """Rows (cell, side, rep, comp, sketch) sorted by cell -> pairs of other components that look alike."""
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the two sides of a cell, and whether a pair of them is to be compared here."""
+    side, rep, comp = (group.column(c).to_numpy() for c in ("side", "rep", "comp"))
+    left, right = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
+    ok = comp[left, None] != comp[None, right]
+    if (side == 0).any():
+        ok &= rep[left, None] < rep[None, right]
+    return left, right, ok
+
+
+def _hopeful(bins: int, band: int, least: float, percent: int):
+    """Rows of a cell, sorted by cell -> those in a pair whose sketches look alike and meet here first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
         for group in _groups(batches, "cell"):
-            side = group.column("side").to_numpy()
-            rep, comp = group.column("rep").to_numpy(), group.column("comp").to_numpy()
+            left, right, ok = _sides(group)
+            if not ok.any():
+                continue
+            n, number = group.column("n_shingles").to_numpy(), int(group.column("number")[0].as_py())
             s = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint32).reshape(-1, bins)
-            left = np.flatnonzero(side <= 1)
-            right = np.flatnonzero(side != 1)
-            own = bool((side == 0).any())
+            hit = np.zeros(len(s), bool)
             step = max(1, (1 << 22) // (len(right) * bins + 1))
             for i in range(0, len(left), step):
                 rows = left[i : i + step]
-                same = (s[rows, None, :] == s[None, right, :]).sum(2)
-                ok = (same >= least * bins) & (comp[rows, None] != comp[None, right])
-                if own:
-                    ok &= rep[rows, None] < rep[None, right]
-                x, y = np.nonzero(ok)
-                if len(x):
-                    p = np.stack([rep[rows[x]], rep[right[y]]])
-                    found.append(np.stack([p.min(0), p.max(0)]))
-        pairs = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+                same = s[rows, None, :] == s[None, right, :]
+                met = same.reshape(len(rows), len(right), bins // band, band).all(3)
+                good = ok[i : i + step] & (same.sum(2) >= least * bins) & (met.argmax(2) == number)
+                x, y = n[rows, None], n[None, right]
+                good &= np.minimum(x, y) * 100 >= percent * np.maximum(x, y)
+                hit[rows] |= good.any(1)
+                hit[right] |= good.any(0)
+            if hit.any():
+                kept = group.filter(pa.array(hit)).select(["cell", "side", "rep", "comp"])
+                yield from kept.combine_chunks().to_batches()
 
     return run
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
+def _exact(size: int, percent: int):
+    """Rows (cell, side, rep, comp, text) sorted by cell -> enough true links to join what belongs together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "cell"):
+            left, right, ok = _sides(group)
+            h, counts = shingle_sets(group.column("text").combine_chunks(), size)
+            row = np.repeat(np.arange(len(counts)), counts)
+            # Only shingles of several rows matter; they are taken some thousands at a time.
+            _, place, often = np.unique(h, return_inverse=True, return_counts=True)
+            shared = often > 1
+            place, row = (np.cumsum(shared) - 1)[place[shared[place]]], row[shared[place]]
+            both = np.zeros((len(left), len(right)), np.float32)
+            order = np.argsort(place, kind="stable")
+            place, row = place[order], row[order]
+            for start in range(0, int(shared.sum()), 4096):
+                i, j = np.searchsorted(place, [start, start + 4096])
+                m = np.zeros((len(counts), 4096), np.float32)
+                m[row[i:j], place[i:j] - start] = 1
+                both += m[left] @ m[right].T
+            both = both.astype(np.int64)
+            ok &= 100 * both >= percent * (counts[left, None] + counts[None, right] - both)
+            x, y = np.nonzero(ok)
+            if len(x):
+                rep = group.column("rep").to_numpy()
+                links = forest(rep[left[x]], rep[right[y]])
+                yield pa.RecordBatch.from_pydict({"a": [u for u, _ in links], "b": [v for _, v in links]}, _LINKS)
+
+    return run
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full shingle sets are alike enough."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = scratch.keep(docs.join(nodes, "doc_id", "left_semi"), "texts")
-    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    two = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    hits = two.select("a", "b", "text_a", "text_b").mapInArrow(_alike(size, percent), "a long, b long")
-    out = scratch.keep(hits, "links")
-    scratch.drop(texts)
-    return out
+    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    two = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    return two.select("a", "b", "text_a", "text_b").mapInArrow(_alike(size, percent), "a long, b long")
 
 
 def near_duplicates(
@@ -241,24 +299,28 @@ def near_duplicates(
     # several sets are tied together by links, below.
     reps = scratch.keep(
         features.where("set_id is not null and doc_id is not null")
-        .groupBy("set_id", "sketch")
+        .groupBy("set_id", "sketch", "n_shingles")
         .agg(F.min("doc_id").alias("rep")),
         "reps",
     )
-    bands = scratch.keep(reps.select("rep", "sketch").mapInArrow(_bands(bins, band), "band long, rep long"), "bands")
+    bands = scratch.keep(
+        reps.select("rep", "sketch").mapInArrow(_bands(bins, band), "band long, number int, rep long"), "bands"
+    )
     hubs = bands.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
-    shared = scratch.keep(bands.join(hubs.select("band", "hub"), "band"), "shared")
+    shared = scratch.keep(bands.join(hubs.select("band", "hub").hint("merge"), "band"), "shared")
     scratch.drop(bands)
-    texts = docs.where("doc_id is not null").withColumn("text", F.coalesce("text", F.lit("")))
-    checked = scratch.keep(
-        shared.where("hub < rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "checked"
+    # Every text that is compared below. Each way of joining is the same at every size.
+    texts = docs.where("doc_id is not null").join(
+        shared.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"
     )
-    links = _confirm(checked, texts, scratch, shingle, percent)
+    texts = scratch.keep(texts.where("text is not null").distinct(), "texts")
+    checked = shared.where("hub < rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    links = scratch.keep(_confirm(checked, texts, shingle, percent), "links")
     near = stars(links, scratch)
 
     # Bands still in several components: all pairs across components, block against block.
     placed = shared.join(near.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "band", "rep", F.coalesce("component", "rep").alias("comp")
+        "band", "number", "rep", F.coalesce("component", "rep").alias("comp")
     )
     placed = scratch.keep(placed, "placed")
     mixed = (
@@ -273,13 +335,17 @@ def near_duplicates(
         F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"),
         # 0: a block with itself; 1 and 2: the sides of two blocks
         F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
+        "number",
         "rep",
         "comp",
     )
-    wide = rows.join(reps.select("rep", "sketch"), "rep").repartition("cell").sortWithinPartitions("cell")
-    rest = wide.mapInArrow(_across(bins, band, LEAST_ESTIMATE), "a long, b long").distinct()
-    rest = scratch.keep(rest.join(checked, ["a", "b"], "left_anti"), "rest")
-    more = _confirm(rest, texts, scratch, shingle, percent)
+    wide = rows.join(reps.select("rep", "sketch", "n_shingles"), "rep").repartition("cell").sortWithinPartitions("cell")
+    hopeful = scratch.keep(
+        wide.mapInArrow(_hopeful(bins, band, LEAST_ESTIMATE, percent), "cell long, side int, rep long, comp long"), "hopeful"
+    )
+    full = hopeful.join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
+    full = full.repartition("cell").sortWithinPartitions("cell")
+    more = scratch.keep(full.mapInArrow(_exact(shingle, percent), "a long, b long"), "more")
 
     tied = (
         features.where("set_id is not null and doc_id is not null")
