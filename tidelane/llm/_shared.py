@@ -87,6 +87,16 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def many(self, keys: list, make_all) -> list:
+        """The values of distinct keys; make_all(missing keys) gives those of missing ones at once."""
+        missing = [k for k in keys if k not in self and k not in self.older]
+        if missing:
+            if len(self) + len(missing) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self.update(zip(missing, make_all(missing)))
+        return [self[k] for k in keys]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

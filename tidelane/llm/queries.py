@@ -6,6 +6,7 @@ import importlib
 
 #: Module of each query.
 QUERIES = {
+    "op1_sentence_pieces": "sentence_pieces",
     "op2_token_files": "token_files",
     "op3_word_pieces": "word_pieces",
     "op4_language": "language",
