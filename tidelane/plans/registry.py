@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "bars_1d"
+import importlib
+
+FLAGSHIP = "t01_portfolio_trail_1wk"
+MODULES = ["trend_queries"]
+
+
+def _all(kind: str) -> dict:
+    out: dict = {}
+    for module in MODULES:
+        out |= getattr(importlib.import_module(f"tidelane.plans.{module}"), kind)
+    return out
 
 
 def queries() -> dict:
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("SQL")
