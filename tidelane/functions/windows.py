@@ -6,24 +6,27 @@ and one sort. Missing values are null, never NaN.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BARS = Window.partitionBy("symbol").orderBy("bar_ts")
 
+def by_time() -> WindowSpec:
+    """A symbol's bars in order."""
+    return Window.partitionBy("symbol").orderBy("bar_ts")
 
-def frame(first: int, last: int = 0):
+
+def frame(first: int, last: int = 0) -> WindowSpec:
     """Rows from first to last, counted from the current one."""
-    return BARS.rowsBetween(first, last)
+    return by_time().rowsBetween(first, last)
 
 
-SO_FAR = BARS.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = BARS.rowsBetween(Window.unboundedPreceding, -1)
-WHOLE = Window.partitionBy("symbol")
+def so_far() -> WindowSpec:
+    """All rows up to the current one."""
+    return by_time().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def prior(column: str | Column, n: int = 1) -> Column:
-    return F.lag(column, n).over(BARS)
+    return F.lag(column, n).over(by_time())
 
 
 def full(value: Column, counted: Column | str, n: int, over) -> Column:
@@ -47,4 +50,4 @@ def rounded(column: Column, digits: int = 6) -> Column:
 
 
 def first_in_symbol(column: Column | str) -> Column:
-    return F.first(column).over(BARS.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return F.first(column).over(by_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

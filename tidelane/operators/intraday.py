@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidelane.functions.windows import div, flag, frame, full, prior
@@ -77,8 +77,9 @@ def labelled(bars: DataFrame, s: Session = Session()) -> DataFrame:
     return bars.withColumns({"local_minute": minute, "in_session": inside, "session_date": F.when(inside, date)})
 
 
-SESSION = Window.partitionBy("symbol", "session_date").orderBy("bar_ts")
-SO_FAR = SESSION.rowsBetween(Window.unboundedPreceding, 0)
+def in_session() -> WindowSpec:
+    """A session's bars in order."""
+    return Window.partitionBy("symbol", "session_date").orderBy("bar_ts")
 
 
 def analytics(bars: DataFrame, s: Session = Session(), c: Lab = Lab()) -> DataFrame:
@@ -108,17 +109,18 @@ def analytics(bars: DataFrame, s: Session = Session(), c: Lab = Lab()) -> DataFr
     days = Window.partitionBy("symbol").orderBy("session_date")
     sessions = sessions.withColumn("prior_close", F.lag("_close").over(days)).drop("_close")
     x = x.join(sessions, ["symbol", "session_date"], "left")
+    until_now = in_session().rowsBetween(Window.unboundedPreceding, 0)
     typical = (F.col("adj_high") + F.col("adj_low") + F.col("px")) / 3
-    x = x.withColumn("session_bar", inside(F.row_number().over(SESSION)))
+    x = x.withColumn("session_bar", inside(F.row_number().over(in_session())))
     early = F.col("session_bar") <= c.opening_bars
     x = x.withColumns(
         {
-            "vwap": inside(div(F.sum(typical * F.col("volume")).over(SO_FAR), F.sum("volume").over(SO_FAR))),
-            "session_high": inside(F.max("adj_high").over(SO_FAR)),
-            "session_low": inside(F.min("adj_low").over(SO_FAR)),
-            "session_drawdown": inside(F.col("px") / F.max("px").over(SO_FAR) - 1),
-            "or_high": inside(F.max(F.when(early, F.col("adj_high"))).over(SO_FAR)),
-            "or_low": inside(F.min(F.when(early, F.col("adj_low"))).over(SO_FAR)),
+            "vwap": inside(div(F.sum(typical * F.col("volume")).over(until_now), F.sum("volume").over(until_now))),
+            "session_high": inside(F.max("adj_high").over(until_now)),
+            "session_low": inside(F.min("adj_low").over(until_now)),
+            "session_drawdown": inside(F.col("px") / F.max("px").over(until_now) - 1),
+            "or_high": inside(F.max(F.when(early, F.col("adj_high"))).over(until_now)),
+            "or_low": inside(F.min(F.when(early, F.col("adj_low"))).over(until_now)),
             "or_final": flag(F.col("session_bar") >= c.opening_bars),
             "session_gap": div(F.col("session_open"), F.col("prior_close")) - 1,
             "session_ret": F.col("px") / F.col("session_open") - 1,

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.functions.windows import BARS, div, flag, frame, prior
+from tidelane.functions.windows import by_time, div, flag, frame, prior
 from tidelane.operators.trend import all_in_all_out
 from tidelane.sources.bars import adjusted
 

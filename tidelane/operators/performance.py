@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.functions.windows import BARS, SO_FAR, div, prior
+from tidelane.functions.windows import by_time, div, prior, so_far
 
 
 def periodicity(bars: DataFrame) -> DataFrame:
     """symbol -> gap_s (median seconds between bars), seven_days, bars_day, per_year, label."""
     gaps = bars.select("symbol", "bar_ts", (F.unix_micros(F.col("bar_ts").cast("timestamp")) / 1e6).alias("s"))
-    gaps = gaps.withColumn("gap", F.col("s") - F.lag("s").over(BARS))
+    gaps = gaps.withColumn("gap", F.col("s") - F.lag("s").over(by_time()))
     by_day = gaps.groupBy("symbol", F.to_date("bar_ts").alias("day")).agg(F.count("*").alias("n"))
     days = by_day.groupBy("symbol").agg(
         F.percentile(F.when(F.col("n") > 1, F.col("n")), 0.5).alias("typical"),
@@ -34,7 +34,7 @@ def periodicity(bars: DataFrame) -> DataFrame:
 
 
 def drawdown(value: str) -> Column:
-    return F.col(value) / F.max(value).over(SO_FAR) - 1
+    return F.col(value) / F.max(value).over(so_far()) - 1
 
 
 def summary(path: DataFrame, capital: float = 100_000.0) -> DataFrame:
@@ -84,7 +84,7 @@ def summary(path: DataFrame, capital: float = 100_000.0) -> DataFrame:
 
 def trades(path: DataFrame) -> DataFrame:
     """Each purchase with the sale that follows; the open one is marked to the last close."""
-    number = F.sum("first_buy").over(SO_FAR)
+    number = F.sum("first_buy").over(so_far())
     x = path.withColumn("trade", number).where("trade > 0")
     out = x.groupBy("symbol", "trade").agg(
         F.min("bar_ts").alias("entry_ts"),
@@ -124,7 +124,7 @@ def cash_regimes(path: DataFrame) -> DataFrame:
     """Each unbroken run of bars without shares."""
     is_cash = F.col("shares") <= 0
     starts = F.coalesce(is_cash != prior(is_cash), F.lit(True)).cast("int")
-    x = path.withColumn("start", starts).withColumn("run", F.sum("start").over(SO_FAR)).where(is_cash)
+    x = path.withColumn("start", starts).withColumn("run", F.sum("start").over(so_far())).where(is_cash)
     out = x.groupBy("symbol", "run").agg(
         F.min("bar_ts").alias("start_ts"),
         F.max("bar_ts").alias("end_ts"),

@@ -13,7 +13,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.functions.windows import BARS, frame, full, prior
+from tidelane.functions.windows import by_time, frame, full, prior
 
 
 @dataclass(frozen=True)

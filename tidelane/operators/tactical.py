@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.functions.windows import BARS, SO_FAR, div, first_in_symbol, flag, frame, full, prior
+from tidelane.functions.windows import by_time, div, first_in_symbol, flag, frame, full, prior, so_far
 from tidelane.operators.kernel import crosses_above, crosses_below
 
 
@@ -117,7 +117,7 @@ def decisions(x: DataFrame, c: Tactical = Tactical()) -> DataFrame:
     target, below = F.lit(0.0), 0.0
     for tier in TIERS:
         touched = F.when(F.col("cap") < tier, 0).when(F.col("floor") >= tier, 1)
-        on = F.coalesce(F.last(touched, ignorenulls=True).over(SO_FAR), F.lit(int(c.start >= tier)))
+        on = F.coalesce(F.last(touched, ignorenulls=True).over(so_far()), F.lit(int(c.start >= tier)))
         target, below = target + on * (tier - below), tier
     x = x.withColumn("target", target)
     before = F.coalesce(prior("target"), F.lit(c.start))
@@ -143,15 +143,15 @@ def execution(x: DataFrame, c: Tactical = Tactical()) -> DataFrame:
     """
     first = prior("px").isNull()
     trades = first | (F.col("change") != 0)
-    days = (F.unix_micros(F.col("bar_ts").cast("timestamp")) - F.first(F.unix_micros(F.col("bar_ts").cast("timestamp"))).over(SO_FAR)) / 86_400e6
+    days = (F.unix_micros(F.col("bar_ts").cast("timestamp")) - F.first(F.unix_micros(F.col("bar_ts").cast("timestamp"))).over(so_far())) / 86_400e6
     # The growth of cash from the first bar on.
     x = x.withColumns({"trades": trades, "growth": F.pow(F.lit(1 + c.cash_rate), days / 365)})
     fill = F.when(first, F.col("px")).otherwise(F.col("adj_open"))
-    x = x.withColumn("_last", F.last(F.when(F.col("trades"), F.struct(fill.alias("price"), "growth", "target")), ignorenulls=True).over(SO_FAR))
+    x = x.withColumn("_last", F.last(F.when(F.col("trades"), F.struct(fill.alias("price"), "growth", "target")), ignorenulls=True).over(so_far()))
     held = prior("_last")
     factor = held["target"] * F.col("adj_open") / held["price"] + (1 - held["target"]) * F.col("growth") / held["growth"]
     x = x.withColumn("_log", F.when(F.col("trades") & ~first, F.ln(factor)).otherwise(0.0))
-    wealth = c.capital * F.exp(F.sum("_log").over(SO_FAR))
+    wealth = c.capital * F.exp(F.sum("_log").over(so_far()))
     now = F.col("_last")
     x = x.withColumns(
         {
@@ -192,5 +192,5 @@ def rule_table(x: DataFrame, c: Tactical = Tactical()) -> DataFrame:
 
 def action_ledger(x: DataFrame) -> DataFrame:
     """Bars where the target changes, latest first within a symbol."""
-    n = F.row_number().over(BARS)
+    n = F.row_number().over(by_time())
     return x.withColumn("n", n).where("n > 1 and change <> 0").select("symbol", "bar_ts", "rule", "action", "target", "change", "adj_open")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.functions.windows import BARS, BEFORE, SO_FAR, first_in_symbol, flag, frame, prior
+from tidelane.functions.windows import by_time, first_in_symbol, flag, frame, prior, so_far
 from tidelane.sources.bars import adjusted
 
 
@@ -35,7 +35,7 @@ class Trend:
 
 def signals(bars: DataFrame, c: Trend = Trend()) -> DataFrame:
     """bars with adjusted prices, return, range, stops, entry level and signal (buy, sell or empty)."""
-    x = adjusted(bars).withColumn("i", F.row_number().over(BARS) - 1)
+    x = adjusted(bars).withColumn("i", F.row_number().over(by_time()) - 1)
     old = prior("px")
     x = x.withColumns(
         {
@@ -60,7 +60,7 @@ def signals(bars: DataFrame, c: Trend = Trend()) -> DataFrame:
     )
     x = x.withColumn("buys", flag(prior("px") >= prior("max_price")))
     # The trailing stop starts with the first level and rises on buying bars only.
-    x = x.withColumn("trail", F.max(F.when((F.col("i") == 1) | F.col("buys"), F.col("atr_stop"))).over(SO_FAR))
+    x = x.withColumn("trail", F.max(F.when((F.col("i") == 1) | F.col("buys"), F.col("atr_stop"))).over(so_far()))
     stop = {"atr": "atr_stop", "band": "lower_band", "trailing": "trail"}[c.stop]
     sells = ~F.col("buys") & flag(prior("px") <= prior(stop))
     return x.withColumn("signal", F.when(F.col("buys"), "BUY").when(sells, "SELL").otherwise(""))
@@ -69,7 +69,7 @@ def signals(bars: DataFrame, c: Trend = Trend()) -> DataFrame:
 def all_in_all_out(x: DataFrame, capital: float) -> DataFrame:
     """x (signal, adj_open, px) with first_buy, first_sell, shares, cash, portfolio, buy_hold, exposure."""
     held = F.last(F.when(F.col("signal") == "BUY", 1).when(F.col("signal") == "SELL", 0), ignorenulls=True)
-    x = x.withColumn("held", F.coalesce(held.over(SO_FAR), F.lit(0)))
+    x = x.withColumn("held", F.coalesce(held.over(so_far()), F.lit(0)))
     was = F.coalesce(prior("held"), F.lit(0))
     x = x.withColumns(
         {
@@ -79,7 +79,7 @@ def all_in_all_out(x: DataFrame, capital: float) -> DataFrame:
     )
     price = F.ln("adj_open")
     gain = F.when(F.col("first_sell") == 1, price).when(F.col("first_buy") == 1, -price).otherwise(0.0)
-    wealth = capital * F.exp(F.sum(gain).over(SO_FAR))
+    wealth = capital * F.exp(F.sum(gain).over(so_far()))
     x = x.withColumns(
         {
             "shares": F.when(F.col("held") == 1, wealth).otherwise(0.0),

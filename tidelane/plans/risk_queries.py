@@ -7,7 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.functions.windows import BARS, prior as lagged
+from tidelane.functions.windows import by_time, prior as lagged
 from tidelane.operators import checks, performance, risk
 from tidelane.plans.oracle import W, define, full, prior, r, rows, sql
 from tidelane.plans.trend_queries import path, shown, shown_sql
@@ -94,7 +94,7 @@ _FAULT = """
 
 
 def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = bars.load(spark, sf_dir, "1d").withColumn("i", F.row_number().over(BARS) - 1)
+    numbered = bars.load(spark, sf_dir, "1d").withColumn("i", F.row_number().over(by_time()) - 1)
     return spark.sql(_FAULT.format("{b}"), b=numbered)
 
 
@@ -123,7 +123,7 @@ _ROUTES = """
 
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = bars.load(spark, sf_dir, "1wk").withColumn("i", F.row_number().over(BARS) - 1)
+    numbered = bars.load(spark, sf_dir, "1wk").withColumn("i", F.row_number().over(by_time()) - 1)
     return spark.sql(_ROUTES.format("{b}"), b=numbered)
 
 
