@@ -107,9 +107,13 @@ def u32(column) -> F.Column:
     return F.crc32(F.coalesce(column, F.lit("")).cast("binary"))
 
 
-def slices(texts, most: int = 1 << 24):
-    """(first, after) of runs of an Arrow string array of about most bytes each; a longer text is alone."""
+def slices(texts, most: int = 1 << 22):
+    """(first, after) of runs of an Arrow string array of about most bytes each; a longer text is alone.
+
+    Then gives the memory of freed buffers back to the system: several such processes share a machine.
+    """
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     size = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -121,6 +125,19 @@ def slices(texts, most: int = 1 << 24):
         total += s
     if first < len(size):
         yield first, len(size)
+    pa.default_memory_pool().release_unused()
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system, at the end of a task that held much."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass  # a C library without it
 
 
 def word_codes(texts):

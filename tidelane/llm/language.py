@@ -120,7 +120,7 @@ def clusters(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12)
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in slices(batch.column("text"), 1 << 22):
+        for a, b in slices(batch.column("text"), 1 << 20):
             for i in range(a, b, 256):
                 part = batch.slice(i, min(256, b - i))
                 x, n = counts([t or "" for t in part.column("text").to_pylist()])
@@ -179,7 +179,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column("text"), 1 << 22):
+            for a, b in slices(batch.column("text"), 1 << 20):
                 for i in range(a, b, 256):
                     part = batch.slice(i, min(256, b - i))
                     lang, score, rejected = model.predict([t or "" for t in part.column("text").to_pylist()])

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from array import array
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from tidelane.llm._shared import Memo, ship, slices, spread, table, u32
+from tidelane.llm._shared import Memo, give_back, ship, slices, spread, table, u32
 
 MARK = "▁"
 #: A unit that stands for a literal mark in the text (no text of an Arrow string holds it).
@@ -50,6 +51,50 @@ _UNITS = re.compile(f"{MARK}+[^{MARK}\n{LITERAL}]*|[^{MARK}\n{LITERAL}]+|\n|{LIT
 ODD = rf"\x00|  |^ |{MARK}"
 
 
+class Spelling:
+    """What each id of a model stands for, as bytes: all that decoding needs."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.kind = np.dtype("<u2") if sp.get_piece_size() <= 1 << 16 else np.dtype("<u4")
+        shown = [self._shown(sp, i) for i in range(sp.get_piece_size())]
+        self.shown = np.frombuffer(b"".join(shown), np.uint8)
+        self.shown_sizes = np.array([len(s) for s in shown])
+
+    @staticmethod
+    def _shown(sp, i: int) -> bytes:
+        if sp.is_byte(i):
+            return bytes([int(sp.id_to_piece(i)[3:5], 16)])
+        if sp.is_unknown(i):
+            return " ⁇ ".encode()
+        return b"" if sp.is_control(i) or sp.is_unused(i) else sp.id_to_piece(i).replace(MARK, " ").encode()
+
+    def decode(self, codes: pa.Array) -> pa.Array:
+        """Texts of binary ids."""
+        raw = [c.as_buffer() if c.is_valid else b"" for c in codes]
+        sizes = np.array([len(r) for r in raw], np.int64) // self.kind.itemsize
+        ids = np.frombuffer(b"".join(raw), self.kind).astype(np.int64)
+        shown = self.shown[spread(self.shown_sizes, ids)] if len(ids) else np.zeros(0, np.uint8)
+        at = np.concatenate([[0], np.cumsum(self.shown_sizes[ids])])[np.concatenate([[0], np.cumsum(sizes)])]
+        # The mark before the text is not part of it.
+        flat = shown.tobytes()
+        out = [flat[a:b].removeprefix(b" ").decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        return pa.array(out, pa.string())
+
+
+def _entry(unit: tuple[bytes, float, float]) -> bytes:
+    ids, score, gap = unit
+    return struct.pack("<dd", score, gap) + ids
+
+
+def _entries(found: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Ids, scores and losses of entries."""
+    numbers = np.frombuffer(b"".join([f[:16] for f in found]), "<f8").reshape(-1, 2)
+    return [f[16:] for f in found], numbers[:, 0], numbers[:, 1]
+
+
 class Pieces:
     """A model's lattice, by units."""
 
@@ -59,46 +104,34 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.get_piece_size()
         self.kind, self.code = (np.dtype("<u2"), "H") if size <= 1 << 16 else (np.dtype("<u4"), "I")
-        self.root: dict = {}
+        self.pieces: dict[str, tuple[int, float]] = {}
         self.bytes: dict[int, int] = {}
         self.unknown_id = sp.unk_id()
-        shown: list[bytes] = []
         least = 0.0
         for i in range(size):
             piece, score = sp.id_to_piece(i), sp.get_score(i)
             if sp.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
-                shown.append(bytes([int(piece[3:5], 16)]))
-            elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
-                shown.append(" ⁇ ".encode() if sp.is_unknown(i) else b"")
-            else:
+            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 if "\n" in piece or MARK in piece.lstrip(MARK):
                     raise ValueError(f"piece {piece!r} crosses the bounds of units")
-                shown.append(piece.replace(MARK, " ").encode())
-                node = self.root
-                for c in piece[:-1]:
-                    node = node.setdefault(c, [{}, -1, 0.0])[0]
-                node.setdefault(piece[-1], [{}, -1, 0.0])[1:] = [i, score]
+                self.pieces[piece] = (i, score)
                 # Scores of pieces that are there only to be spelled out don't count.
                 least = min(least, score) if score > -1e8 else least
         self.unknown = least - UNKNOWN_PENALTY
-        self.shown = np.frombuffer(b"".join(shown), np.uint8)
-        self.shown_sizes = np.array([len(s) for s in shown])
+        self.longest = max(map(len, self.pieces), default=1)
         self._tables()
-        self.units = Memo(self._unit, 500_000)
-        self.lists = Memo(lambda key: self.n_best(*key), 50_000)
+        # A unit's entry is one run of bytes: its score, the loss of its second best, its ids.
+        self.units = Memo(lambda unit: _entry(self._unit(unit)), 100_000)
+        self.lists = Memo(lambda key: self.n_best(*key), 20_000)
 
     def _edges(self, unit: str, i: int) -> list[tuple[int, int, float]]:
         """(end, id, score) of the pieces that start at i; id -1: the character in bytes."""
-        out, node, alone = [], self.root, False
-        for j in range(i, len(unit)):
-            found = node.get(unit[j])
-            if found is None:
-                break
-            node, piece, score = found
-            if piece >= 0:
-                out.append((j + 1, piece, score))
-                alone |= j == i
+        out, alone = [], False
+        for j in range(i + 1, min(len(unit), i + self.longest) + 1):
+            if found := self.pieces.get(unit[i:j]):
+                out.append((j, *found))
+                alone |= j == i + 1
         if not alone:
             out.append((i + 1, -1, self.unknown))
         return out
@@ -149,33 +182,22 @@ class Pieces:
         return self._ids(unit, path), ahead[n], ahead[n] - second
 
     def _tables(self) -> None:
-        """The trie's part over frequent characters as arrays: next node, piece and score by node."""
-        chars = sorted({c for c in self._trie_chars() if ord(c) < COMMON} | {MARK})
+        """The trie of the pieces of frequent characters as arrays: next node, piece and score by node."""
+        own = [p for p in self.pieces if max(p.replace(MARK, "") or " ") < chr(COMMON)]
+        chars = sorted({c for p in own for c in p} | {MARK})
         self.place = np.full(ord(MARK) + 1, -1, np.int32)
         self.place[[ord(c) for c in chars]] = np.arange(len(chars))
-        rows, level, nodes = [], [self.root], 1
-        piece, score = [-1], [0.0]
-        while level:
-            below = []
-            for node in level:
-                row = np.zeros(len(chars), np.int32)
-                for c, (child, i, s) in node.items():
-                    if ord(c) <= ord(MARK) and (at := self.place[ord(c)]) >= 0:
-                        row[at] = nodes
-                        nodes += 1
-                        piece.append(i)
-                        score.append(s)
-                        below.append(child)
-                rows.append(row)
-            level = below
-        self.next, self.piece, self.score = np.stack(rows), np.array(piece, np.int32), np.array(score)
-
-    def _trie_chars(self) -> set[str]:
-        out, level = set(), [self.root]
-        while level:
-            out.update(*level)
-            level = [v[0] for node in level for v in node.values()]
-        return out
+        node = {"": 0}
+        for p in own:
+            for k in range(1, len(p) + 1):
+                node.setdefault(p[:k], len(node))
+        self.next = np.zeros((len(node), len(chars)), np.uint16 if len(node) <= 1 << 16 else np.int32)
+        self.piece, self.score = np.full(len(node), -1, np.int32), np.zeros(len(node))
+        for p, n in node.items():
+            if p:
+                self.next[node[p[:-1]], self.place[ord(p[-1])]] = n
+            if p in self.pieces:
+                self.piece[n], self.score[n] = self.pieces[p]
 
     def _all_units(self, units: list[str]) -> list[tuple[bytes, float, float]]:
         """_unit() of many units, column by column for those of frequent characters and moderate length."""
@@ -187,8 +209,8 @@ class Pieces:
         plain[row[code < 0]] = False
         mine = np.flatnonzero(plain)
         out: list = [None] * len(units)
-        for start in range(0, len(mine), 1 << 15):
-            own = mine[start : start + (1 << 15)]
+        for start in range(0, len(mine), 1 << 13):
+            own = mine[start : start + (1 << 13)]
             self._columns(units, own, sizes[own], code[plain[row] & (row >= own[0]) & (row <= own[-1])], out)
         for i in np.flatnonzero(~plain):
             out[i] = self._unit(units[i])
@@ -298,14 +320,12 @@ class Pieces:
         coded = parts.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
         names = coded.dictionary.to_pylist()
-        found = self.units.many(names, self._all_units)
-        ids = [f[0] for f in found]
-        scores, gaps = (np.array([f[k] for f in found], float) for k in (1, 2))
+        found = self.units.many(names, lambda missing: map(_entry, self._all_units(missing)))
+        ids, scores, gaps = _entries(found)
         for t, is_odd in enumerate(odd.to_pylist()):
             if is_odd:
                 units = self.split(texts[t].as_py())
-                own = [self.units[u] for u in units]
-                yield self._text(units, [f[0] for f in own], np.array([f[1] for f in own]), np.array([f[2] for f in own]), n_best)
+                yield self._text(units, *_entries([self.units[u] for u in units]), n_best)
             else:
                 c = codes[edges[t] : edges[t + 1]]
                 yield self._text(c, ids, scores, gaps, n_best, names)
@@ -340,18 +360,6 @@ class Pieces:
             out.append((total - loss, b"".join(changed)))
         return best, total, out
 
-    def decode(self, codes: pa.Array) -> pa.Array:
-        """Texts of binary ids."""
-        raw = [c.as_buffer() if c.is_valid else b"" for c in codes]
-        sizes = np.array([len(r) for r in raw], np.int64) // self.kind.itemsize
-        ids = np.frombuffer(b"".join(raw), self.kind).astype(np.int64)
-        shown = self.shown[spread(self.shown_sizes, ids)] if len(ids) else np.zeros(0, np.uint8)
-        at = np.concatenate([[0], np.cumsum(self.shown_sizes[ids])])[np.concatenate([[0], np.cumsum(sizes)])]
-        # The mark before the text is not part of it.
-        flat = shown.tobytes()
-        out = [flat[a:b].removeprefix(b" ").decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-        return pa.array(out, pa.string())
-
 
 _models: dict[str, Pieces] = {}
 
@@ -362,19 +370,40 @@ def pieces(path: str) -> Pieces:
     return _models[path]
 
 
+_spellings: dict[str, Spelling] = {}
+
+
+def spelling(path: str) -> Spelling:
+    if path not in _spellings:
+        _spellings[path] = Spelling(path)
+    return _spellings[path]
+
+
 _NEW = ("ids", "n_ids", "score", "n_best")
 _N_BEST = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.binary())]))
 
 
-def encoded(docs: DataFrame, model: str, n_best: int = 1) -> DataFrame:
-    """docs (text, other columns) with ids, n_ids, score and n_best (score, ids), best first; without text."""
+def encoded(docs: DataFrame, model: str, n_best: int = 1, decode: bool = False) -> DataFrame:
+    """docs (text, other columns) with ids, n_ids, score and n_best (score, ids), best first.
+
+    Without text, or, with decode, with the text that the ids decode to, made in the same pass.
+    """
     ship(docs.sparkSession)
     own = [c for c in docs.columns if c not in _NEW]
     docs = docs.select(*own)
     rest = [c for c in own if c != "text"]
 
+    names = [*rest, *_NEW, *["text"] * decode]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(model)
+        try:
+            yield from work(batches)
+        finally:
+            _models.clear()
+            give_back()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, spelled = pieces(model), spelling(model)
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 rows = p.encode(batch.column("text").slice(a, b - a), n_best)
@@ -383,21 +412,21 @@ def encoded(docs: DataFrame, model: str, n_best: int = 1) -> DataFrame:
                     part = batch.slice(i, min(256, b - i))
                     got = [next(rows) for _ in range(part.num_rows)]
                     ids = [g[0] for g in got]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *[part.column(c) for c in rest],
-                            pa.array(ids, pa.binary()),
-                            pa.array([len(x) // p.kind.itemsize for x in ids], pa.int64()),
-                            pa.array([g[1] for g in got], pa.float64()),
-                            pa.array([[{"score": s, "ids": x} for s, x in g[2]] for g in got], _N_BEST),
-                        ],
-                        names=[*rest, *_NEW],
-                    )
+                    columns = [
+                        *[part.column(c) for c in rest],
+                        pa.array(ids, pa.binary()),
+                        pa.array([len(x) // p.kind.itemsize for x in ids], pa.int64()),
+                        pa.array([g[1] for g in got], pa.float64()),
+                        pa.array([[{"score": s, "ids": x} for s, x in g[2]] for g in got], _N_BEST),
+                    ]
+                    if decode:
+                        columns.append(spelled.decode(columns[len(rest)]))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = StructType([f for f in docs.schema if f.name != "text"])
     kind.add("ids", "binary").add("n_ids", "long").add("score", "double")
     kind.add("n_best", ArrayType(StructType().add("score", "double").add("ids", "binary")))
-    return docs.mapInArrow(run, kind)
+    return docs.mapInArrow(run, kind.add("text", "string") if decode else kind)
 
 
 def decoded(rows: DataFrame, model: str, column: str = "ids") -> DataFrame:
@@ -407,10 +436,12 @@ def decoded(rows: DataFrame, model: str, column: str = "ids") -> DataFrame:
     rows = rows.select(*own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(model)
+        p = spelling(model)
         for batch in batches:
-            text = p.decode(batch.column(column))
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*own, "text"])
+            # Some hundred rows at a time: decoding holds several numbers for each byte of text.
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns, p.decode(part.column(column))], names=[*own, "text"])
 
     return rows.mapInArrow(run, StructType([*rows.schema]).add("text", "string"))
 
@@ -418,9 +449,8 @@ def decoded(rows: DataFrame, model: str, column: str = "ids") -> DataFrame:
 def digest(docs: DataFrame, model: str, n_best: int = N_BEST) -> DataFrame:
     """docs (doc_id, text) -> doc_id, ids and score in short, scores and checksums of the n best, whether decoding gave the text."""
     rows = docs.select("doc_id", "text", u32(F.col("text")).alias("text_crc32"))
-    back = decoded(encoded(rows, model, n_best), model)
     short = lambda f: F.concat_ws(",", F.transform("n_best", f))
-    return back.select(
+    return encoded(rows, model, n_best, decode=True).select(
         "doc_id",
         "n_ids",
         F.crc32("ids").alias("ids_crc32"),

@@ -287,7 +287,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, shard_tokens: int
 
         for batch in batches:
             texts = batch.column("text")
-            for a, b in slices(texts):
+            for a, b in slices(texts, 1 << 24):
                 codes, length = enc.encode(texts.slice(a, b - a))
                 at = 0
                 for doc_id, k in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), length.tolist()):

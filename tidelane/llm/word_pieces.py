@@ -120,7 +120,7 @@ def piece_counts(docs: DataFrame, model: str) -> DataFrame:
         of = counter(model)
         rest = [c for c in own if c != "text"]
         for batch in batches:
-            for a, b in slices(batch.column("text")):
+            for a, b in slices(batch.column("text"), 1 << 24):
                 codes, words, n_words = word_codes(batch.column("text").slice(a, b - a))
                 each = np.fromiter(map(of.__getitem__, words.to_pylist()), np.int64, len(words))
                 doc = np.repeat(np.arange(b - a), n_words)

@@ -193,3 +193,16 @@ def snapshot(x: DataFrame) -> DataFrame:
 
 def gate_matrix(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("symbol", "bar_ts", "action", F.inline("gates"))
+
+
+def paths(x: DataFrame) -> DataFrame:
+    """The estimate split by direction for display: a piece between two bars takes the later bar's direction."""
+    ahead = F.lead("direction").over(by_time())
+    part = lambda test: F.when(test(F.col("direction")) | flag(test(ahead)), F.col("trend"))
+    return x.select(
+        "symbol",
+        "bar_ts",
+        part(lambda d: d > 0).alias("rising"),
+        part(lambda d: d < 0).alias("falling"),
+        part(lambda d: d == 0).alias("flat"),
+    )

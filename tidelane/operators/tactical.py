@@ -194,3 +194,9 @@ def action_ledger(x: DataFrame) -> DataFrame:
     """Bars where the target changes, latest first within a symbol."""
     n = F.row_number().over(by_time())
     return x.withColumn("n", n).where("n > 1 and change <> 0").select("symbol", "bar_ts", "rule", "action", "target", "change", "adj_open")
+
+
+def rulebook(spark, c: Tactical = Tactical()) -> DataFrame:
+    """The rules in order, what each does and to which level."""
+    rows = [(i + 1, r[0], r[1], level(r, c)) for i, r in enumerate(RULES)]
+    return spark.createDataFrame(rows, "place int, rule_id string, does string, level double")

@@ -92,3 +92,31 @@ def all_in_all_out(x: DataFrame, capital: float) -> DataFrame:
 
 def run(bars: DataFrame, c: Trend = Trend()) -> DataFrame:
     return all_in_all_out(signals(bars, c), c.capital)
+
+
+def snapshot(x: DataFrame, c: Trend = Trend()) -> DataFrame:
+    """Each symbol's last bar: what to do at the next open, the last trades, and the gates (name, value, passed).
+
+    The signal of the next bar is known: it reads the last one.
+    """
+    stop = {"atr": "atr_stop", "band": "lower_band", "trailing": "trail"}[c.stop]
+    s = F.struct("bar_ts", "px", "max_price", F.col(stop).alias("stop"), "held")
+    out = x.groupBy("symbol").agg(
+        F.max_by(s, "bar_ts").alias("s"),
+        F.max(F.when(F.col("first_buy") == 1, F.col("bar_ts"))).alias("last_buy"),
+        F.max(F.when(F.col("first_sell") == 1, F.col("bar_ts"))).alias("last_sell"),
+        F.count("*").alias("bars"),
+    )
+    entry, leave = F.col("s.px") >= F.col("s.max_price"), flag(F.col("s.px") <= F.col("s.stop"))
+    held = F.col("s.held") == 1
+    action = F.when(entry & ~held, "BUY").when(leave & ~entry & held, "SELL").when(held, "HOLD").otherwise("WAIT")
+    return out.select(
+        "symbol",
+        "s.bar_ts",
+        action.alias("action"),
+        "last_buy",
+        "last_sell",
+        (F.col("bars") > c.entry_bars).alias("full_entry_window"),
+        (F.col("s.px") / F.col("s.max_price") - 1).alias("entry_gap"),
+        (F.col("s.px") / F.col("s.stop") - 1).alias("stop_gap"),
+    )

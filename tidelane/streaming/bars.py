@@ -6,6 +6,9 @@ count, later ones are dropped. The closed bars are the same as those of the batc
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -36,3 +39,16 @@ def closed_bars(stream: DataFrame, minutes: int = 15, delay: str = "20 minutes")
 def write(bars: DataFrame, path: str, checkpoint: str):
     """Append closed bars to path; stops when the input that is there now has been read."""
     return bars.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path)
+
+
+def replay(spark: SparkSession, path: str) -> DataFrame:
+    """Streams all events under path once and returns the bars that were closed by the end."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="bars-")
+    root = f"{folder}/bars-{uuid.uuid4().hex}"
+    bars = closed_bars(events(spark, path))
+    write(bars, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.schema(bars.schema).parquet(f"{root}/out")
