@@ -18,8 +18,10 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """A stream of the Parquet files under path."""
-    return spark.readStream.schema(StructType.fromDDL(EVENTS)).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """A stream of the Parquet file at path, or of those in a folder there."""
+    # A pattern that only path itself fits: Spark takes any other path of a stream for a folder.
+    only = f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"
+    return spark.readStream.schema(StructType.fromDDL(EVENTS)).option("maxFilesPerTrigger", files_per_trigger).parquet(only)
 
 
 def closed_bars(stream: DataFrame, minutes: int = 15, delay: str = "20 minutes") -> DataFrame:
