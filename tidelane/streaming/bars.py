@@ -1,7 +1,8 @@
 """Bars from a stream of events: a bar appears once the watermark has passed its end.
 
 State is one row of running values for each open (symbol, bar); late events within the delay still
-count, later ones are dropped. The closed bars are the same as those of the batch reader.
+count, later ones are dropped. replay() reads all that is there in one batch, so that its closed bars
+are the same as those of the batch reader in whatever order the files hold the events.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from pyspark.sql.types import StructType
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """A stream of the Parquet file at path, or of those in a folder there."""
+def events(spark: SparkSession, path: str, files_per_trigger: int | None = 1) -> DataFrame:
+    """A stream of the Parquet file at path, or of those in a folder there (None: all that are there in one batch)."""
     # A pattern that only path itself fits: Spark takes any other path of a stream for a folder.
     only = f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"
-    return spark.readStream.schema(StructType.fromDDL(EVENTS)).option("maxFilesPerTrigger", files_per_trigger).parquet(only)
+    stream = spark.readStream.schema(StructType.fromDDL(EVENTS))
+    if files_per_trigger is not None:
+        stream = stream.option("maxFilesPerTrigger", files_per_trigger)
+    return stream.parquet(only)
 
 
 def closed_bars(stream: DataFrame, minutes: int = 15, delay: str = "20 minutes") -> DataFrame:
@@ -51,6 +55,7 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="bars-")
     root = f"{folder}/bars-{uuid.uuid4().hex}"
-    bars = closed_bars(events(spark, path))
+    # One batch: the files may overlap in time, and the watermark moves only after all rows are in.
+    bars = closed_bars(events(spark, path, files_per_trigger=None))
     write(bars, f"{root}/out", f"{root}/state").awaitTermination()
     return spark.read.schema(bars.schema).parquet(f"{root}/out")
