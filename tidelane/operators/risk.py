@@ -23,7 +23,7 @@ class Risk:
     horizon: int = 5
     calibration: int = 252
     least: int = 30
-    scenarios: int = 2000
+    scenarios: int = 25_000
     seed: int = 20260820
 
 
@@ -149,7 +149,8 @@ def bootstrap(series: DataFrame, c: Risk = Risk(), confidences=(0.95, 0.99)) ->
         "step", F.explode(F.sequence(F.lit(1), F.lit(c.horizon)))
     )
     pick = F.pmod(F.xxhash64(F.lit(c.seed), "symbol", "series", "scenario", "step"), F.col("n")) + 1
-    drawn = draws.withColumn("place", pick.cast("int")).join(r, ["symbol", "series", "place"])
+    # The planner takes the generated draws for few rows and would broadcast them.
+    drawn = draws.withColumn("place", pick.cast("int")).join(r.hint("shuffle_hash"), ["symbol", "series", "place"])
     ends = drawn.groupBy("symbol", "series", "scenario").agg(F.expm1(F.sum("l")).alias("r"))
     out = ends.groupBy("symbol", "series").agg(*[F.greatest(F.lit(0.0), -F.percentile("r", 1 - q)).alias(f"q{i}") for i, q in enumerate(confidences)])
     rows = F.array(*[F.struct(F.lit(q).alias("confidence"), F.col(f"q{i}").alias("var")) for i, q in enumerate(confidences)])
