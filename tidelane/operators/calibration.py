@@ -1,7 +1,7 @@
 """Parameter search for the lifecycle: grid, segment measures, ranking, plateau, walk-forward.
 
-Candidates are rows. Each (symbol, candidate) runs on its own, so the search spreads over the
-cluster; the smoothed columns of candidates that share lengths are made once and reused. Ranking,
+Candidates are rows that join the bars. Each (symbol, candidate) runs on its own, so the search spreads
+over the cluster; the smoothed columns of candidates that share lengths are made once. Ranking,
 neighbours and folds are joins and windows within a symbol.
 """
 
@@ -29,22 +29,20 @@ def grid(spark: SparkSession, depth: str) -> DataFrame:
 
 
 def paths(bars: DataFrame, depth: str = "focused") -> DataFrame:
-    """The lifecycle's path for every symbol and candidate; symbol is then "symbol|candidate"."""
-    out = None
-    fasts, slows, signals, buys, sells = GRIDS[depth]
-    number = {c: i for i, c in enumerate(c for c in product(*GRIDS[depth]) if c[0] < c[1])}
-    for fast, slow, n in product(fasts, slows, signals):
-        if fast >= slow:
-            continue
-        x = lifecycle.indicator(bars, lifecycle.Macd(fast=fast, slow=slow, signal=n))
-        for buy, sell in product(buys, sells):
-            watch = min(35.0, sell - 20.0)
-            c = lifecycle.Cycle(buy=float(buy), sell=float(sell), watch=watch, reduce=min(max(50.0, watch), sell - 10.0))
-            one = lifecycle.lifecycle(x, c).select(
-                "symbol", "bar_ts", "px", "portfolio", "shares", "adj_open", "first_buy", "first_sell", F.lit(number[fast, slow, n, buy, sell]).alias("candidate")
-            )
-            out = one if out is None else out.unionByName(one)
-    return out
+    """The lifecycle's path for every symbol and candidate of a grid."""
+    candidates = grid(bars.sparkSession, depth)
+    lengths = ["fast", "slow", "signal_n"]
+    # Below, a symbol's bars with one set of lengths, then with one candidate, are a symbol of their own.
+    x = bars.withColumn("name", F.col("symbol")).crossJoin(F.broadcast(candidates.select(*lengths).distinct()))
+    x = x.withColumn("symbol", F.concat_ws("|", *lengths, "name"))
+    x = lifecycle.indicator(x, lengths={"fast": F.col("fast"), "slow": F.col("slow"), "signal": F.col("signal_n")})
+    numbered = candidates.withColumnRenamed("candidate", "number")
+    x = x.join(F.broadcast(numbered), lengths).withColumn("symbol", F.concat_ws("|", "number", "name"))
+    watch = F.least(F.lit(35.0), F.col("sell") - 20.0)
+    reduce = F.least(F.greatest(F.lit(50.0), watch), F.col("sell") - 10.0)
+    x = lifecycle.lifecycle(x, levels={"buy": F.col("buy"), "watch": watch, "reduce": reduce, "sell": F.col("sell")})
+    kept = ["bar_ts", "px", "portfolio", "shares", "adj_open", "first_buy", "first_sell"]
+    return x.select(F.col("name").alias("symbol"), *kept, F.col("number").alias("candidate"))
 
 
 def segments(path: DataFrame, bounds: list[tuple[str, float, float]], per_year: float = 52.0, whipsaw: int = 10) -> DataFrame:

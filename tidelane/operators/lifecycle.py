@@ -7,7 +7,7 @@ one group; symbols spread over tasks). Everything between them is window columns
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -75,8 +75,9 @@ def wilder(x: pd.Series, n: int) -> pd.Series:
 _SMOOTH = ["line", "signal", "plain", "plain_signal", "base", "atr", "plus_di", "minus_di", "adx"]
 
 
-def smoothed(bars: DataFrame, c: Macd = Macd()) -> DataFrame:
-    """symbol, bar_ts and the recursive columns."""
+def smoothed(bars: DataFrame, c: Macd = Macd(), lengths: dict[str, Column] | None = None) -> DataFrame:
+    """symbol, bar_ts and the recursive columns; lengths replaces fields of c by columns that are constant in a symbol."""
+    own = list(lengths or {})
     x = adjusted(bars).withColumns(
         {
             "tr": F.greatest(F.col("adj_high") - F.col("adj_low"), F.abs(F.col("adj_high") - prior("px")), F.abs(F.col("adj_low") - prior("px"))),
@@ -91,16 +92,18 @@ def smoothed(bars: DataFrame, c: Macd = Macd()) -> DataFrame:
         "tr",
         F.when((F.col("up") > F.col("down")) & (F.col("up") > 0), F.col("up")).otherwise(0.0).alias("plus"),
         F.when((F.col("down") > F.col("up")) & (F.col("down") > 0), F.col("down")).otherwise(0.0).alias("minus"),
+        *[v.cast("int").alias(f"own_{k}") for k, v in (lengths or {}).items()],
     )
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
+        m = replace(c, **{k: int(g[f"own_{k}"].iat[0]) for k in own})
         g = g.sort_values("bar_ts")
-        line = dema(g["px"], c.fast) - dema(g["px"], c.slow)
-        plain = ema(g["px"], c.plain_fast) - ema(g["px"], c.plain_slow)
-        atr = wilder(g["tr"], c.adx)
-        plus, minus = (100 * wilder(g[k], c.adx) / atr.replace(0, np.nan) for k in ("plus", "minus"))
+        line = dema(g["px"], m.fast) - dema(g["px"], m.slow)
+        plain = ema(g["px"], m.plain_fast) - ema(g["px"], m.plain_slow)
+        atr = wilder(g["tr"], m.adx)
+        plus, minus = (100 * wilder(g[k], m.adx) / atr.replace(0, np.nan) for k in ("plus", "minus"))
         strength = 100 * (plus - minus).abs() / (plus + minus).replace(0, np.nan)
-        columns = [line, dema(line, c.signal), plain, ema(plain, c.plain_signal), dema(g["px"], c.trend), atr, plus, minus, wilder(strength, c.adx)]
+        columns = [line, dema(line, m.signal), plain, ema(plain, m.plain_signal), dema(g["px"], m.trend), atr, plus, minus, wilder(strength, m.adx)]
         return pd.DataFrame({"symbol": g["symbol"], "bar_ts": g["bar_ts"]} | dict(zip(_SMOOTH, columns)))
 
     out = x.groupBy("symbol").applyInPandas(run, "symbol string, bar_ts timestamp_ntz, " + ", ".join(f"{k} double" for k in _SMOOTH))
@@ -112,13 +115,13 @@ def _steady(condition: Column, n: int) -> Column:
     return F.sum(flag(condition).cast("int")).over(frame(-(n - 1))) == n
 
 
-def indicator(bars: DataFrame, c: Macd = Macd(), kernel: DataFrame | None = None) -> DataFrame:
+def indicator(bars: DataFrame, c: Macd = Macd(), kernel: DataFrame | None = None, lengths: dict[str, Column] | None = None) -> DataFrame:
     """Adjusted bars with all columns and the two scores (0 to 100).
 
     kernel (symbol, bar_ts, direction, trend) adds its parts to the scores; without it they are not
-    in the denominator.
+    in the denominator. lengths: as for smoothed().
     """
-    x = adjusted(bars).join(smoothed(bars, c), ["symbol", "bar_ts"])
+    x = adjusted(bars).join(smoothed(bars, c, lengths), ["symbol", "bar_ts"])
     if kernel is not None:
         x = x.join(kernel.select("symbol", "bar_ts", "direction", F.col("trend").alias("path")), ["symbol", "bar_ts"], "left")
     x = x.withColumns({"hist": F.col("line") - F.col("signal"), "plain_hist": F.col("plain") - F.col("plain_signal")})
@@ -188,18 +191,27 @@ def indicator(bars: DataFrame, c: Macd = Macd(), kernel: DataFrame | None = None
 _PATH = "symbol string, bar_ts timestamp_ntz, shares double, cash double, first_buy int, first_sell int, state string, executed string"
 
 
-def lifecycle(x: DataFrame, c: Cycle = Cycle()) -> DataFrame:
-    """indicator() with shares, cash, portfolio, first_buy, first_sell, state (of the bar), executed."""
-    candidate = flag(F.col("buy_score") >= c.buy)
+def lifecycle(x: DataFrame, c: Cycle = Cycle(), levels: dict[str, Column] | None = None) -> DataFrame:
+    """indicator() with shares, cash, portfolio, first_buy, first_sell, state (of the bar), executed.
+
+    levels replaces buy, watch, reduce or sell of c by columns that are constant in a symbol.
+    """
+    levels = levels or {}
+    own = list(levels)
+    candidate = flag(F.col("buy_score") >= levels.get("buy", F.lit(c.buy)))
     if c.need_bull_cross:
         candidate = candidate & F.col("recent_bull")
     x = x.withColumn("candidate", candidate)
-    x = x.withColumns({"buy_ok": _steady(F.col("candidate"), c.buy_bars), "sell_ok": _steady(F.col("sell_score") >= c.sell, c.sell_bars)})
-    narrow = x.select("symbol", "bar_ts", "adj_open", "px", "atr", "swing_break", "buy_score", "sell_score", "candidate", "buy_ok", "sell_ok")
+    x = x.withColumns({"buy_ok": _steady(F.col("candidate"), c.buy_bars), "sell_ok": _steady(F.col("sell_score") >= levels.get("sell", F.lit(c.sell)), c.sell_bars)})
+    narrow = x.select(
+        *["symbol", "bar_ts", "adj_open", "px", "atr", "swing_break", "buy_score", "sell_score", "candidate", "buy_ok", "sell_ok"],
+        *[v.cast("double").alias(f"own_{k}") for k, v in levels.items()],
+    )
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("bar_ts", ignore_index=True)
-        cash, shares, entry, peak, left = c.capital, 0.0, 0.0, 0.0, None
+        m = replace(c, **{k: float(g[f"own_{k}"].iat[0]) for k in own})
+        cash, shares, entry, peak, left = m.capital, 0.0, 0.0, 0.0, None
         rows = []
         order = None
         for i, b in enumerate(g.itertuples()):
@@ -213,13 +225,13 @@ def lifecycle(x: DataFrame, c: Cycle = Cycle()) -> DataFrame:
                 peak = max(entry, b.px)
             if shares > 0:
                 peak = max(peak, b.px)
-                stop = b.swing_break or b.px <= entry * (1 - c.hard_stop) or (b.atr == b.atr and b.px <= peak - c.atr_times * b.atr)
-                state = "RISK EXIT" if stop else "SELL" if b.sell_ok else "REDUCE" if b.sell_score >= c.reduce else "SELL WATCH" if b.sell_score >= c.watch else "HOLD"
+                stop = b.swing_break or b.px <= entry * (1 - m.hard_stop) or (b.atr == b.atr and b.px <= peak - m.atr_times * b.atr)
+                state = "RISK EXIT" if stop else "SELL" if b.sell_ok else "REDUCE" if b.sell_score >= m.reduce else "SELL WATCH" if b.sell_score >= m.watch else "HOLD"
                 if state in ("RISK EXIT", "SELL"):
                     left = i
             else:
-                rested = left is None or i - left >= c.cooldown
-                hopeful = b.buy_score >= max(45.0, c.buy - 15.0)
+                rested = left is None or i - left >= m.cooldown
+                hopeful = b.buy_score >= max(45.0, m.buy - 15.0)
                 state = "BUY" if b.buy_ok and rested else "BUY WATCH" if (b.candidate and not rested) or hopeful else "WAIT / CASH"
             order = state if state in ("BUY", "SELL", "RISK EXIT") else None
             rows.append((b.symbol, b.bar_ts, shares, cash, bought, sold, state, executed))
