@@ -1,4 +1,5 @@
 import os
+import random
 
 import numpy as np
 import pytest
@@ -62,3 +63,16 @@ def test_far_text_is_rejected(spark):
     odd = spark.createDataFrame([(1, "zzqx kwvj xxyq jjkz qqwx vvkz zzxy wqkj " * 5, None)], df.schema)
     assert L.predicted(odd, model).first().rejected
     assert not any(r.rejected for r in L.predicted(df, model).collect())
+
+
+def test_far_texts_of_rare_lengths_are_rejected(spark):
+    r = random.Random(5)
+    words = "the cat and dog sat on this mat with that hat near our old house while rain fell over every green field".split()
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    far = lambda n: " ".join("".join(r.choice("zqxjkvw") for _ in range(4)) for _ in range(n))
+    odd = [(text(5000), False), (text(3), False), (far(5000), True), (far(20), True), (far(3), True)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(odd)], "doc_id long, text string")
+    for rows in (60, 6):  # with 6 no octave has enough texts
+        labelled = spark.createDataFrame([(text(30), "en") for _ in range(rows)], "text string, lang string")
+        out = {x.doc_id: x.rejected for x in L.predicted(df, L.fit(labelled)).collect()}
+        assert [out[i] for i in range(len(odd))] == [far for _, far in odd]

@@ -8,8 +8,12 @@ the score.
 
 Rejection: the cosine of a sound text depends on its length, so for each octave of letters the
 sample's median cosine is kept, and a text below REJECT times the median of its octave is too far
-from every language. Octaves with fewer than LEAST sampled texts reject nothing. Rejection is a
-column of its own; lang_pred is then still the nearest language.
+from every language. An octave with fewer than LEAST sampled texts takes the threshold of the nearest
+one that has them; where that is of longer texts, it shrinks with the square root of the length, as
+the cosine of a short text does. If no octave has LEAST, all texts count as one, at their median
+octave. A sampled text's cosine leaves the text itself out of its centroid, so that few texts do not
+look closer than others of their language. Rejection is a column of its own; lang_pred is then still
+the nearest language.
 
 Fit: on a bounded sample of labelled rows, about SAMPLE texts of each language and MOST_SAMPLED in
 all, taken by a hash of the text. The sample's vectors (at most DIMS counts each) are made on the
@@ -118,6 +122,33 @@ def clusters(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12)
     return centers.astype(np.float32)
 
 
+def closeness(x: np.ndarray, lang: np.ndarray, centroids: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The cosine of each text to its nearest centroid, its language's nearest one made without the text."""
+    cosines = x @ centroids.T
+    near = np.where(owner == lang[:, None], cosines, -1).argmax(1)
+    for j in range(len(centroids)):
+        members = np.flatnonzero(near == j)
+        total = x[members].sum(0)
+        dots = x[members] @ total - 1
+        # |total - x|, as x has length 1
+        rest = np.sqrt(np.maximum(total @ total - 2 * dots - 1, 1e-12))
+        cosines[members, j] = dots / rest if len(members) > 1 else 0
+    return cosines.max(1)
+
+
+def thresholds(octaves: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """The least cosine that isn't rejected, by octave, from the sample's octaves and cosines."""
+    dense = [o for o in range(32) if (octaves == o).sum() >= LEAST]
+    at = {o: REJECT * float(np.median(best[octaves == o])) for o in dense}
+    if not at:
+        at = {int(np.median(octaves)): REJECT * float(np.median(best))}
+    out = np.zeros(32)
+    for o in range(32):
+        p = min(at, key=lambda p: (abs(p - o), p))
+        out[o] = at[p] * 2.0 ** (min(o - p, 0) / 2)
+    return out
+
+
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in slices(batch.column("text"), 1 << 20):
@@ -165,9 +196,8 @@ def fit(labelled: DataFrame, seed: int = 4) -> Model:
     rng = np.random.default_rng(seed)
     found = [clusters(x[lang == j], CLUSTERS, rng) if (lang == j).any() else x[:0] for j in range(len(languages))]
     centroids = np.concatenate(found)
-    best = (x @ centroids.T).max(1)
-    nearest = np.array([REJECT * np.median(best[octaves == o]) if (octaves == o).sum() >= LEAST else 0.0 for o in range(32)])
-    return Model(languages, centroids, np.repeat(np.arange(len(languages)), [len(f) for f in found]), idf, nearest)
+    owner = np.repeat(np.arange(len(languages)), [len(f) for f in found])
+    return Model(languages, centroids, owner, idf, thresholds(octaves, closeness(x, lang, centroids, owner)))
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
