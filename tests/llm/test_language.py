@@ -76,3 +76,15 @@ def test_far_texts_of_rare_lengths_are_rejected(spark):
         labelled = spark.createDataFrame([(text(30), "en") for _ in range(rows)], "text string, lang string")
         out = {x.doc_id: x.rejected for x in L.predicted(df, L.fit(labelled)).collect()}
         assert [out[i] for i in range(len(odd))] == [far for _, far in odd]
+
+
+def test_copies_leave_room_for_other_texts(spark):
+    r = random.Random(6)
+    make = lambda words: " ".join(r.choice(words.split()) for _ in range(30))
+    en, de = "the cat and dog sat on this mat with that hat", "der hund und die katze auf dem alten dach mit hut"
+    for k in range(2):
+        rows = [(make(de), "de")] * 2990 + [(make(de), "de") for _ in range(10)] + [(make(en), "en") for _ in range(500)]
+        model = L.fit(spark.createDataFrame(rows, "text string, lang string"))
+        assert (model.owner == model.languages.index("de")).sum() == L.CLUSTERS
+        odd = spark.createDataFrame([(make(de),), (make(en),)], "text string")
+        assert [(x.lang_pred, x.rejected) for x in L.predicted(odd, model).collect()] == [("de", False), ("en", False)]

@@ -15,8 +15,8 @@ octave. A sampled text's cosine leaves the text itself out of its centroid, so t
 look closer than others of their language. Rejection is a column of its own; lang_pred is then still
 the nearest language.
 
-Fit: on a bounded sample of labelled rows, about SAMPLE texts of each language and MOST_SAMPLED in
-all, taken by a hash of the text. The sample's vectors (at most DIMS counts each) are made on the
+Fit: on a bounded sample of the distinct labelled texts with a letter: of each language those of the
+least hashes, SAMPLE at most and MOST_SAMPLED in all (one at least of each language). Copies count once. The sample's vectors (at most DIMS counts each) are made on the
 executors and the model (DIMS floats a centroid) is sent with the tasks.
 
 Nulls: a text that is null or has no letter is `und`, score 0, rejected. Rows without lang are
@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -150,7 +150,13 @@ def thresholds(octaves: np.ndarray, best: np.ndarray) -> np.ndarray:
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = set()
     for batch in batches:
+        fresh = []
+        for key in zip(batch.column("lang").to_pylist(), batch.column("hash").to_pylist()):
+            fresh.append(key not in seen)
+            seen.add(key)
+        batch = batch.filter(pa.array(fresh, pa.bool_()))
         for a, b in slices(batch.column("text"), 1 << 20):
             for i in range(a, b, 256):
                 part = batch.slice(i, min(256, b - i))
@@ -159,6 +165,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict(
                     {
                         "lang": part.column("lang"),
+                        "hash": part.column("hash"),
                         "letters": pa.array(n.astype(np.int64)),
                         "place": pa.array([p.astype(np.uint16).tobytes() for p in places], pa.binary()),
                         "count": pa.array([row[p].tobytes() for row, p in zip(x, places)], pa.binary()),
@@ -169,19 +176,21 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, seed: int = 4) -> Model:
     """A model from labelled rows (text, lang); rows with a null in either are passed over."""
     ship(labelled.sparkSession)
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
+    hashed = F.xxhash64(F.lit(seed), "text").alias("hash")
+    rows = labelled.where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}")).select("text", "lang", hashed)
+    keys = rows.select("lang", "hash").distinct()
+    languages = sorted(r.lang for r in keys.select("lang").distinct().collect())
     none = Model([], np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.ones(DIMS, np.float32), np.zeros(32))
     if not languages:
         return none
     quota = max(1, min(SAMPLE, MOST_SAMPLED // len(languages)))
-    # By hash, so about quota texts of each language, whatever its share of the rows.
-    draw = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, quota / sizes[k]))])
-    sample = rows.where(draw < rate[F.col("lang")])
-    got = sample.mapInArrow(_sparse, "lang string, letters long, place binary, count binary").collect()
-    got = [r for r in got if r.letters]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    drawn = keys.withColumn("place", place).where(F.col("place") <= quota).select("lang", "hash")
+    # At most MOST_SAMPLED keys; a task passes on one copy of a text, and one of those is kept.
+    sample = rows.join(F.broadcast(drawn), ["lang", "hash"])
+    kind = "lang string, hash long, letters long, place binary, count binary"
+    got = sample.select("text", "lang", "hash").mapInArrow(_sparse, kind).dropDuplicates(["lang", "hash"]).collect()
+    got = sorted((r for r in got if r.letters), key=lambda r: (r.lang, r.hash))
     if not got:
         return none
     x = np.zeros((len(got), DIMS), np.float32)
@@ -190,9 +199,7 @@ def fit(labelled: DataFrame, seed: int = 4) -> Model:
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + np.float32(0.1)
     x = scaled(x, idf)
     lang = np.array([languages.index(r.lang) for r in got])
-    order = np.lexsort((x[:, :8].sum(1), [r.letters for r in got], lang))  # rows come in any order
-    x, lang = x[order], lang[order]
-    octaves = octave(np.array([r.letters for r in got]))[order]
+    octaves = octave(np.array([r.letters for r in got]))
     rng = np.random.default_rng(seed)
     found = [clusters(x[lang == j], CLUSTERS, rng) if (lang == j).any() else x[:0] for j in range(len(languages))]
     centroids = np.concatenate(found)
