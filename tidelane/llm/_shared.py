@@ -89,13 +89,18 @@ class Memo(dict):
 
     def many(self, keys: list, make_all) -> list:
         """The values of distinct keys; make_all(missing keys) gives those of missing ones at once."""
-        missing = [k for k in keys if k not in self and k not in self.older]
-        if missing:
-            if len(self) + len(missing) >= self.limit:
-                self.older = dict(self)
-                self.clear()
-            self.update(zip(missing, make_all(missing)))
-        return [self[k] for k in keys]
+        values = list(map(self.get, keys))
+        absent = [i for i, v in enumerate(values) if v is None]
+        for i, v in zip(absent, list(map(self.older.get, [keys[i] for i in absent]))):
+            values[i] = v
+        missing = [i for i in absent if values[i] is None]
+        for i, v in zip(missing, make_all([keys[i] for i in missing]) if missing else ()):
+            values[i] = v
+        if len(self) + len(absent) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self.update((keys[i], values[i]) for i in absent)
+        return values
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -167,5 +172,9 @@ def spread(lengths, codes):
 
     starts = np.cumsum(lengths) - lengths
     out = lengths[codes]
-    before = np.cumsum(out) - out
-    return np.repeat((starts[codes] - before).astype(np.int64), out) + np.arange(int(out.sum()))
+    ends = np.cumsum(out)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, int(np.sum(lengths))) < 1 << 31 else np.int64
+    places = np.repeat((starts[codes] - ends + out).astype(kind), out)
+    places += np.arange(total, dtype=kind)
+    return places

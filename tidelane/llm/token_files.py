@@ -13,16 +13,20 @@ ones before each block.
 
 Nulls: a null text is the empty text (one id, the end id); a null doc_id sorts first. Repeated
 doc_ids are separate documents, next to one another in order of their texts. An empty table
-gives an empty result. Other columns are ignored.
+gives an empty result. Other columns are ignored. Texts of any length are encoded whole; a text that
+holds an added token of the vocabulary gets that token's id, as the library gives by default.
+count_tokens() and occurrences() answer from the bit-planes, without decoding a shard.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,7 @@ class WaveletMatrix:
     def __init__(self, n: int, zeros: np.ndarray, words: list[np.ndarray], ranks: list[np.ndarray]):
         self.n, self.zeros, self.words, self.ranks = n, zeros, words, ranks
         self.planes = len(zeros)
+        self._before: dict[tuple[int, int], np.ndarray] = {}
 
     @classmethod
     def build(cls, ids: np.ndarray, planes: int) -> WaveletMatrix:
@@ -56,9 +61,10 @@ class WaveletMatrix:
             per_block = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32)
             ranks.append(np.concatenate([[0], np.cumsum(per_block[:-1], dtype=np.uint32)]).astype("<u4"))
             words.append(packed)
-            low = ids[~ones]
+            # Places first, then take: several times faster than a mask that follows no pattern.
+            low = ids.take(np.flatnonzero(~ones))
             zeros[k] = len(low)
-            ids = np.concatenate([low, ids[ones]])
+            ids = np.concatenate([low, ids.take(np.flatnonzero(ones))])
         return cls(int(len(ids)), zeros, words, ranks)
 
     def _bit(self, k: int, i: int) -> int:
@@ -103,28 +109,42 @@ class WaveletMatrix:
         """Place of the nth occurrence of token, from 0."""
         if not 0 <= nth < self.count(token):
             raise IndexError(nth)
-        low = 0
-        for k in range(self.planes):
+        return int(self._places(token, np.array([nth]))[0])
+
+    def occurrences(self, token: int) -> np.ndarray:
+        """Places of all occurrences of token, ascending."""
+        return self._places(token, np.arange(self.count(token)))
+
+    def _places(self, token: int, nth: np.ndarray) -> np.ndarray:
+        """Places of the given occurrences: down to where token's run begins, then up by select."""
+        if not len(nth):
+            return nth
+        low, bits = 0, [token >> (self.planes - 1 - k) & 1 for k in range(self.planes)]
+        for k, bit in enumerate(bits):
             ones = self._ones(k, low)
-            low = int(self.zeros[k]) + ones if token >> (self.planes - 1 - k) & 1 else low - ones
-        place = low + nth
+            low = int(self.zeros[k]) + ones if bit else low - ones
+        places = low + nth
         for k in reversed(range(self.planes)):
-            if token >> (self.planes - 1 - k) & 1:
-                place = self._select(k, 1, place - int(self.zeros[k]))
-            else:
-                place = self._select(k, 0, place)
-        return place
-
-    def _select(self, k: int, bit: int, nth: int) -> int:
-        before = self.ranks[k].astype(np.int64)
-        if not bit:
-            before = np.arange(len(before)) * BLOCK - before
-        block = int(np.searchsorted(before, nth, side="right")) - 1
-        bits = np.unpackbits(self.words[k][block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
-        return block * BLOCK + int(np.flatnonzero(bits == bit)[nth - int(before[block])])
-
-    def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, i) for i in range(self.count(token))]
+            places = self._select(k, bits[k], places - int(self.zeros[k]) * bits[k])
+        return places
+
+    def _samples(self, k: int, bit: int) -> np.ndarray:
+        """Bits of this kind before each block of plane k, made at the first call."""
+        if (k, bit) not in self._before:
+            before = self.ranks[k].astype(np.int64)
+            self._before[k, bit] = before if bit else np.arange(len(before)) * BLOCK - before
+        return self._before[k, bit]
+
+    def _select(self, k: int, bit: int, nth: np.ndarray) -> np.ndarray:
+        """Places in plane k of the bits of this kind with these numbers."""
+        if len(nth) * BLOCK > self.n:
+            return np.flatnonzero(np.unpackbits(self.words[k], count=self.n, bitorder="little") == bit)[nth]
+        before = self._samples(k, bit)
+        blocks = np.searchsorted(before, nth, side="right") - 1
+        own = self.words[k].reshape(-1, BLOCK // 8)[blocks]
+        bits = np.unpackbits(own, axis=1, bitorder="little") == bit
+        inside = (np.cumsum(bits, 1, dtype=np.int16) <= (nth - before[blocks])[:, None]).sum(1)
+        return blocks * BLOCK + inside
 
     def decode(self) -> np.ndarray:
         """All ids in order, by undoing the planes' stable partitions from the last to the first."""
@@ -133,8 +153,8 @@ class WaveletMatrix:
             ones = np.unpackbits(self.words[k], count=self.n, bitorder="little").view(bool)
             z = int(self.zeros[k])
             out = np.empty_like(values)
-            out[~ones] = values[:z]
-            out[ones] = values[z:] | values.dtype.type(1 << (self.planes - 1 - k))
+            out[np.flatnonzero(~ones)] = values[:z]
+            out[np.flatnonzero(ones)] = values[z:] | values.dtype.type(1 << (self.planes - 1 - k))
             values = out
         return values
 
@@ -179,12 +199,16 @@ def unpack(image: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
 
 #: Byte-level vocabularies show bytes 0 to 32, 127 to 160 and 173 as the characters from U+0100 on.
 _HIDDEN = [*range(33), *range(127, 161), 173]
-SHOWN = {b: 256 + i for i, b in enumerate(_HIDDEN)}
-SPACE = chr(SHOWN[32])
+SHOWN = np.arange(256, dtype="<u4")
+SHOWN[_HIDDEN] = 256 + np.arange(len(_HIDDEN))
+SPACE, CUT = chr(SHOWN[32]), chr(SHOWN[0])
 #: Marks that the splitting pattern always parts from the letters before them.
 MARKS = {".", ",", ";", ":", "!", "?"}
-#: Up to here all Unicode versions agree on what a letter is.
-LATIN = "\u024f"
+#: A run of letters, with or without a space before it; up to U+024F all Unicode versions agree on them.
+_RUN = " ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+LETTERS = rf"^{_RUN}\z"
+#: A run, and what follows it from an ASCII mark or digit on.
+PARTED = re.compile(rf"({_RUN})([!-@\[-`{{-~].*)", re.DOTALL)
 #: White space that is not a single space or line feed between visible characters.
 ODD_SPACE = r"\x00|[ \n][ \n]|^[ \n]|[ \n]\z|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 #: Marks that do not end a word or number.
@@ -206,36 +230,53 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self.planes = max(1, (self.library.get_vocab_size() - 1).bit_length())
         self.code = "H" if self.kind is np.uint16 else "I"
         self.model = self.library.model
-        self.chunks = Memo(self._chunk, 400_000)
+        self.chunks = Memo(lambda chunk: self._all_chunks([chunk])[0], 400_000)
+        self.rests = Memo(self.whole, 50_000)
+        # The library cuts a text at its added tokens before anything else.
+        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.odd = "|".join([ODD_SPACE, *added])
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _letters(self, word: str) -> bytes:
-        """Ids of one letter run, with or without a space before it: the pattern keeps it whole."""
-        shown = word.replace(" ", SPACE) if word.isascii() else word.encode().decode("latin-1").translate(SHOWN)
-        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        if "\n" in chunk and chunk != "\n":
-            head, _, tail = chunk.partition("\n")
-            return self.chunks[head] + self.chunks["\n"] + self.chunks[tail]
-        word, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in MARKS else (chunk, "")
-        if not word.removeprefix(" ").isalpha() or max(word) > LATIN:
-            return self.whole(chunk)
-        return self._letters(word) + (self.chunks[mark] if mark else b"")
+    def _all_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks not seen lately.
+
+        The pattern ends a letter run at a mark or digit and keeps it whole, so runs go straight to
+        the model; what follows a run is few and remembered, and other chunks go to the library.
+        """
+        pure = pc.match_substring_regex(pa.array(chunks, pa.string()), LETTERS).to_numpy(zero_copy_only=False)
+        places = np.flatnonzero(pure).tolist()
+        heads = [chunks[i] for i in places]
+        out = [b""] * len(chunks)
+        for i in np.flatnonzero(~pure).tolist():
+            if parted := PARTED.match(chunks[i]):
+                heads.append(parted[1])
+                places.append(i)
+                out[i] = self.rests[parted[2]]
+            else:
+                out[i] = self.whole(chunks[i])
+        words = SHOWN[np.frombuffer("\0".join(heads).encode(), np.uint8)].tobytes().decode("utf-32-le").split(CUT)
+        tokenize, width = self.model.tokenize, np.dtype(self.kind).itemsize
+        # Some thousand at a time: as many small lists at once slow the collector down.
+        for start in range(0, len(heads), 2000):
+            found = [[t.id for t in tokenize(w)] for w in words[start : start + 2000]]
+            flat, at = array(self.code, chain.from_iterable(found)).tobytes(), 0
+            for i, n in zip(places[start:], map(len, found)):
+                out[i] = flat[at : at + width * n] + out[i]
+                at += width * n
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each text's with the end id 0 after them; their lengths."""
         texts = texts.fill_null("")
-        odd = pc.match_substring_regex(texts, ODD_SPACE)
+        odd = pc.match_substring_regex(texts, self.odd)
         cut = pc.replace_substring(pc.if_else(odd, "", texts), " ", "\0 ")
-        marked = pc.replace_substring(cut, "\n", "\0\n\0")
+        marked = cut = pc.replace_substring(cut, "\n", "\0\n\0")
         for mark in MARKS:
             marked = pc.replace_substring(marked, mark, "\0" + mark)
         parts = pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, ODD_MARK), cut, marked), "\0")
@@ -243,7 +284,7 @@ class Encoder:
         edges -= edges[0]
         coded = parts.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        table = list(map(self.chunks.__getitem__, coded.dictionary.to_pylist()))
+        table = self.chunks.many(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._all_chunks)
         for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
             codes[edges[i]] = len(table)
             table.append(self.whole(texts[int(i)].as_py()))
@@ -287,7 +328,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, shard_tokens: int
 
         for batch in batches:
             texts = batch.column("text")
-            for a, b in slices(texts, 1 << 24):
+            for a, b in slices(texts):
                 codes, length = enc.encode(texts.slice(a, b - a))
                 at = 0
                 for doc_id, k in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), length.tolist()):
@@ -349,6 +390,46 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def count_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """How often each of the tokens stands in each shard, by rank alone: part, seq, token, n."""
+    ship(spark)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, seq, image in zip(*(batch.column(c) for c in ("part", "seq", "image"))):
+                matrix, _, _ = unpack(image.as_buffer())
+                yield pa.RecordBatch.from_pylist(
+                    [{"part": part.as_py(), "seq": seq.as_py(), "token": t, "n": matrix.count(t)} for t in tokens],
+                    schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("token", pa.int64()), ("n", pa.int64())]),
+                )
+
+    shards = spark.read.parquet(path).select("part", "seq", "image")
+    return shards.mapInArrow(counts, "part int, seq int, token long, n long")
+
+
+def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """Every place of token: part, seq, doc_id and place within the document, by select alone."""
+    ship(spark)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, seq, image in zip(*(batch.column(c) for c in ("part", "seq", "image"))):
+                matrix, doc_ids, starts = unpack(image.as_buffer())
+                at = matrix.occurrences(token)
+                doc = np.searchsorted(starts.astype(np.int64), at, side="right") - 1
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "part": pa.array(np.full(len(at), part.as_py(), np.int32)),
+                        "seq": pa.array(np.full(len(at), seq.as_py(), np.int32)),
+                        "doc_id": pa.array([doc_ids[d] for d in doc.tolist()], pa.int64()),
+                        "place": pa.array(at - starts.astype(np.int64)[doc], pa.int64()),
+                    }
+                )
+
+    shards = spark.read.parquet(path).select("part", "seq", "image")
+    return shards.mapInArrow(places, "part int, seq int, doc_id long, place long")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token shards of all documents, written, read back and digested."""
     import public_tokenizers
