@@ -69,3 +69,25 @@ def test_empty(spark):
     assert M.mix(spark.createDataFrame([], KIND)).count() == 0
     out = M.mix(spark.createDataFrame([(1, None, None, 1, "x")], KIND)).collect()
     assert [(r.size, r.target, r.copies) for r in out] == [(0, 0.0, 0)]
+
+
+def test_no_name_of_the_documents_clashes(spark):
+    names = ["_ahead", "_size", "_copy", "doc", "key", "class", "cell", "hash", "rank", "n", "each", "offset", "before", "row", "copy", "a.b"]
+    data = [(i, "ab"[i % 2], "w " * (i % 9), *["v"] * len(names)) for i in range(60)] + [(99, "a", "word " * 60000, *["v"] * len(names))]
+    kind = "doc_id long, source string, text string, " + ", ".join(f"`{n}` string" for n in names)
+    df = spark.createDataFrame(data, kind)
+    mixed = M.mix(df)
+    assert mixed.columns == [*df.columns, "size", "source_size", "target", "copies"]
+    found = mixed.collect()
+    assert len(found) == len(data) and all(r[n] == "v" for r in found for n in names)
+    assert {r.doc_id: r["size"] for r in found}[99] == 60000
+    taken = M.emitted(mixed)
+    assert taken.columns == mixed.columns
+    assert taken.count() == sum(r.copies for r in found)
+
+
+def test_rows_without_id_spread_over_cells(spark):
+    df = spark.createDataFrame([(None, "a", f"w w{i}") for i in range(400)], "doc_id long, source string, text string")
+    found = M.mix(df.unionAll(spark.createDataFrame([(1, "b", "x " * 2000)], df.schema))).where("source = 'a'").collect()
+    assert len(found) == 400
+    assert abs(sum(r.copies * r["size"] for r in found) - found[0].target) < 4

@@ -7,17 +7,18 @@ that end at their limit come first, so running sums settle it). A document's exp
 its source's target over its source's words. Within a source the expected copies are summed up
 document after document, from one random offset, and a document is emitted once for each whole
 number that the sum passes. Documents stand in order of size (in classes of two leading digits),
-then of a hash, so each size takes its share and the words taken come near the target.
+then of a hash of id and text, so each size takes its share and the words taken come near the target.
 
 Sums are exact: expected copies count in units of 1e-12. A document's rank in its source is its
 rank in its cell (source, size class, first digits of the hash) plus the counts of the cells
-before, so no source is sorted in one task. Offsets and hashes depend on names and ids only:
-reruns agree.
+before, so no source is sorted in one task; rows that share an id, or have none, are told apart by
+their texts, and only rows that are the same in both stand in one cell. Offsets and hashes depend on
+names, ids and texts only: reruns agree.
 
 Nulls and ties: a null text has size 0; a null source is a source of its own; null doc_ids and
 repeated rows are documents like others, and which of equal rows is taken makes no difference. A
 source without words has target 0. An empty table gives an empty result. Input columns named like a
-result column are replaced.
+result column are replaced; other names never clash. Texts of any length are counted whole.
 """
 
 from __future__ import annotations
@@ -63,71 +64,77 @@ def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """docs (doc_id, source, text, other columns) -> with size, source_size, target, copies (0 to most)."""
+def mix(docs: DataFrame, most: int = MOST, keep: list[str] | None = None) -> DataFrame:
+    """docs (doc_id, source, text, other columns) -> with size, source_size, target, copies (0 to most).
+
+    keep: which of the documents' columns the result has (all).
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    digits = F.lpad(F.substring(F.col("_size").cast("string"), 1, 2), 2, "0").cast("int")
+    own = [c for c in keep or docs.columns if c not in ("size", "source_size", "target", "copies")]
+    digits = F.lpad(F.substring(F.col("size").cast("string"), 1, 2), 2, "0").cast("int")
+    # The documents' own columns travel in one struct, so that no name of theirs can clash.
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc")
+    mine = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     placed = (
-        docs.select(*own, words(F.col("text")).alias("_size"))
+        docs.select(row, "source", words(F.col("text")).alias("size"), F.md5(mine.cast("binary")).alias("hash"))
         # a key that no source's name equals stands for null
-        .withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-        .withColumn("_class", F.length(F.col("_size").cast("string")) * 100 + digits)
-        .withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-        .withColumn("_cell", F.substring("_hash", 1, HASH_DIGITS))
+        .withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+        .withColumn("class", F.length(F.col("size").cast("string")) * 100 + digits)
+        .withColumn("cell", F.substring("hash", 1, HASH_DIGITS))
     )
     by_cell = scratch.keep(
-        placed.groupBy("_key", "_class", "_cell").agg(
-            F.first("source").alias("source"), F.count("*").alias("n"), F.sum("_size").alias("words")
+        placed.groupBy("key", "class", "cell").agg(
+            F.first("source").alias("source"), F.count("*").alias("n"), F.sum("size").alias("words")
         ),
         "cells",
     )
     ahead = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    classes = by_cell.groupBy("_key", "_class").agg(F.sum("n").alias("n"))
-    classes = classes.select("_key", "_class", F.coalesce(F.sum("n").over(ahead("_key", "_class")), F.lit(0)).alias("c"))
-    cells = by_cell.withColumn("d", F.coalesce(F.sum("n").over(ahead("_key", "_class", "_cell")), F.lit(0)))
-    sources = by_cell.groupBy("_key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
+    classes = by_cell.groupBy("key", "class").agg(F.sum("n").alias("n"))
+    classes = classes.select("key", "class", F.coalesce(F.sum("n").over(ahead("key", "class")), F.lit(0)).alias("c"))
+    cells = by_cell.withColumn("d", F.coalesce(F.sum("n").over(ahead("key", "class", "cell")), F.lit(0)))
+    sources = by_cell.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
     goals = targets(sources.select("source", "source_size"), most).select(
-        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_key"), "source_size", "target"
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), "source_size", "target"
     )
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(SEED), "_key").cast("binary")), 1, 12), 16, 10).cast("long") % UNIT
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(SEED), "key").cast("binary")), 1, 12), 16, 10).cast("long") % UNIT
     copies_each = F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double")) * float(UNIT))
     plan = (
-        cells.join(classes, ["_key", "_class"])
-        .join(goals, "_key")
+        cells.join(classes, ["key", "class"])
+        .join(goals, "key")
         .select(
-            "_key",
-            "_class",
-            "_cell",
-            (F.col("c") + F.col("d")).alias("_ahead"),
-            F.col("source_size"),
+            "key",
+            "class",
+            "cell",
+            (F.col("c") + F.col("d")).alias("before"),
+            "source_size",
             "target",
-            F.coalesce(copies_each, F.lit(0)).cast("decimal(14,0)").alias("_each"),
-            offset.cast("decimal(14,0)").alias("_offset"),
+            F.coalesce(copies_each, F.lit(0)).cast("decimal(14,0)").alias("each"),
+            offset.cast("decimal(14,0)").alias("offset"),
         )
     )
     plan = scratch.keep(plan, "plan")
-    rank = F.row_number().over(Window.partitionBy("_key", "_class", "_cell").orderBy("_hash", "_size"))
-    ranked = placed.withColumn("_rank", rank).join(plan, ["_key", "_class", "_cell"])
-    n = (F.col("_ahead") + F.col("_rank")).cast("decimal(18,0)")
-    ranked = ranked.withColumn("_n", n)
-    upto = F.expr(f"(_offset + _n * _each) div cast({UNIT} as decimal(14,0))")
-    last = F.expr(f"(_offset + (_n - 1) * _each) div cast({UNIT} as decimal(14,0))")
+    rank = F.row_number().over(Window.partitionBy("key", "class", "cell").orderBy("hash", "size"))
+    ranked = placed.drop("source").withColumn("rank", rank).join(plan, ["key", "class", "cell"])
+    ranked = ranked.withColumn("n", (F.col("before") + F.col("rank")).cast("decimal(18,0)"))
+    upto = F.expr(f"(offset + n * each) div cast({UNIT} as decimal(14,0))")
+    last = F.expr(f"(offset + (n - 1) * each) div cast({UNIT} as decimal(14,0))")
     return ranked.select(
-        *own, F.col("_size").alias("size"), "source_size", "target", (upto - last).cast("int").alias("copies")
+        *[F.col("doc").getField(c).alias(c) for c in own], "size", "source_size", "target", (upto - last).cast("int").alias("copies")
     )
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
     """The rows of mix(), each as often as its copies say."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("_copy")
+    each = F.explode(F.sequence(F.lit(1), "copies"))
+    row = F.struct(*[F.col(f"`{c}`") for c in mixed.columns]).alias("row")
+    return mixed.where("copies > 0").select(row, each.alias("copy")).select("row.*")
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mix(docs).select("doc_id", "size", "source_size", "target", "copies")
+    mixed = mix(docs, keep=["doc_id"])
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken")
     )
@@ -136,7 +143,7 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight FROM d GROUP BY source),
