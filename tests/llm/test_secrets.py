@@ -66,3 +66,27 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     empty = spark.createDataFrame([], one.schema)
     assert S.scan_versions(empty, path).count() == 0
     assert S.scan_versions(empty, str(tmp_path / "none")).count() == 0
+
+
+def test_a_pair_that_two_runs_committed_counts_once(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = spark.createDataFrame([("a", "token=abcdef"), ("b", "x")], "path string, text string")
+    S.scan_versions(rows, path)
+    S.ledger(spark, path).write.mode("append").parquet(str(tmp_path / "copy"))
+    spark.read.parquet(str(tmp_path / "copy")).write.mode("append").parquet(path)
+    assert S.ledger(spark, path).count() == 4
+    assert {(r.path, r.n_assign) for r in S.scan_versions(rows, path).collect()} == {("a", 1), ("b", 0)}
+    assert S.scan_versions(rows, path).count() == 2
+
+
+def test_the_query_goes_on_with_a_ledger(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, "token=abcdef"), (2, "x"), (3, "x"), (None, None)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    first = {tuple(r) for r in S.op9_secrets(spark, str(tmp_path), path).collect()}
+    assert S.ledger(spark, path).count() == 3
+    # Nothing new: no row is added. Other rules: every content is scanned anew.
+    assert {tuple(r) for r in S.op9_secrets(spark, str(tmp_path), path).collect()} == first
+    assert S.ledger(spark, path).count() == 3
+    assert {tuple(r) for r in S.op9_secrets(spark, str(tmp_path), path, rules="next").collect()} == first
+    assert S.ledger(spark, path).count() == 6

@@ -4,7 +4,8 @@ Every version of every path is addressed by the SHA-256 of its text. The ledger
 table of (blob, rules, findings), a row for each pair of content and rule version scanned so
 far, findings or none. A run scans only contents whose pair is not in the ledger, once each
 however many paths hold them, appends their rows, and joins the findings back to all versions.
-A run that is lost before its append is committed leaves the ledger as it was.
+A run that is lost before its append is committed leaves the ledger as it was; a pair that several
+runs committed counts once.
 
 Rules find kind, start and end (code points, end exclusive). The base kinds are assign, access
 and hex; a further kind, key_block (PEM private keys), adds spans. Within a kind, matches are
@@ -100,7 +101,8 @@ def scan_versions(versions: DataFrame, ledger_path: str, rules: str = RULES) ->
         blobs = blobs.join(seen.where(F.col("rules") == rules).select("blob"), "blob", "left_anti")
     new = blobs.mapInArrow(_scan, f"blob binary, {_FOUND}").withColumn("rules", F.lit(rules))
     new.select("blob", "rules", *[f.split()[0] for f in _FOUND.split(", ")]).write.mode("append").parquet(ledger_path)
-    known = ledger(spark, ledger_path).where(F.col("rules") == rules).drop("rules")
+    # Runs at the same time may both have committed a pair; a pair counts once.
+    known = ledger(spark, ledger_path).where(F.col("rules") == rules).drop("rules").dropDuplicates(["blob"])
     known = known.withColumnsRenamed({c: f"_{c}" for c in known.columns})
     taken = {"text", *known.columns, *(c[1:] for c in known.columns)}
     rest = [c for c in versions.columns if c not in taken]
@@ -109,7 +111,10 @@ def scan_versions(versions: DataFrame, ledger_path: str, rules: str = RULES) ->
     return found.select(*rest, *[F.col(c).alias(c[1:]) for c in known.columns])
 
 
-def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of all documents, each document a path with one version, by a new ledger."""
+def op9_secrets(spark: SparkSession, sf_dir: str, ledger_path: str | None = None, rules: str = RULES) -> DataFrame:
+    """Secrets of all documents, each document a path with one version.
+
+    Only what the ledger at ledger_path has not seen is scanned; without a path the ledger is new.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scan_versions(docs, f"{Scratch(spark, 'op9').root}/ledger").drop("blob")
+    return scan_versions(docs, ledger_path or f"{Scratch(spark, 'op9').root}/ledger", rules).drop("blob")
