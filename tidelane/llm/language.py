@@ -41,6 +41,7 @@ from tidelane.llm._shared import ship, slices, table
 DIMS, CLUSTERS = 1 << 13, 4
 SAMPLE, MOST_SAMPLED = 400, 4000
 REJECT, LEAST = 0.5, 10
+DEALT = 16
 UND = "und"
 _letters: list[np.ndarray] = []
 
@@ -184,8 +185,12 @@ def fit(labelled: DataFrame, seed: int = 4) -> Model:
     if not languages:
         return none
     quota = max(1, min(SAMPLE, MOST_SAMPLED // len(languages)))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
-    drawn = keys.withColumn("place", place).where(F.col("place") <= quota).select("lang", "hash")
+    # First within DEALT parts of a language, so that no task reads more of it than a part or DEALT quotas.
+    drawn = keys.withColumn("part", F.pmod("hash", F.lit(DEALT)))
+    for by in (["lang", "part"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("hash"))
+        drawn = drawn.withColumn("place", place).where(F.col("place") <= quota)
+    drawn = drawn.select("lang", "hash")
     # At most MOST_SAMPLED keys; a task passes on one copy of a text, and one of those is kept.
     sample = rows.join(F.broadcast(drawn), ["lang", "hash"])
     kind = "lang string, hash long, letters long, place binary, count binary"
