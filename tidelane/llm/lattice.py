@@ -10,8 +10,8 @@ by their cosine in double precision, so no link below the limit is made.
 
 Vectors that are equal after scaling are one class, with a multiplicity. Cells where nothing
 meets are dropped before any vector moves; a crowded cell is dealt out as pairs of blocks. A link
-that several tables find is counted in the first of them, which each task derives from the two
-vectors alone; so a task returns at most a count and a spanning set of links for its classes,
+that several tables find is counted in the first of them, which each task derives from the cells that
+come with the two vectors; so a task returns at most a count and a spanning set of links for its classes,
 never the pairs themselves.
 
 Nulls and ties: vectors that are null, of length zero, or hold null or non-finite components have
@@ -122,50 +122,68 @@ def _scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _placed(tables: int, blocks: int, probes: int, width: float):
-    """(rep, vector) -> a row for each table and cell."""
+    """Adds to rows (key, vector, ...) the cells of all tables, own ones first, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, column = batch.column("rep").to_numpy(), batch.column("vector")
+            column = batch.column("vector")
             sizes = np.array([len(v.as_buffer()) for v in column])
+            out = np.zeros((batch.num_rows, tables, probes + 1), np.int64)
             for size in np.unique(sizes):
                 mine = np.flatnonzero(sizes == size)
                 x = _vectors(column.take(pa.array(mine))).reshape(len(mine), -1)
                 for k in range(tables):
-                    c = cells(x, k, blocks, probes, width)
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "tab": pa.array(np.full(c.size, k, np.int32)),
-                            "cell": pa.array((c + np.int64(size)).ravel()),
-                            "own": pa.array(np.tile(np.arange(probes + 1) == 0, len(c))),
-                            "rep": pa.array(np.repeat(rep[mine], probes + 1)),
-                        }
-                    )
+                    out[mine, k] = cells(x, k, blocks, probes, width) + np.int64(size)
+            found = pa.array([row.tobytes() for row in out], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "cells"])
 
     return run
 
 
-def _met(blocks: int, probes: int, width: float, least: float):
-    """Rows of one part of a cell, sorted by part -> counts (a, null, copies linked) and links (a, b, 0)."""
+def _dealt(tables: int, probes: int):
+    """(key, cells) -> a row for each table and cell."""
 
-    def first_here(x: np.ndarray, k: int, rep: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = tables * (probes + 1)
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "tab": pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), probes + 1), n)),
+                    "cell": pa.array(np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.int64)),
+                    "own": pa.array(np.tile(np.arange(each) % (probes + 1) == 0, n)),
+                    "key": batch.column("key").take(pa.array(np.repeat(np.arange(n), each))),
+                }
+            )
+
+    return run
+
+
+def _met(probes: int, least: float):
+    """Rows of one part of a cell, sorted by part -> counts (a, null, copies linked) and links (a, b, 0),
+    a and b being keys of classes."""
+
+    def first_here(c: np.ndarray, k: int, number: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Of linked pairs with i in its own cell: those that no earlier table, and no other cell of this one, counts."""
         ok = np.ones(len(i), bool)
         for t in range(k + 1):
-            c = cells(x, t, blocks, probes, width)
-            same = c[i, 0] == c[j, 0]
-            back = (c[i] == c[j, :1]).any(1)
+            same = c[i, t, 0] == c[j, t, 0]
+            back = (c[i, t] == c[j, t, :1]).any(1)
             if t < k:
-                ok &= ~(same | back | (c[j] == c[i, :1]).any(1))
+                ok &= ~(same | back | (c[j, t] == c[i, t, :1]).any(1))
             else:
-                ok &= own[j] | ~(back & (rep[j] < rep[i]))
+                ok &= own[j] | ~(back & (number[j] < number[i]))
         return ok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, n = [], [], []
         for group in _groups(batches, "part"):
             side, own = (group.column(c).to_numpy(zero_copy_only=False) for c in ("side", "own"))
-            rep, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
+            copies, keys = group.column("copies").to_numpy(), group.column("key").to_pylist()
+            # Numbers in order of the keys; a class that comes with two of its cells has one number.
+            order = {key: i for i, key in enumerate(sorted(set(keys)))}
+            rep = np.array([order[key] for key in keys])
+            names = list(order)
             x = _vectors(group.column("vector")).reshape(len(rep), -1)
             left, right = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
             ok = (x[left] @ x[right].T >= least) & (own[left, None] | own[None, right])
@@ -179,18 +197,20 @@ def _met(blocks: int, probes: int, width: float, least: float):
             sure = np.concatenate([(x[p[s : s + 65536]] * x[q[s : s + 65536]]).sum(1) for s in range(0, len(p), 65536)]) >= least
             p, q = p[sure], q[sure]
             for u, v in forest(rep[p], rep[q]):
-                a.append(u)
-                b.append(v)
+                a.append(names[u])
+                b.append(names[v])
                 n.append(0)
             i, j = np.where(own[p], p, q), np.where(own[p], q, p)
-            counted = first_here(x, int(group.column("tab")[0].as_py()), rep, own, i, j)
+            k = int(group.column("tab")[0].as_py())
+            c = np.frombuffer(b"".join(group.column("cells").to_pylist()), np.int64).reshape(-1, k + 1, probes + 1)
+            counted = first_here(c, k, rep, own, i, j)
             totals = np.bincount(i[counted], copies[j[counted]], len(rep)) + np.bincount(j[counted], copies[i[counted]], len(rep))
             for u in np.flatnonzero(totals):
-                a.append(int(rep[u]))
+                a.append(keys[u])
                 b.append(None)
                 n.append(int(totals[u]))
         yield pa.RecordBatch.from_pydict(
-            {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())}
+            {"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "n": pa.array(n, pa.int64())}
         )
 
     return run
@@ -215,41 +235,43 @@ def near_vectors(
         "scaled",
     )
     usable = scaled.where("key is not null and vec_id is not null")
-    reps = scratch.keep(
-        usable.groupBy("key", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "reps"
+    # A class is named by the 128-bit hash of its vector, and a component by its least vec_id.
+    classes = usable.groupBy("key", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    named = scratch.keep(
+        classes.mapInArrow(
+            _placed(tables, blocks, probes, width), "key binary, vector binary, rep long, copies long, cells binary"
+        ),
+        "named",
     )
-    # vec_ids that repeat with other vectors would give two classes one name: name by (rep, key) instead.
-    named = scratch.keep(reps.withColumn("node", F.xxhash64("key")), "named")
     placed = scratch.keep(
-        named.select(F.col("node").alias("rep"), "vector").mapInArrow(
-            _placed(tables, blocks, probes, width), "tab int, cell long, own boolean, rep long"
-        ),
+        named.select("key", "cells").mapInArrow(_dealt(tables, probes), "tab int, cell long, own boolean, key binary"),
         "placed",
     )
     crowd = placed.groupBy("tab", "cell").agg(F.count("*").alias("n"), F.count_if("own").alias("owned"))
     crowd = crowd.where("owned > 0 and n > 1").select("tab", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    rows = placed.join(crowd, ["tab", "cell"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    rows = placed.join(crowd, ["tab", "cell"]).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select(
         F.xxhash64("tab", "cell", F.least("mine", "other"), F.greatest("mine", "other")).alias("part"),
         F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
         "tab",
         "own",
-        "rep",
+        "key",
     )
-    full = rows.join(named.select(F.col("node").alias("rep"), "vector", "copies"), "rep")
+    # A pair is counted by what this table and those before it hold; later cells needn't move.
+    upto = F.expr(f"substring(cells, 1, (tab + 1) * {8 * (probes + 1)})")
+    full = rows.join(named.select("key", "vector", "copies", "cells"), "key").withColumn("cells", upto)
     full = full.repartition("part").sortWithinPartitions("part")
-    met = scratch.keep(full.mapInArrow(_met(blocks, probes, width, least), "a long, b long, n long"), "met")
+    met = scratch.keep(full.mapInArrow(_met(probes, least), "a binary, b binary, n long"), "met")
     scratch.drop(placed)
     counts = met.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
-    # Components are of vec_ids: each class stands for its least vec_id.
-    names = named.select("node", "rep")
+    names = named.select("key", "rep")
     links = (
         met.where("b is not null")
         .select("a", "b")
         .distinct()
-        .join(names.withColumnRenamed("node", "a").withColumnRenamed("rep", "u"), "a")
-        .join(names.withColumnRenamed("node", "b").withColumnRenamed("rep", "v"), "b")
+        .join(names.withColumnsRenamed({"key": "a", "rep": "u"}), "a")
+        .join(names.withColumnsRenamed({"key": "b", "rep": "v"}), "b")
         .select(F.col("u").alias("a"), F.col("v").alias("b"))
     )
     member = usable.select("vec_id", "key").join(named.select("key", "rep"), "key").select("vec_id", "rep")
@@ -257,7 +279,8 @@ def near_vectors(
     tied = member.join(twice, "vec_id").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
     found = scratch.keep(stars(links.union(tied), scratch), "components")
     classes = (
-        named.join(counts.withColumnRenamed("a", "node"), "node", "left")
+        named.select("key", "rep", "copies")
+        .join(counts.withColumnRenamed("a", "key"), "key", "left")
         .join(found.withColumnRenamed("id", "rep"), "rep", "left")
         .select(
             "key",
