@@ -1,8 +1,10 @@
+import math
 import random
 
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
 
 from tidelane.llm import sentence_pieces as S
 
@@ -70,3 +72,32 @@ def test_round_trip_and_odd_rows(spark):
         assert r.n_best[0].ids == r.ids and r.n_ids * 2 == len(r.ids)
     assert all(r.same for r in S.digest(df, PATH).collect())
     assert S.digest(df.limit(0), PATH).count() == 0
+
+
+def test_ranks_of_merges_become_log_probabilities(model):
+    assert sum(math.exp(s) for _, s in model.pieces.values()) == pytest.approx(1, abs=1e-6)
+    # Merges 2 and 10 of this model.
+    assert math.exp(model.pieces[S.MARK + "t"][1] - model.pieces["en"][1]) == pytest.approx(11 / 3)
+    # Words mostly stay whole, nearly as with the library's own merges.
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    text = "the cats sat on it and the people of the world said that they would come back"
+    (ids, _, _), = model.encode(pa.array([text]), 1)
+    assert len(ids) // 2 <= 1.2 * len(library.encode(text))
+
+
+@pytest.mark.parametrize("text", ["aaa aaaa aaaaa", "ababab", "  aaa\n\naaa", "xxxxxxxxxxxx", "ß" * 30])
+def test_ties_give_distinct_segmentations(model, text):
+    (best, score, listed), = model.encode(pa.array([text]), 6)
+    assert listed[0] == (score, best)
+    assert len({ids for _, ids in listed}) == len(listed)
+    assert [s for s, _ in listed] == sorted((s for s, _ in listed), reverse=True)
+    want = [s for s, _ in model.n_best(S.MARK + text.replace(" ", S.MARK), 6)]
+    assert [s for s, _ in listed] == pytest.approx(want, abs=1e-6)
+
+
+def test_a_small_memo_gives_the_same(model):
+    small = S.Pieces(PATH)
+    small.units.limit = small.lists.limit = 5
+    texts = pa.array(TEXTS + ["one two three", "two four  five", "one six"])
+    for part in (texts, texts[3:], texts[:9]):
+        assert list(small.encode(part, 3)) == list(model.encode(part, 3))

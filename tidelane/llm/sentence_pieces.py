@@ -9,6 +9,11 @@ both ways, which also gives the exact loss of its second best segmentation; the
 text deviate only in the N - 1 units of least loss (any other choice loses no less), so A* runs in
 those alone and their lists are merged.
 
+A unigram model's scores are log-probabilities and are taken as they are. A merge model has ranks of
+merges for scores, whose sum would favour early merges over whole words; there the piece of rank r
+counts as log(1 / (r + 1)) less the logarithm of the sum of these weights (Zipf's law over the ranks;
+nothing is trained). Scores are rounded to steps of 2**-20.
+
 Text is taken as it is (no normalisation), with the model's space mark for spaces and one before
 the text. A character without a piece is spelled in byte pieces, at the least piece score less 10,
 and so is a literal U+2581. Decoding gives back every text exactly.
@@ -25,6 +30,7 @@ length are encoded whole.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import struct
 from array import array
@@ -107,7 +113,6 @@ class Pieces:
         self.pieces: dict[str, tuple[int, float]] = {}
         self.bytes: dict[int, int] = {}
         self.unknown_id = sp.unk_id()
-        least = 0.0
         for i in range(size):
             piece, score = sp.id_to_piece(i), sp.get_score(i)
             if sp.is_byte(i):
@@ -116,13 +121,20 @@ class Pieces:
                 if "\n" in piece or MARK in piece.lstrip(MARK):
                     raise ValueError(f"piece {piece!r} crosses the bounds of units")
                 self.pieces[piece] = (i, score)
-                # Scores of pieces that are there only to be spelled out don't count.
-                least = min(least, score) if score > -1e8 else least
-        self.unknown = least - UNKNOWN_PENALTY
+        # Scores of pieces that are there only to be spelled out don't count.
+        scores = sorted((s for _, s in self.pieces.values() if s > -1e8), reverse=True)
+        if len(set(scores)) == len(scores) > 1 and all(s.is_integer() for s in scores):
+            # Ranks of merges: a sum of them means nothing, so Zipf's law turns them to log-probabilities.
+            total = math.log(sum(1 / (1 - s) for s in scores))
+            self.pieces = {q: (i, -math.log(1 - s) - total if s > -1e8 else s) for q, (i, s) in self.pieces.items()}
+            scores = [-math.log(1 - scores[-1]) - total]
+        # In steps of 2**-20 sums are exact in any order, so ties are ties for the search.
+        self.pieces = {q: (i, round(s * 2**20) / 2**20) for q, (i, s) in self.pieces.items()}
+        self.unknown = round((min(scores[-1:], default=0.0) - UNKNOWN_PENALTY) * 2**20) / 2**20
         self.longest = max(map(len, self.pieces), default=1)
         self._tables()
         # A unit's entry is one run of bytes: its score, the loss of its second best, its ids.
-        self.units = Memo(lambda unit: _entry(self._unit(unit)), 100_000)
+        self.units = Memo(lambda unit: _entry(self._unit(unit)), 150_000)
         self.lists = Memo(lambda key: self.n_best(*key), 20_000)
 
     def _edges(self, unit: str, i: int) -> list[tuple[int, int, float]]:
@@ -199,8 +211,8 @@ class Pieces:
             if p in self.pieces:
                 self.piece[n], self.score[n] = self.pieces[p]
 
-    def _all_units(self, units: list[str]) -> list[tuple[bytes, float, float]]:
-        """_unit() of many units, column by column for those of frequent characters and moderate length."""
+    def _all_units(self, units: list[str]) -> list[bytes]:
+        """Entries of many units, column by column for those of frequent characters and moderate length."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         row = np.repeat(np.arange(len(units)), sizes)
@@ -208,72 +220,83 @@ class Pieces:
         plain = (sizes > 0) & (sizes <= WIDE)
         plain[row[code < 0]] = False
         mine = np.flatnonzero(plain)
+        kept, ends = code[plain[row]], np.concatenate([[0], np.cumsum(sizes[mine])])
         out: list = [None] * len(units)
         for start in range(0, len(mine), 1 << 13):
             own = mine[start : start + (1 << 13)]
-            self._columns(units, own, sizes[own], code[plain[row] & (row >= own[0]) & (row <= own[-1])], out)
-        for i in np.flatnonzero(~plain):
-            out[i] = self._unit(units[i])
+            self._columns(units, own, sizes[own], kept[ends[start] : ends[start + len(own)]], out)
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = _entry(self._unit(units[i]))
         return out
 
     def _columns(self, units: list[str], own: np.ndarray, sizes: np.ndarray, code: np.ndarray, out: list) -> None:
+        """_unit() of the units own, a position of all of them at a time; tables are (position, unit)."""
         n, width = len(own), int(sizes.max())
+        every = np.arange(n)
         c = np.zeros((n, width), np.int32)
         c[np.arange(width) < sizes[:, None]] = code
-        ahead = np.full((n, width + 1), -np.inf)
-        ahead[:, 0] = 0
-        came = np.zeros((n, width + 1), np.int32)
-        by = np.full((n, width + 1), -1, np.int32)
+        c = np.ascontiguousarray(c.T)
+        ahead = np.full((width + 1, n), -np.inf)
+        ahead[0] = 0
+        came = np.zeros((width + 1, n), np.int32)
+        by = np.full((width + 1, n), -1, np.int32)
         edges = []
         for i in range(width):
             rows = np.flatnonzero(sizes > i)
             node = np.zeros(len(rows), np.int32)
             for j in range(i + 1, width + 1):
-                node = self.next[node, c[rows, j - 1]]
-                alive = (node > 0) & (sizes[rows] >= j)
-                found = alive & (self.piece[node] >= 0)
-                r, piece, score = rows[found], self.piece[node[found]], self.score[node[found]]
-                if j == i + 1 and not found.all():
-                    r = np.concatenate([r, rows[~found]])
-                    piece = np.concatenate([piece, np.full(len(r) - len(piece), -1, np.int32)])
-                    score = np.concatenate([score, np.full(len(r) - len(score), self.unknown)])
+                node = self.next[node, c[j - 1].take(rows)]
+                alive = (node > 0) & (sizes.take(rows) >= j)
+                piece, score = self.piece.take(node), self.score.take(node)
+                piece[~alive] = -1
+                if j == i + 1:
+                    r, score = rows, np.where(piece >= 0, score, self.unknown)
+                else:
+                    found = np.flatnonzero(piece >= 0)
+                    r, piece, score = rows.take(found), piece.take(found), score.take(found)
                 if len(r):
                     edges.append((i, j, r, score))
-                    value = ahead[r, i] + score
-                    better = value > ahead[r, j]
-                    b = r[better]
-                    ahead[b, j], came[b, j], by[b, j] = value[better], i, piece[better]
-                rows, node = rows[alive], node[alive]
-                if not len(rows):
+                    value = ahead[i].take(r) + score
+                    better = np.flatnonzero(value > ahead[j].take(r))
+                    b = r.take(better)
+                    ahead[j][b], came[j][b], by[j][b] = value.take(better), i, piece.take(better)
+                kept = np.flatnonzero(alive)
+                if not len(kept):
                     break
+                rows, node = rows.take(kept), node.take(kept)
         # Back along the best paths.
         ids = np.zeros((n, width), np.int32)
-        taken = np.full((n, width + 1), -1, np.int32)
+        taken = np.full((width + 1, n), -1, np.int32)
         steps = np.zeros(n, np.int64)
-        at, live = sizes.copy(), np.arange(n)
+        at, live = sizes.copy(), every
         while len(live):
-            before = came[live, at[live]]
+            end = at[live]
+            before = came[end, live]
             steps[live] += 1
-            ids[live, width - steps[live]] = by[live, at[live]]
-            taken[live, before] = at[live]
+            ids[live, width - steps[live]] = by[end, live]
+            taken[before, live] = end
             at[live] = before
             live = live[before > 0]
-        rest = np.full((n, width + 1), -np.inf)
-        rest[np.arange(n), sizes] = 0
+        rest = np.full((width + 1, n), -np.inf)
+        rest[sizes, every] = 0
         second = np.full(n, -np.inf)
         for i, j, r, score in reversed(edges):
-            value = score + rest[r, j]
-            rest[r, i] = np.maximum(rest[r, i], value)
-            other = taken[r, i] != j
-            second[r[other]] = np.maximum(second[r[other]], (ahead[r, i] + value)[other])
+            value = score + rest[j].take(r)
+            rest[i][r] = np.maximum(rest[i].take(r), value)
+            other = np.flatnonzero(taken[i].take(r) != j)
+            o = r.take(other)
+            second[o] = np.maximum(second.take(o), (ahead[i].take(r) + value).take(other))
         used = np.arange(width) >= width - steps[:, None]
         spelled = ((ids < 0) & used).any(1)
         flat = ids[used].astype(self.kind).tobytes()
-        ends = np.cumsum(steps) * self.kind.itemsize
-        best = ahead[np.arange(n), sizes]
-        rows = zip(own.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), best.tolist(), (best - second).tolist(), spelled.tolist())
-        for k, a, b, top, gap, in_bytes in rows:
-            out[k] = self._unit(units[k]) if in_bytes else (flat[a:b], top, gap)
+        best = ahead[sizes, every]
+        head = np.stack([best, best - second], 1).astype("<f8").tobytes()
+        at = 0
+        for k, h, after in zip(own.tolist(), range(0, 16 * n, 16), (np.cumsum(steps) * self.kind.itemsize).tolist()):
+            out[k] = head[h : h + 16] + flat[at:after]
+            at = after
+        for k in own[spelled].tolist():
+            out[k] = _entry(self._unit(units[k]))
 
     def n_best(self, unit: str, n: int) -> list[tuple[float, bytes]]:
         """Up to n segmentations by falling score: A* from the end, the forward scores as heuristic."""
@@ -308,8 +331,9 @@ class Pieces:
         """Units of one text."""
         return _UNITS.findall(MARK + text.replace(MARK, LITERAL).replace(" ", MARK)) if text else []
 
-    def encode(self, texts: pa.Array, n_best: int) -> Iterator[tuple[bytes, float, list[tuple[float, bytes]]]]:
-        """For each text the best ids, their score, and the n_best segmentations (score, ids)."""
+    def encode_all(self, texts: pa.Array, n_best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[float, bytes]]]]:
+        """Best ids of all texts end to end, where each text's begin and end, their scores, and the
+        n_best segmentations (score, ids) of each text."""
         texts = texts.fill_null("")
         odd = pc.match_substring_regex(texts, ODD)
         simple = pc.if_else(pc.or_(odd, pc.equal(texts, "")), "", pc.binary_join_element_wise(MARK, texts, ""))
@@ -319,46 +343,62 @@ class Pieces:
         edges -= edges[0]
         coded = parts.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        names = coded.dictionary.to_pylist()
-        found = self.units.many(names, lambda missing: map(_entry, self._all_units(missing)))
-        ids, scores, gaps = _entries(found)
-        for t, is_odd in enumerate(odd.to_pylist()):
-            if is_odd:
-                units = self.split(texts[t].as_py())
-                yield self._text(units, *_entries([self.units[u] for u in units]), n_best)
-            else:
-                c = codes[edges[t] : edges[t + 1]]
-                yield self._text(c, ids, scores, gaps, n_best, names)
-
-    def _text(self, units, ids, scores, gaps, n_best, names=None):
-        """units: codes of the tables ids, scores, gaps and names; without names, the units themselves."""
-        if names is None:
-            names, units = units, np.arange(len(units))
-        parts = [ids[u] for u in units.tolist()]
-        total = float(scores[units].sum())
-        best = b"".join(parts)
-        if n_best < 2:
-            return best, total, [(total, best)]
-        gap = gaps[units]
-        k = min(n_best - 1, len(gap))
-        spots = np.argpartition(gap, k - 1)[:k] if 0 < k < len(gap) else np.arange(k)
-        # The texts' segmentations, as choices at the spots: the n best sums over the spots so far.
-        sums: list[tuple[float, tuple]] = [(0.0, ())]
-        for spot in sorted(int(s) for s in spots if np.isfinite(gap[s])):
-            choices = self.lists[names[units[spot]], n_best]
-            top = choices[0][0]
-            joined = [(loss + top - s, picked + ((spot, code),)) for loss, picked in sums for s, code in choices]
-            sums = heapq.nsmallest(n_best, joined, key=lambda x: x[0])
-        out = []
-        for loss, picked in sums:
-            if loss == 0.0 and not out:
-                out.append((total, best))
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(strange := np.flatnonzero(odd.to_numpy(zero_copy_only=False))):
+            # Such a text is one empty unit so far; its own units take that one's place.
+            place = {u: i for i, u in enumerate(names)}
+            runs, before, sizes = [], 0, np.diff(edges)
+            for t in strange.tolist():
+                own = [place.setdefault(u, len(place)) for u in self.split(texts[t].as_py())]
+                runs += [codes[before : edges[t]], np.array(own, codes.dtype)]
+                before, sizes[t] = edges[t + 1], len(own)
+            codes = np.concatenate([*runs, codes[before:]])
+            names, edges = list(place), np.concatenate([[0], np.cumsum(sizes)])
+        table, scores, gaps = _entries(self.units.many(names, self._all_units))
+        lengths = np.fromiter(map(len, table), np.int64, len(table)) // self.kind.itemsize
+        ids = np.frombuffer(b"".join(table), self.kind)[spread(lengths, codes)]
+        starts = np.concatenate([[0], np.cumsum(lengths[codes])])
+        # Sums of each text's own run of units.
+        totals = np.zeros(len(texts))
+        full = np.flatnonzero(np.diff(edges))
+        totals[full] = np.add.reduceat(scores[codes], edges[full]) if len(full) else 0
+        ends = starts[edges]
+        raw, width = memoryview(ids).cast("B") if len(ids) else b"", self.kind.itemsize
+        listed, gap = [], gaps[codes]
+        bounds, spans = edges.tolist(), (ends * width).tolist()
+        for t, total in enumerate(totals.tolist()):
+            a, b = bounds[t], bounds[t + 1]
+            best = bytes(raw[spans[t] : spans[t + 1]])
+            if n_best < 2:
+                listed.append([(total, best)])
                 continue
-            changed = parts.copy()
-            for spot, code in picked:
-                changed[spot] = code
-            out.append((total - loss, b"".join(changed)))
-        return best, total, out
+            own = gap[a:b]
+            k = min(n_best - 1, b - a)
+            spots = np.argpartition(own, k - 1)[:k] if 0 < k < b - a else range(k)
+            # The text's segmentations, as choices at the spots: the n best sums over the spots so far.
+            sums: list[tuple[float, tuple]] = [(0.0, ())]
+            for spot in sorted(a + int(s) for s in spots if own[s] < np.inf):
+                mine, choices = table[codes[spot]], self.lists[names[codes[spot]], n_best]
+                # Of equally good ones the one in the best ids comes first.
+                top = choices[0][0]
+                choices = [(top, mine), *[c for c in choices if c[1] != mine][: n_best - 1]]
+                joined = [(loss + top - s, (*picked, (spot, code))) for loss, picked in sums for s, code in choices]
+                sums = heapq.nsmallest(n_best, joined, key=lambda x: x[0])
+            out = [(total, best)]
+            for loss, picked in sums[1:]:
+                changed, at = [], spans[t]
+                for spot, code in picked:
+                    changed += [raw[at : int(starts[spot]) * width], code]
+                    at = int(starts[spot + 1]) * width
+                out.append((total - loss, b"".join([*changed, raw[at : spans[t + 1]]])))
+            listed.append(out)
+        return ids, ends, totals, listed
+
+    def encode(self, texts: pa.Array, n_best: int) -> Iterator[tuple[bytes, float, list[tuple[float, bytes]]]]:
+        """For each text the best ids, their score, and the n_best segmentations (score, ids)."""
+        _, _, totals, listed = self.encode_all(texts, n_best)
+        for total, found in zip(totals.tolist(), listed):
+            yield found[0][1], total, found
 
 
 _models: dict[str, Pieces] = {}
@@ -399,29 +439,31 @@ def encoded(docs: DataFrame, model: str, n_best: int = 1, decode: bool = False)
         try:
             yield from work(batches)
         finally:
-            _models.clear()
             give_back()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, spelled = pieces(model), spelling(model)
         for batch in batches:
             for a, b in slices(batch.column("text")):
-                rows = p.encode(batch.column("text").slice(a, b - a), n_best)
-                # Some hundred rows at a time, as they hold n_best codes each.
-                for i in range(a, b, 256):
-                    part = batch.slice(i, min(256, b - i))
-                    got = [next(rows) for _ in range(part.num_rows)]
-                    ids = [g[0] for g in got]
-                    columns = [
-                        *[part.column(c) for c in rest],
-                        pa.array(ids, pa.binary()),
-                        pa.array([len(x) // p.kind.itemsize for x in ids], pa.int64()),
-                        pa.array([g[1] for g in got], pa.float64()),
-                        pa.array([[{"score": s, "ids": x} for s, x in g[2]] for g in got], _N_BEST),
-                    ]
-                    if decode:
-                        columns.append(spelled.decode(columns[len(rest)]))
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                part = batch.slice(a, b - a)
+                ids, ends, totals, listed = p.encode_all(part.column("text"), n_best)
+                flat = [x for found in listed for x in found]
+                each = pa.StructArray.from_arrays(
+                    [pa.array([s for s, _ in flat], pa.float64()), pa.array([x for _, x in flat], pa.binary())],
+                    fields=list(_N_BEST.value_type),
+                )
+                offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, listed), np.int64, len(listed)))])
+                codes = pa.array([found[0][1] for found in listed], pa.binary())
+                columns = [
+                    *[part.column(c) for c in rest],
+                    codes,
+                    pa.array(np.diff(ends), pa.int64()),
+                    pa.array(totals),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each, type=_N_BEST),
+                ]
+                if decode:
+                    columns.append(spelled.decode(codes))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = StructType([f for f in docs.schema if f.name != "text"])
     kind.add("ids", "binary").add("n_ids", "long").add("score", "double")
