@@ -5,15 +5,16 @@ Expectation maximisation takes the true quality as hidden: a document is good, o
 as many ways as there are rules (junk of one kind passes the rules made for other kinds). It gives
 the share of each, and each rule's accuracy in each: how often it calls good documents good, and
 documents of each failure bad. Votes count as independent given the quality. Rules state how often they
-may call a good document bad; that guess weighs as much as all documents do, so a rule counts as
-evidence by itself only where it speaks up clearly more often. The input is the number of
+may call a good document bad; that guess weighs as ALARM_PRIOR documents, which larger tables outweigh.
+The input is the number of
 documents of each combination of votes (at most 3 to the number of rules, however many
 documents), so all documents shape the estimates and the driver holds only that table. A document
 is kept if its posterior probability of being good is at least KEEP and it does not fail the base
 rule (fewer than 50 words, or over half of the words in repeated 3-word windows).
 
 Nulls: a null text has no words and fails the base rule; a null doc_id is kept as it is. Repeated
-rows count as often as they stand; an empty table gives an empty result. Texts are read whole.
+rows count as often as they stand; an empty table gives an empty result. Texts are read whole, and no
+rule depends on their length. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from tidelane.llm._shared import Scratch, ship, slices, table, word_codes
 
 #: First guesses: the share of good documents; how often a rule calls bad its own failure, and others.
 START = (0.9, 0.9, 0.15)
-PRIOR, KEEP, ROUNDS = 2.0, 0.5, 200
+#: How many documents the guesses weigh: a rule's false alarms, and the others.
+ALARM_PRIOR, PRIOR = 1000.0, 2.0
+KEEP, ROUNDS = 0.5, 200
 SYMBOLS = b"#*$%&|<>"
 MEASURES = [
     "n_words",
@@ -132,15 +135,15 @@ def _share(part: str, whole: str) -> Column:
     return F.try_divide(F.col(part).cast("double"), F.col(whole))
 
 
-
-
 def _rules() -> list[tuple[str, Column, Column, float]]:
     """Each rule: name, where it votes bad, where it votes good, how often it may call a good document
     bad. Elsewhere it abstains."""
     word = _share("word_chars", "n_words")
     symbols = _share("n_symbols", "n_words")
     dup, ends = _share("n_dup_lines", "n_lines"), _share("n_ends", "n_lines")
-    repeat, distinct = _share("n_repeat_words", "n_words"), _share("n_distinct", "n_words")
+    repeat = _share("n_repeat_words", "n_words")
+    # Distinct words grow as a power of the words: the power hardly depends on the length.
+    variety = F.try_divide(F.ln(F.col("n_distinct")), F.ln(F.col("n_words")))
     upper, digits = _share("n_upper", "n_letters"), _share("n_digits", "word_chars")
     letters = _share("n_letters", "word_chars")
     return [
@@ -152,7 +155,7 @@ def _rules() -> list[tuple[str, Column, Column, float]]:
         ("digits", digits > 0.2, digits <= 0.03, 0.02),
         ("letters", letters < 0.7, letters >= 0.9, 0.02),
         ("line_ends", ends < 0.1, ends >= 0.5, 0.05),
-        ("variety", (distinct < 0.2) & (F.col("n_words") <= 1000), distinct >= 0.4, 0.05),
+        ("variety", variety < 0.7, variety >= 0.85, 0.05),
     ]
 
 
@@ -163,8 +166,7 @@ def estimate(votes: np.ndarray, n: np.ndarray, alarm: np.ndarray) -> tuple[np.nd
     shares = np.array([START[0], *[(1 - START[0]) / rules] * rules])
     rates = np.vstack([alarm, np.full((rules, rules), START[2]) + np.eye(rules) * (START[1] - START[2])])
     start, total = rates.copy(), n.sum()
-    # The expected false alarms weigh as much as the documents; the other guesses weigh as a few.
-    weight = np.array([total, *[PRIOR] * rules])[:, None]
+    weight = np.array([ALARM_PRIOR, *[PRIOR] * rules])[:, None]
     for _ in range(ROUNDS):
         who = n[:, None] * posterior(votes, shares, rates)
         new_shares = np.maximum(who.sum(0) / total, 1e-9)
