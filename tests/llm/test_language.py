@@ -88,3 +88,32 @@ def test_copies_leave_room_for_other_texts(spark):
         assert (model.owner == model.languages.index("de")).sum() == L.CLUSTERS
         odd = spark.createDataFrame([(make(de),), (make(en),)], "text string")
         assert [(x.lang_pred, x.rejected) for x in L.predicted(odd, model).collect()] == [("de", False), ("en", False)]
+
+
+def test_predictions_match_plain_code(spark):
+    """Nearest centroid by cosine, score and rejection, text by text, from the model's numbers."""
+    r = random.Random(8)
+    vocabularies = {lang: ["".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(60)] for lang, letters in [("aa", "etaoin"), ("bb", "shrdlu"), ("cc", "cmfgyp")]}
+    make = lambda lang, n: " ".join(r.choice(vocabularies[lang]) for _ in range(n))
+    rows = [(i, make(lang, r.randint(3, 90)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 30)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    tests = [make(lang, n) for lang in vocabularies for n in (1, 4, 50, 400)] + ["жизнь и мир", "qqq zzz xxx " * 50, "", "12", "е", make("aa", 30000)]
+    out = L.predicted(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model).collect()
+    assert len(model.centroids) == 12
+    for x in out:
+        counts = plain_counts(tests[x.doc_id])
+        weights = [(1 + np.log(c)) * idf if c else 0.0 for c, idf in zip(counts, model.idf)]
+        length = sum(w * w for w in weights) ** 0.5
+        if not length:
+            assert (x.lang_pred, x.score, x.rejected) == ("und", 0, True)
+            continue
+        cosines = [sum(w * c for w, c in zip(weights, center) if w) / length for center in model.centroids]
+        best = max(range(12), key=lambda j: cosines[j])
+        assert x.score == pytest.approx(max(cosines[best], 0), abs=1e-5)
+        assert cosines[model.owner.tolist().index(model.languages.index(x.lang_pred))] <= cosines[best] + 1e-6
+        assert max(c for c, o in zip(cosines, model.owner) if model.languages[o] == x.lang_pred) == pytest.approx(cosines[best], abs=1e-5)
+        letters = sum(c.isalpha() for c in tests[x.doc_id])
+        least = model.nearest[letters.bit_length() - 1]
+        assert x.rejected == (x.score < least) or abs(x.score - least) < 1e-5
+    verdict = {x.doc_id: x.rejected for x in out}
+    assert verdict[12] and verdict[13] and not any(verdict[i] for i in (3, 7, 11, 17))

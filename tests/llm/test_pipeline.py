@@ -50,3 +50,34 @@ def test_odd_rows_pass_every_stage(spark):
             if name == "near_duplicates" and out:
                 ids = [x.doc_id for x in out]
                 assert ids.count(None) == 2 and len(ids) == len(set(ids)) + 1 and set(range(30)) <= set(ids)
+
+
+def test_any_further_columns_pass(spark):
+    """A map column, names that operators use themselves, repeated ids, a very long text."""
+    r = random.Random(2)
+    make = lambda n: " ".join("".join(r.choice("etaoin") for _ in range(4)) for _ in range(n))
+    names = ["gone", "twice", "row", "order", "id", "blob", "rejected", "score", "size", "copies", "doc", "key", "_bad", "ids", "spans", "a.b"]
+    rows = [(i, make(80), "en", "s", 1) for i in range(20)] + [(99, make(30000), "en", "s", 1)]
+    rows += [(3, "second " + make(60), "en", "t", 2), rows[4], (77, make(50) + " token=abcdefgh", "en", "s", 1)]
+    kind = KIND + ", m map<string,int>, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(*x, {"a": x[0]}, *["v"] * len(names)) for x in rows], kind)
+    kept = []
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert all(x[n] == "v" for x in found for n in names) and all(x.m == {"a": x.doc_id} for x in found), name
+        kept.append({x.doc_id for x in found})
+        if name == "near_duplicates":
+            assert len(found) == len(kept[-1]) == 22
+    assert kept[2] == kept[1] - {77}
+    last = C.STAGES[-1][1](spark, docs, "").collect()
+    assert all(x.n_best[0].ids == x.ids and len({y.ids for y in x.n_best}) == 4 for x in last)
+
+
+def test_the_secrets_stage_goes_on_with_a_ledger(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "token=abcdefgh", "en", "s", 1), (2, "nothing", "en", "s", 1)], KIND)
+    path = str(tmp_path / "ledger")
+    for _ in range(2):
+        assert [x.doc_id for x in C.without_secrets(spark, docs, "", path).collect()] == [2]
+        assert secrets.ledger(spark, path).count() == 2
