@@ -156,3 +156,35 @@ def test_bars_have_one_row_each(spark):
     ticks = spark.createDataFrame([("s", datetime(2024, 1, 1, 0, m), m, float(m + 1)) for m in (0, 14, 15, 59)], "symbol string, ts timestamp_ntz, key int, price double")
     got = bars.from_ticks(ticks, bars.quarter_hour(F.col("ts"))).orderBy("bar_ts").collect()
     assert [(r.bar_ts.minute, r.open, r.close, r.volume) for r in got] == [(0, 1.0, 15.0, 2.0), (15, 16.0, 16.0, 1.0), (45, 60.0, 60.0, 1.0)]
+
+
+def test_lifecycle_settings():
+    import pytest
+
+    from tidelane.operators import lifecycle as L
+
+    for m, c in L.PRESETS.values():
+        L.checked(m, c)
+    for m, c in [(L.Macd(fast=30), L.Cycle()), (L.Macd(signal_kind="x"), L.Cycle()), (L.Macd(), L.Cycle(watch=60.0)), (L.Macd(), L.Cycle(hard_stop=1.5))]:
+        with pytest.raises(ValueError):
+            L.checked(m, c)
+
+
+def test_parts_that_are_off_leave_the_denominator(spark):
+    from pyspark.sql import functions as F
+
+    from tidelane.operators import lifecycle as L
+    from tidelane.sources import bars
+
+    b = bars.load(spark, "/root/testdata/sf0.001", "1wk")
+    m = L.Macd(use_plain=False, use_adx=False, no_chase=False, signal_kind="ema")
+    x = L.indicator(b, m)
+    most, least = x.agg(F.max("buy_score"), F.min("sell_score")).first()
+    assert 0 <= least and most <= 100
+    # 70 points are left on the buying side: every score is a share of them.
+    scores = [r.buy_score * 70 / 100 for r in x.select("buy_score").distinct().collect()]
+    assert all(abs(s - round(s)) < 1e-6 for s in scores)
+    # All in, then half out once: never more than one reduction a position.
+    y = L.lifecycle(L.indicator(b), L.Cycle(execute_reduce=True, reduce=36.0, watch=35.0))
+    for r in y.groupBy("symbol").agg(F.sum("reduced").alias("cut"), F.sum("first_buy").alias("bought")).collect():
+        assert r.cut <= r.bought

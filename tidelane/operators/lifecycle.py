@@ -7,11 +7,11 @@ one group; symbols spread over tasks). Everything between them is window columns
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.functions.windows import by_time, div, flag, frame, full, prior, so_far
@@ -34,6 +34,12 @@ class Macd:
     histogram_bars: int = 2
     adx_least: float = 18.0
     most_extension: float = 3.0
+    signal_kind: str = "dema"
+    #: Optional parts of the scores; one that is off leaves the denominator too.
+    use_plain: bool = True
+    use_adx: bool = True
+    use_kernel: bool = True
+    no_chase: bool = True
 
 
 @dataclass(frozen=True)
@@ -49,15 +55,63 @@ class Cycle:
     atr_times: float = 3.0
     hard_stop: float = 0.12
     need_bull_cross: bool = True
+    need_bear_cross: bool = False
+    execute_reduce: bool = False
+    reduce_fraction: float = 0.5
 
 
-#: Named settings: buy, sell, cooldown, stop distance.
+#: Named settings; fixed values.
 PRESETS = {
-    "balanced": Cycle(),
-    "patient": Cycle(buy=70.0, sell=70.0, cooldown=5, atr_times=4.0),
-    "quick": Cycle(buy=60.0, sell=60.0, cooldown=2, atr_times=2.5),
+    "balanced": (Macd(), Cycle()),
+    "continuation": (
+        Macd(cross_bars=2, slope_bars=1, histogram_bars=1, use_adx=False, use_kernel=False, no_chase=False),
+        Cycle(buy=60.0, sell=60.0, sell_bars=1, cooldown=1, need_bear_cross=True),
+    ),
+    "fast": (
+        Macd(fast=8, slow=21, signal=5, trend=34, cross_bars=2, slope_bars=1, histogram_bars=1, adx_least=16.0, most_extension=2.8),
+        Cycle(buy=60.0, watch=30.0, reduce=45.0, sell=60.0, sell_bars=1, cooldown=2, atr_times=2.7, hard_stop=0.10),
+    ),
+    "smooth": (
+        Macd(fast=14, slow=35, signal=11, trend=75, cross_bars=4, slope_bars=3, adx_least=20.0, most_extension=3.5),
+        Cycle(buy=70.0, watch=40.0, reduce=55.0, sell=70.0, buy_bars=2, sell_bars=3, cooldown=5, atr_times=3.5, hard_stop=0.15),
+    ),
 }
 
+#: What each state means for the next open.
+STATES = [
+    ("WAIT / CASH", "no position, no setup", "none"),
+    ("BUY WATCH", "a setup forms, or waits for the cooldown", "none"),
+    ("BUY", "setup confirmed", "buy at the next open"),
+    ("HOLD", "position kept", "none"),
+    ("SELL WATCH", "first weakness", "none"),
+    ("REDUCE", "weakness below a full sale", "part of the position, once, where that is switched on"),
+    ("SELL", "weakness confirmed", "sell at the next open"),
+    ("RISK EXIT", "a stop is breached", "sell at the next open"),
+]
+
+
+def checked(m: Macd, c: Cycle) -> None:
+    """Raises ValueError where settings contradict one another."""
+    lengths = [m.fast, m.slow, m.signal, m.plain_fast, m.plain_slow, m.plain_signal, m.adx, m.trend, m.swing, m.cross_bars, m.slope_bars, m.histogram_bars]
+    if min(lengths) < 1 or m.fast >= m.slow or m.plain_fast >= m.plain_slow:
+        raise ValueError("lengths must be 1 or more, the fast ones below the slow ones")
+    if m.signal_kind not in ("dema", "ema") or m.adx_least < 0 or m.most_extension <= 0:
+        raise ValueError("signal_kind is dema or ema; limits are positive")
+    if c.capital <= 0 or not 0 <= c.watch <= c.reduce <= c.sell <= 100 or not 0 <= c.buy <= 100:
+        raise ValueError("capital is positive; 0 <= watch <= reduce <= sell <= 100 and 0 <= buy <= 100")
+    if min(c.buy_bars, c.sell_bars) < 1 or c.cooldown < 0 or c.atr_times <= 0 or not 0 < c.hard_stop < 1 or not 0 < c.reduce_fraction < 1:
+        raise ValueError("bars are 1 or more, the stops positive, the fractions between 0 and 1")
+
+
+def states(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i + 1, *x) for i, x in enumerate(STATES)], "place int, state string, meaning string, execution string")
+
+
+def preset_table(spark: SparkSession) -> DataFrame:
+    """The presets' settings: preset, setting, value."""
+    rows = [(name, k, str(v)) for name, both in PRESETS.items() for part in both for k, v in asdict(part).items()]
+    return spark.createDataFrame(rows, "preset string, setting string, value string")
+
 
 def ema(x: pd.Series, n: int) -> pd.Series:
     return x.ewm(span=n, adjust=False, min_periods=n).mean()
@@ -103,7 +157,7 @@ def smoothed(bars: DataFrame, c: Macd = Macd(), lengths: dict[str, Column] | Non
         atr = wilder(g["tr"], m.adx)
         plus, minus = (100 * wilder(g[k], m.adx) / atr.replace(0, np.nan) for k in ("plus", "minus"))
         strength = 100 * (plus - minus).abs() / (plus + minus).replace(0, np.nan)
-        columns = [line, dema(line, m.signal), plain, ema(plain, m.plain_signal), dema(g["px"], m.trend), atr, plus, minus, wilder(strength, m.adx)]
+        columns = [line, (dema if m.signal_kind == "dema" else ema)(line, m.signal), plain, ema(plain, m.plain_signal), dema(g["px"], m.trend), atr, plus, minus, wilder(strength, m.adx)]
         return pd.DataFrame({"symbol": g["symbol"], "bar_ts": g["bar_ts"]} | dict(zip(_SMOOTH, columns)))
 
     out = x.groupBy("symbol").applyInPandas(run, "symbol string, bar_ts timestamp_ntz, " + ", ".join(f"{k} double" for k in _SMOOTH))
@@ -122,6 +176,7 @@ def indicator(bars: DataFrame, c: Macd = Macd(), kernel: DataFrame | None = None
     in the denominator. lengths: as for smoothed().
     """
     x = adjusted(bars).join(smoothed(bars, c, lengths), ["symbol", "bar_ts"])
+    kernel = kernel if c.use_kernel else None
     if kernel is not None:
         x = x.join(kernel.select("symbol", "bar_ts", "direction", F.col("trend").alias("path")), ["symbol", "bar_ts"], "left")
     x = x.withColumns({"hist": F.col("line") - F.col("signal"), "plain_hist": F.col("plain") - F.col("plain_signal")})
@@ -159,9 +214,9 @@ def indicator(bars: DataFrame, c: Macd = Macd(), kernel: DataFrame | None = None
         (col("hist_rising"), 8),
         (col("px") > col("base"), 10),
         (col("base_slope") > 0, 8),
-        ((col("plain") > col("plain_signal")) & (col("plain_hist") >= 0), 10),
-        (strong & (col("plus_di") > col("minus_di")), 8),
-        (col("extension") <= c.most_extension, 4),
+        *[((col("plain") > col("plain_signal")) & (col("plain_hist") >= 0), 10)] * c.use_plain,
+        *[(strong & (col("plus_di") > col("minus_di")), 8)] * c.use_adx,
+        *[(col("extension") <= c.most_extension, 4)] * c.no_chase,
     ]
     sell = [
         (col("recent_bear"), 16),
@@ -171,8 +226,8 @@ def indicator(bars: DataFrame, c: Macd = Macd(), kernel: DataFrame | None = None
         (col("hist_falling"), 10),
         (col("px") < col("base"), 10),
         (col("base_slope") < 0, 8),
-        ((col("plain") < col("plain_signal")) & (col("plain_hist") <= 0), 8),
-        (strong & (col("minus_di") > col("plus_di")), 6),
+        *[((col("plain") < col("plain_signal")) & (col("plain_hist") <= 0), 8)] * c.use_plain,
+        *[(strong & (col("minus_di") > col("plus_di")), 6)] * c.use_adx,
         (col("swing_break"), 6),
     ]
     if kernel is not None:
@@ -188,11 +243,12 @@ def indicator(bars: DataFrame, c: Macd = Macd(), kernel: DataFrame | None = None
     return x.withColumns({"buy_score": score(buy), "sell_score": score(sell)})
 
 
-_PATH = "symbol string, bar_ts timestamp_ntz, shares double, cash double, first_buy int, first_sell int, state string, executed string"
+_PATH = "symbol string, bar_ts timestamp_ntz, shares double, cash double, first_buy int, first_sell int, state string, executed string, reduced int, entry double, peak double, rested boolean"
 
 
 def lifecycle(x: DataFrame, c: Cycle = Cycle(), levels: dict[str, Column] | None = None) -> DataFrame:
-    """indicator() with shares, cash, portfolio, first_buy, first_sell, state (of the bar), executed.
+    """indicator() with shares, cash, portfolio, first_buy, first_sell, reduced, state (of the bar) and its
+    reason, executed, entry and peak of the open position, hard_stop and atr_stop.
 
     levels replaces buy, watch, reduce or sell of c by columns that are constant in a symbol.
     """
@@ -202,7 +258,9 @@ def lifecycle(x: DataFrame, c: Cycle = Cycle(), levels: dict[str, Column] | None
     if c.need_bull_cross:
         candidate = candidate & F.col("recent_bull")
     x = x.withColumn("candidate", candidate)
-    x = x.withColumns({"buy_ok": _steady(F.col("candidate"), c.buy_bars), "sell_ok": _steady(F.col("sell_score") >= levels.get("sell", F.lit(c.sell)), c.sell_bars)})
+    weak = flag(F.col("sell_score") >= levels.get("sell", F.lit(c.sell)))
+    weak = weak & F.col("recent_bear") if c.need_bear_cross else weak
+    x = x.withColumns({"buy_ok": _steady(F.col("candidate"), c.buy_bars), "sell_ok": _steady(weak, c.sell_bars)})
     narrow = x.select(
         *["symbol", "bar_ts", "adj_open", "px", "atr", "swing_break", "buy_score", "sell_score", "candidate", "buy_ok", "sell_ok"],
         *[v.cast("double").alias(f"own_{k}") for k, v in levels.items()],
@@ -211,18 +269,22 @@ def lifecycle(x: DataFrame, c: Cycle = Cycle(), levels: dict[str, Column] | None
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("bar_ts", ignore_index=True)
         m = replace(c, **{k: float(g[f"own_{k}"].iat[0]) for k in own})
-        cash, shares, entry, peak, left = m.capital, 0.0, 0.0, 0.0, None
+        cash, shares, entry, peak, left, reduced = m.capital, 0.0, 0.0, 0.0, None, False
         rows = []
         order = None
         for i, b in enumerate(g.itertuples()):
-            bought = sold = 0
+            bought = sold = cut = 0
             executed = ""
             # The order of the bar before fills at this open.
             if order in ("SELL", "RISK EXIT"):
                 cash, shares, sold, executed = cash + shares * b.adj_open, 0.0, 1, order
+            elif order == "REDUCE":
+                part = shares * m.reduce_fraction
+                cash, shares, reduced, cut, executed = cash + part * b.adj_open, shares - part, True, 1, order
             elif order == "BUY":
-                shares, cash, entry, bought, executed = cash / b.adj_open, 0.0, b.adj_open, 1, order
+                shares, cash, entry, bought, executed, reduced = cash / b.adj_open, 0.0, b.adj_open, 1, order, False
                 peak = max(entry, b.px)
+            rested = left is None or i - left >= m.cooldown
             if shares > 0:
                 peak = max(peak, b.px)
                 stop = b.swing_break or b.px <= entry * (1 - m.hard_stop) or (b.atr == b.atr and b.px <= peak - m.atr_times * b.atr)
@@ -230,17 +292,131 @@ def lifecycle(x: DataFrame, c: Cycle = Cycle(), levels: dict[str, Column] | None
                 if state in ("RISK EXIT", "SELL"):
                     left = i
             else:
-                rested = left is None or i - left >= m.cooldown
                 hopeful = b.buy_score >= max(45.0, m.buy - 15.0)
                 state = "BUY" if b.buy_ok and rested else "BUY WATCH" if (b.candidate and not rested) or hopeful else "WAIT / CASH"
-            order = state if state in ("BUY", "SELL", "RISK EXIT") else None
-            rows.append((b.symbol, b.bar_ts, shares, cash, bought, sold, state, executed))
+            order = state if state in ("BUY", "SELL", "RISK EXIT") or (state == "REDUCE" and m.execute_reduce and not reduced) else None
+            inside = (entry, peak) if shares > 0 else (None, None)
+            rows.append((b.symbol, b.bar_ts, shares, cash, bought, sold, state, executed, cut, *inside, rested))
         return pd.DataFrame(rows, columns=[f.split()[0] for f in _PATH.split(", ")])
 
     path = narrow.groupBy("symbol").applyInPandas(run, _PATH)
     out = x.join(path, ["symbol", "bar_ts"])
     first = F.first("px").over(so_far())
-    return out.withColumns({"portfolio": F.col("shares") * F.col("px") + F.col("cash"), "buy_hold": c.capital * F.col("px") / first})
+    out = out.withColumns(
+        {
+            "portfolio": F.col("shares") * F.col("px") + F.col("cash"),
+            "buy_hold": c.capital * F.col("px") / first,
+            "hard_stop": F.col("entry") * (1 - c.hard_stop),
+            "atr_stop": F.col("peak") - c.atr_times * F.col("atr"),
+        }
+    )
+    return out.withColumn("reason", reason(c))
+
+
+def breaches() -> Column:
+    """Names of the stops that an open position has breached, joined."""
+    held = F.col("shares") > 0
+    return F.concat_ws(
+        ", ",
+        F.when(held & (F.col("px") <= F.col("hard_stop")), "hard stop"),
+        F.when(held & (F.col("px") <= F.col("atr_stop")), "trailing stop"),
+        F.when(held & F.col("swing_break"), "swing low"),
+    )
+
+
+def reason(c: Cycle) -> Column:
+    """Why a bar of lifecycle() has its state."""
+    state = F.col("state")
+    buy, sell = (F.format_string("%.1f", k) for k in ("buy_score", "sell_score"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return (
+        F.when(state == "RISK EXIT", text("capital protection: ", breaches()))
+        .when(state == "SELL", text("sell score ", sell, f" confirmed for {c.sell_bars} bars"))
+        .when(state == "REDUCE", text("sell score ", sell, " in the reduce tier"))
+        .when(state == "SELL WATCH", text("sell score ", sell, " in the watch tier"))
+        .when(state == "HOLD", text("held, sell score ", sell))
+        .when(state == "BUY", text("buy score ", buy, " confirmed"))
+        .when((state == "BUY WATCH") & F.col("candidate") & ~F.col("rested"), text("candidate at ", buy, " waits for the cooldown"))
+        .when(state == "BUY WATCH", text("buy score ", buy, " improves"))
+        .otherwise(text("no entry, buy score ", buy))
+    )
+
+
+def trades(x: DataFrame) -> DataFrame:
+    """Each purchase of lifecycle() with its sale: days, bars, return, what the best close gave back, kind of exit.
+
+    An open position is marked to the last close.
+    """
+    inside = x.withColumn("trade", F.sum("first_buy").over(so_far())).where("trade > 0 and (shares > 0 or first_sell = 1)")
+    sold = F.col("first_sell") == 1
+    out = inside.groupBy("symbol", "trade").agg(
+        F.min("bar_ts").alias("entry_ts"),
+        F.min_by("adj_open", "bar_ts").alias("entry_price"),
+        F.max(F.when(sold, F.col("bar_ts"))).alias("exit_ts"),
+        F.max(F.when(sold, F.col("adj_open"))).alias("exit_price"),
+        F.max(F.when(sold, F.col("executed"))).alias("exit_type"),
+        (F.count("*") - 1).alias("bars"),
+        F.max("px").alias("peak"),
+        F.max("bar_ts").alias("last_ts"),
+        F.max_by("px", "bar_ts").alias("last_price"),
+    )
+    end = F.coalesce("exit_price", "last_price")
+    return out.select(
+        *["symbol", "trade", "entry_ts", "entry_price", "exit_ts", "exit_price", "bars"],
+        F.datediff("last_ts", "entry_ts").cast("long").alias("days"),
+        (end / F.col("entry_price") - 1).alias("trade_return"),
+        (end / F.col("peak") - 1).alias("giveback"),
+        F.coalesce("exit_type", F.lit("OPEN")).alias("exit_type"),
+        F.when(F.col("exit_ts").isNotNull(), "CLOSED").otherwise("OPEN / MARK-TO-MARKET").alias("status"),
+    )
+
+
+def open_trades(x: DataFrame) -> DataFrame:
+    """For each symbol: entry and best close of the open position (null: none), and the bar that asked for the last sale."""
+    x = x.withColumn("asked", prior("bar_ts"))
+    return x.groupBy("symbol").agg(
+        F.max_by("entry", "bar_ts").alias("entry_price"),
+        F.max_by("peak", "bar_ts").alias("peak"),
+        F.max(F.when(F.col("first_sell") == 1, F.col("asked"))).alias("last_exit_asked"),
+    )
+
+
+def snapshot(x: DataFrame) -> DataFrame:
+    """Each symbol's last bar: what to do at the next open and why, scores, stops, and gates (gate, status, observed)."""
+    c = F.col
+    shown = lambda form, k: F.when(c(k).isNotNull(), F.format_string(form, k)).otherwise("warming up")
+    turn = lambda up, down, other: F.when(flag(up), "BULLISH").when(flag(down), "BEARISH").otherwise(other)
+    hit = F.when(breaches() != "", breaches())
+    gates = [
+        ("trigger", F.when(c("recent_bull"), "BULL CROSS").when(c("recent_bear"), "BEAR CROSS").otherwise("NO RECENT CROSS"), shown("%.4f", "line")),
+        ("momentum", turn(c("signal_rising") & (c("hist") > 0), c("signal_falling") & (c("hist") < 0), "MIXED"), shown("%.4f", "hist")),
+        ("trend", turn((c("px") > c("base")) & (c("base_slope") > 0), (c("px") < c("base")) & (c("base_slope") < 0), "MIXED"), shown("%.2f", "extension")),
+        ("strength", turn(c("plus_di") > c("minus_di"), c("minus_di") > c("plus_di"), "NEUTRAL"), shown("%.1f", "adx")),
+        ("protection", F.when(hit.isNotNull(), "RISK EXIT").otherwise("CLEAR"), F.coalesce(hit, F.lit("no breach"))),
+        ("state", c("state"), F.when(c("shares") > 0, "LONG").otherwise("CASH")),
+    ]
+    if "direction" in x.columns:
+        path = turn(c("direction") > 0, c("direction") < 0, "FLAT")
+        gates.insert(4, ("path", path, shown("%.4f", "path")))
+    else:
+        gates.insert(4, ("path", F.lit("NOT ACTIVE"), F.lit("not supplied")))
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("place"), F.lit(g).alias("gate"), a.alias("status"), b.alias("observed")) for i, (g, a, b) in enumerate(gates)])
+    last = F.struct("bar_ts", "state", "reason", "shares", "buy_score", "sell_score", "hard_stop", "atr_stop", "swing_low", rows.alias("gates"))
+    out = x.groupBy("symbol").agg(F.max_by(last, "bar_ts").alias("s"))
+    return out.select(
+        "symbol",
+        "s.bar_ts",
+        c("s.state").alias("decision"),
+        F.when(c("s.shares") > 0, "LONG").otherwise("CASH").alias("position"),
+        "s.reason",
+        "s.buy_score",
+        "s.sell_score",
+        (c("s.buy_score") - c("s.sell_score")).alias("spread"),
+        "s.hard_stop",
+        "s.atr_stop",
+        c("s.swing_low").alias("swing_stop"),
+        "s.gates",
+    )
 
 
 def events(x: DataFrame) -> DataFrame:
@@ -248,7 +424,8 @@ def events(x: DataFrame) -> DataFrame:
     matters = F.col("state").isin("BUY", "SELL", "RISK EXIT", "REDUCE", "SELL WATCH", "BUY WATCH")
     changed = F.coalesce(F.col("state") != prior("state"), F.lit(True))
     x = x.withColumn("changed", changed)
-    return x.where((matters & F.col("changed")) | (F.col("executed") != "")).select("symbol", "bar_ts", "state", "executed", "buy_score", "sell_score", "px")
+    kept = ["symbol", "bar_ts", "state", "executed", "buy_score", "sell_score", "px", "line", "signal", "hist", "adx", "reason"]
+    return x.where((matters & F.col("changed")) | (F.col("executed") != "")).select(*kept)
 
 
 def exit_quality(x: DataFrame, ahead: int = 20) -> DataFrame:
@@ -261,10 +438,24 @@ def exit_quality(x: DataFrame, ahead: int = 20) -> DataFrame:
     return y.select(
         "symbol",
         "bar_ts",
+        F.col("executed").alias("exit_type"),
         F.col("adj_open").alias("exit_price"),
         "bars",
+        avoided.alias("avoided"),
+        foregone.alias("foregone"),
         worst.alias("worst"),
         best.alias("best"),
         (avoided - foregone).alias("utility"),
         (foregone > avoided + 0.03).alias("false_exit"),
     )
+
+
+def exit_summary(quality: DataFrame) -> DataFrame:
+    """Means of exit_quality() by symbol."""
+    return quality.groupBy("symbol").agg(
+        F.count("*").alias("exits"),
+        F.avg("avoided").alias("avoided"),
+        F.avg("foregone").alias("foregone"),
+        F.avg("utility").alias("utility"),
+        F.avg(F.col("false_exit").cast("int")).alias("false_exits"),
+    )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.operators import lifecycle, performance
 from tidelane.plans.kernel_queries import logged, logged_sql
-from tidelane.plans.oracle import W, define, full, prior, rows, sql
+from tidelane.plans.oracle import SO_FAR, W, define, full, prior, rows, sql
 from tidelane.plans.trend_queries import _led, ledger_sql, shown, shown_sql
 from tidelane.sources import bars
 
@@ -69,26 +71,45 @@ _p = lambda c, w: f"CASE WHEN {c} THEN {w} ELSE 0 END"
 _buy = " + ".join([_p("recent_bull", 16), _p("line > signal", 10), _p("signal_rising", 10), _p("hist > 0", 8), _p("hist_rising", 8), _p("px > base", 10), _p("base_slope > 0", 8), _p("plain > plain_signal AND plain_hist >= 0", 10), _p("adx >= 18 AND plus_di > minus_di", 8), _p("extension <= 3", 4)])
 _sell = " + ".join([_p("recent_bear", 16), _p("line < signal", 10), _p("signal_falling", 10), _p("hist < 0", 8), _p("hist_falling", 10), _p("px < base", 10), _p("base_slope < 0", 8), _p("plain < plain_signal AND plain_hist <= 0", 8), _p("adx >= 18 AND minus_di > plus_di", 6), _p("swing_break", 6)])
 define("macd", ("macd_c",), f"SELECT *, 100.0::DOUBLE * ({_buy}) / 92 AS buy_score, 100.0::DOUBLE * ({_sell}) / 92 AS sell_score FROM macd_c")
-define("cycle_a", ("macd",), "SELECT *, buy_score >= 65 AND recent_bull AS candidate FROM macd")
-define("cycle_x", ("cycle_a",), f"SELECT *, candidate AS buy_ok, {_steady('sell_score >= 65', 2)} AS sell_ok FROM cycle_a")
-_STATE = """CASE WHEN shares > 0 THEN CASE WHEN swing_break OR px <= entry * 0.88 OR coalesce(px <= peak - 3 * atr, false) THEN 'RISK EXIT' WHEN sell_ok THEN 'SELL'
+def cycle(name: str, bear: bool = False, reduce: bool = False) -> None:
+    """CTE {name}: the lifecycle with the default settings, bar by bar; half is sold once at REDUCE where reduce is true."""
+    weak = "sell_score >= 65" + " AND recent_bear" * bear
+    define(f"{name}_a", ("macd",), "SELECT *, buy_score >= 65 AND recent_bull AS candidate FROM macd")
+    define(f"{name}_x", (f"{name}_a",), f"SELECT *, candidate AS buy_ok, {_steady(weak, 2)} AS sell_ok FROM {name}_a")
+    state = """CASE WHEN shares > 0 THEN CASE WHEN swing_break OR px <= entry * 0.88 OR coalesce(px <= peak - 3 * atr, false) THEN 'RISK EXIT' WHEN sell_ok THEN 'SELL'
       WHEN sell_score >= 50 THEN 'REDUCE' WHEN sell_score >= 35 THEN 'SELL WATCH' ELSE 'HOLD' END
     ELSE CASE WHEN buy_ok AND rested THEN 'BUY' WHEN (candidate AND NOT rested) OR buy_score >= 50 THEN 'BUY WATCH' ELSE 'WAIT / CASH' END END"""
-define("cycle_walk", ("cycle_x",), f"""
-  SELECT symbol, i, 0.0::DOUBLE AS shares, 100000.0::DOUBLE AS cash, 0.0::DOUBLE AS entry, 0.0::DOUBLE AS peak, -1000 AS quit,
-    CASE WHEN buy_ok THEN 'BUY' WHEN buy_score >= 50 THEN 'BUY WATCH' ELSE 'WAIT / CASH' END AS state, '' AS executed FROM cycle_x WHERE i = 0
+    cut = f"w.state = 'REDUCE' AND NOT w.cut_once AND {str(reduce).lower()}"
+    define(f"{name}_walk", (f"{name}_x",), f"""
+  SELECT symbol, i, 0.0::DOUBLE AS shares, 100000.0::DOUBLE AS cash, 0.0::DOUBLE AS entry, 0.0::DOUBLE AS peak, -1000 AS quit, true AS rested, false AS cut_once,
+    CASE WHEN buy_ok THEN 'BUY' WHEN buy_score >= 50 THEN 'BUY WATCH' ELSE 'WAIT / CASH' END AS state, '' AS executed FROM {name}_x WHERE i = 0
   UNION ALL
-  SELECT symbol, i, shares, cash, entry, peak, CASE WHEN state IN ('SELL', 'RISK EXIT') THEN i ELSE quit END::INT, state, executed FROM (
-    SELECT *, {_STATE} AS state FROM (
-      SELECT x.*, CASE WHEN w.state IN ('SELL', 'RISK EXIT') THEN 0 WHEN w.state = 'BUY' THEN w.cash / x.adj_open ELSE w.shares END AS shares,
-        CASE WHEN w.state IN ('SELL', 'RISK EXIT') THEN w.cash + w.shares * x.adj_open WHEN w.state = 'BUY' THEN 0 ELSE w.cash END AS cash,
+  SELECT symbol, i, shares, cash, entry, peak, CASE WHEN state IN ('SELL', 'RISK EXIT') THEN i ELSE quit END::INT, rested, cut_once, state, executed FROM (
+    SELECT *, {state} AS state FROM (
+      SELECT x.*, CASE WHEN w.state IN ('SELL', 'RISK EXIT') THEN 0 WHEN w.state = 'BUY' THEN w.cash / x.adj_open WHEN {cut} THEN w.shares * 0.5 ELSE w.shares END AS shares,
+        CASE WHEN w.state IN ('SELL', 'RISK EXIT') THEN w.cash + w.shares * x.adj_open WHEN w.state = 'BUY' THEN 0
+             WHEN {cut} THEN w.cash + w.shares * 0.5 * x.adj_open ELSE w.cash END AS cash,
         CASE WHEN w.state = 'BUY' THEN x.adj_open ELSE w.entry END AS entry,
         CASE WHEN w.state = 'BUY' THEN greatest(x.adj_open, x.px) WHEN w.shares > 0 THEN greatest(w.peak, x.px) ELSE w.peak END AS peak,
-        w.quit, x.i - w.quit >= 3 AS rested, CASE WHEN w.state IN ('SELL', 'RISK EXIT', 'BUY') THEN w.state ELSE '' END AS executed
-      FROM cycle_walk w JOIN cycle_x x ON x.symbol = w.symbol AND x.i = w.i + 1))""")
-define("cycle", ("cycle_walk",), """
-  SELECT x.*, w.shares, w.cash, w.state, w.executed, w.shares * x.px + w.cash AS portfolio, (w.executed = 'BUY')::INT AS first_buy,
-    (w.executed IN ('SELL', 'RISK EXIT'))::INT AS first_sell FROM cycle_x x JOIN cycle_walk w ON x.symbol = w.symbol AND x.i = w.i""")
+        CASE WHEN w.state = 'BUY' THEN false ELSE w.cut_once OR ({cut}) END AS cut_once,
+        w.quit, x.i - w.quit >= 3 AS rested, CASE WHEN w.state IN ('SELL', 'RISK EXIT', 'BUY') OR ({cut}) THEN w.state ELSE '' END AS executed
+      FROM {name}_walk w JOIN {name}_x x ON x.symbol = w.symbol AND x.i = w.i + 1))""")
+    define(f"{name}_y", (f"{name}_walk",), f"""
+  SELECT x.*, w.shares, w.cash, w.state, w.executed, w.rested, w.shares * x.px + w.cash AS portfolio, (w.executed = 'BUY')::INT AS first_buy,
+    (w.executed IN ('SELL', 'RISK EXIT'))::INT AS first_sell, (w.executed = 'REDUCE')::INT AS reduced, CASE WHEN w.shares > 0 THEN w.entry END AS entry,
+    CASE WHEN w.shares > 0 THEN w.peak END AS peak, CASE WHEN w.shares > 0 THEN w.entry * 0.88 END AS hard_stop,
+    CASE WHEN w.shares > 0 THEN w.peak - 3 * x.atr END AS atr_stop FROM {name}_x x JOIN {name}_walk w ON x.symbol = w.symbol AND x.i = w.i""")
+    hit = "concat_ws(', ', CASE WHEN px <= hard_stop THEN 'hard stop' END, CASE WHEN px <= atr_stop THEN 'trailing stop' END, CASE WHEN shares > 0 AND swing_break THEN 'swing low' END)"
+    define(name, (f"{name}_y",), f"""
+  SELECT *, {hit} AS breaches, CASE state WHEN 'RISK EXIT' THEN 'capital protection: ' || {hit} WHEN 'SELL' THEN printf('sell score %.1f confirmed for 2 bars', sell_score)
+    WHEN 'REDUCE' THEN printf('sell score %.1f in the reduce tier', sell_score) WHEN 'SELL WATCH' THEN printf('sell score %.1f in the watch tier', sell_score)
+    WHEN 'HOLD' THEN printf('held, sell score %.1f', sell_score) WHEN 'BUY' THEN printf('buy score %.1f confirmed', buy_score)
+    WHEN 'BUY WATCH' THEN CASE WHEN candidate AND NOT rested THEN printf('candidate at %.1f waits for the cooldown', buy_score) ELSE printf('buy score %.1f improves', buy_score) END
+    ELSE printf('no entry, buy score %.1f', buy_score) END AS reason FROM {name}_y""")
+
+
+cycle("cycle")
+cycle("cycle_cut", bear=True, reduce=True)
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +120,11 @@ def cycled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.lifecycle(measured(spark, sf_dir))
 
 
+def cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lifecycle that sells half at REDUCE, and all only after a recent cross downwards."""
+    return lifecycle.lifecycle(measured(spark, sf_dir), lifecycle.Cycle(need_bear_cross=True, execute_reduce=True))
+
+
 _sm = (["symbol", "bar_ts"], ["line", "signal", "plain", "plain_signal", "base", "atr"], ["plus_di", "minus_di", "adx"])
 QUERIES["w39_smoothed"] = lambda s, d: shown(lifecycle.smoothed(bars.load(s, d, "1wk")), *_sm)
 SQL["w39_smoothed"] = sql(shown_sql("macd", *_sm), "macd", recursive=True)
@@ -125,3 +151,66 @@ SQL["a21_exit_quality"] = sql(f"""
 f AS (SELECT symbol, bar_ts, bars, adj_open AS exit_price, lowest / adj_open - 1 AS worst, highest / adj_open - 1 AS best FROM e WHERE first_sell = 1 AND bars > 0),
 g AS (SELECT *, greatest(0, -worst) - greatest(0, best) AS utility, greatest(0, best) > greatest(0, -worst) + 0.03 AS false_exit FROM f)
 {shown_sql('g', *_eq)}""", "cycle", recursive=True)
+_cut = (["symbol", "bar_ts", "state", "executed", "reason", "first_buy", "first_sell", "reduced"], ["hard_stop", "atr_stop", "peak"], ["log_cash", "log_portfolio", "log_shares"])
+QUERIES["t13_lifecycle_reduce"] = lambda s, d: shown(logged(cut(s, d)), *_cut)
+SQL["t13_lifecycle_reduce"] = sql(shown_sql(logged_sql("cycle_cut", "cash", "portfolio", "shares"), *_cut), "cycle_cut", recursive=True)
+_why = (["symbol", "bar_ts", "state", "reason", "rested"], ["hard_stop", "atr_stop", "entry", "peak"])
+QUERIES["t13_lifecycle_reasons"] = lambda s, d: shown(cycled(s, d), *_why)
+SQL["t13_lifecycle_reasons"] = sql(shown_sql("cycle", *_why), "cycle", recursive=True)
+_led2 = (["symbol", "trade", "entry_ts", "exit_ts", "bars", "days", "exit_type", "status"], ["entry_price", "exit_price"], ["trade_return", "giveback"])
+QUERIES["l02_lifecycle_ledger"] = lambda s, d: shown(lifecycle.trades(cut(s, d)), *_led2)
+SQL["l02_lifecycle_ledger"] = sql(f"""
+, t AS (SELECT *, sum(first_buy) OVER ({SO_FAR}) AS trade FROM cycle_cut),
+u AS (SELECT symbol, trade::BIGINT AS trade, min(bar_ts) AS entry_ts, arg_min(adj_open, bar_ts) AS entry_price, max(CASE WHEN first_sell = 1 THEN bar_ts END) AS exit_ts,
+  max(CASE WHEN first_sell = 1 THEN adj_open END) AS exit_price, coalesce(max(CASE WHEN first_sell = 1 THEN executed END), 'OPEN') AS exit_type, count(*) - 1 AS bars,
+  max(px) AS peak, date_diff('day', min(bar_ts), max(bar_ts)) AS days, arg_max(px, bar_ts) AS last_price FROM t WHERE trade > 0 AND (shares > 0 OR first_sell = 1) GROUP BY symbol, trade),
+v AS (SELECT *, coalesce(exit_price, last_price) / entry_price - 1 AS trade_return, coalesce(exit_price, last_price) / peak - 1 AS giveback,
+  CASE WHEN exit_ts IS NULL THEN 'OPEN / MARK-TO-MARKET' ELSE 'CLOSED' END AS status FROM u)
+{shown_sql('v', *_led2)}""", "cycle_cut", recursive=True)
+_ev2 = (["symbol", "bar_ts", "state", "executed", "reason"], ["px", "line", "signal", "hist"], ["buy_score", "sell_score", "adx"])
+QUERIES["l03_event_reasons"] = lambda s, d: shown(lifecycle.events(cut(s, d)), *_ev2)
+SQL["l03_event_reasons"] = sql(f"""
+, e AS (SELECT *, coalesce(state <> {prior('state')}, true) AS changed FROM cycle_cut)
+{shown_sql("e WHERE (state NOT IN ('HOLD', 'WAIT / CASH') AND changed) OR executed <> ''", *_ev2)}""", "cycle_cut", recursive=True)
+_sum = (["symbol", "exits"], [], ["avoided", "foregone", "utility", "false_exits"])
+QUERIES["a21_exit_summary"] = lambda s, d: shown(lifecycle.exit_summary(lifecycle.exit_quality(cycled(s, d))), *_sum)
+SQL["a21_exit_summary"] = sql(f"""
+, e AS (SELECT *, min(px) OVER k AS lowest, max(px) OVER k AS highest, count(px) OVER k AS bars FROM cycle WINDOW k AS ({W} ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)),
+f AS (SELECT symbol, greatest(0, 1 - lowest / adj_open) AS a, greatest(0, highest / adj_open - 1) AS b FROM e WHERE first_sell = 1 AND bars > 0),
+g AS (SELECT symbol, count(*) AS exits, avg(a) AS avoided, avg(b) AS foregone, avg(a - b) AS utility, avg((b > a + 0.03)::INT) AS false_exits FROM f GROUP BY symbol)
+{shown_sql('g', *_sum)}""", "cycle", recursive=True)
+_ot = (["symbol", "last_exit_asked"], ["entry_price", "peak"])
+QUERIES["t15_open_trades"] = lambda s, d: shown(lifecycle.open_trades(cut(s, d)), *_ot)
+SQL["t15_open_trades"] = sql(f"""
+, z AS (SELECT *, {prior('bar_ts')} AS asked FROM cycle_cut),
+y AS (SELECT symbol, max(CASE WHEN first_sell = 1 THEN asked END) AS last_exit_asked, last(entry ORDER BY bar_ts) AS entry_price, last(peak ORDER BY bar_ts) AS peak FROM z GROUP BY symbol)
+{shown_sql('y', *_ot)}""", "cycle_cut", recursive=True)
+_sn = (["symbol", "bar_ts", "decision", "position", "reason"], ["hard_stop", "atr_stop", "swing_stop"], ["buy_score", "sell_score", "spread"])
+_LAST = "QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_ts DESC) = 1"
+QUERIES["l10_lifecycle_snapshot"] = lambda s, d: shown(lifecycle.snapshot(cut(s, d)), *_sn)
+SQL["l10_lifecycle_snapshot"] = sql(f"""
+, z AS (SELECT *, state AS decision, CASE WHEN shares > 0 THEN 'LONG' ELSE 'CASH' END AS position, swing_low AS swing_stop, buy_score - sell_score AS spread FROM cycle_cut {_LAST})
+{shown_sql('z', *_sn)}""", "cycle_cut", recursive=True)
+QUERIES["l10_lifecycle_gates"] = lambda s, d: lifecycle.snapshot(cut(s, d)).select("symbol", "bar_ts", F.inline("gates"))
+_turn = lambda up, down, other: f"CASE WHEN {up} THEN 'BULLISH' WHEN {down} THEN 'BEARISH' ELSE '{other}' END"
+_obs = lambda form, k: f"coalesce(printf('{form}', {k}), 'warming up')"
+_gates = [
+    ("trigger", "CASE WHEN recent_bull THEN 'BULL CROSS' WHEN recent_bear THEN 'BEAR CROSS' ELSE 'NO RECENT CROSS' END", _obs("%.4f", "line")),
+    ("momentum", _turn("signal_rising AND hist > 0", "signal_falling AND hist < 0", "MIXED"), _obs("%.4f", "hist")),
+    ("trend", _turn("px > base AND base_slope > 0", "px < base AND base_slope < 0", "MIXED"), _obs("%.2f", "extension")),
+    ("strength", _turn("plus_di > minus_di", "minus_di > plus_di", "NEUTRAL"), _obs("%.1f", "adx")),
+    ("path", "'NOT ACTIVE'", "'not supplied'"),
+    ("protection", "CASE WHEN breaches <> '' THEN 'RISK EXIT' ELSE 'CLEAR' END", "CASE WHEN breaches <> '' THEN breaches ELSE 'no breach' END"),
+    ("state", "state", "CASE WHEN shares > 0 THEN 'LONG' ELSE 'CASH' END"),
+]
+SQL["l10_lifecycle_gates"] = sql(
+    f", z AS (SELECT * FROM cycle_cut {_LAST})\n"
+    + "\nUNION ALL ".join(f"SELECT symbol, bar_ts, {i + 1}::INT AS place, '{g}' AS gate, {a} AS status, {b} AS observed FROM z" for i, (g, a, b) in enumerate(_gates)),
+    "cycle_cut",
+    recursive=True,
+)
+QUERIES["l14_states"] = lambda s, d: lifecycle.states(s)
+SQL["l14_states"] = "SELECT * FROM (VALUES " + ", ".join(f"({i + 1}, '{a}', '{b}', '{c}')" for i, (a, b, c) in enumerate(lifecycle.STATES)) + ") v(place, state, meaning, execution)"
+QUERIES["t16_presets"] = lambda s, d: lifecycle.preset_table(s)
+_settings = [(name, k, v) for name, both in lifecycle.PRESETS.items() for part in both for k, v in asdict(part).items()]
+SQL["t16_presets"] = "SELECT * FROM (VALUES " + ", ".join(f"('{name}', '{k}', '{v}')" for name, k, v in _settings) + ") v(preset, setting, value)"
