@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "t01_portfolio_trail_1wk"
-MODULES = ["trend_queries", "kernel_queries", "intraday_queries", "risk_queries", "lifecycle_queries", "calibration_queries", "more_queries", "gate_queries"]
+MODULES = ["trend_queries", "kernel_queries", "intraday_queries", "risk_queries", "lifecycle_queries", "calibration_queries", "more_queries", "gate_queries", "guard_queries"]
 
 
 def _all(kind: str) -> dict:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelane.functions.windows import by_time, prior as lagged
 from tidelane.operators import checks, performance, risk
+from tidelane.plans import kernel_queries as K
 from tidelane.plans.oracle import W, define, full, prior, r, rows, sql
 from tidelane.plans.trend_queries import path, shown, shown_sql
 from tidelane.sources import bars
@@ -74,6 +75,29 @@ SQL["a10_value_at_risk"] = sql(_var_sql, "trail_1wk")
 QUERIES["a09_bootstrap_var"] = lambda s, d: shown(risk.bootstrap(return_series(s, d), RISK), ["symbol", "series", "method"], [], ["confidence", "var"])
 
 
+def four_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns of asset, benchmark, the residual to it, and strategy."""
+    rel = K.against(spark, sf_dir).select("symbol", "bar_ts", (F.col("bench") / lagged("bench") - 1).alias("benchmark"), F.expm1("resid").alias("residual"))
+    rel = rel.unpivot(["symbol", "bar_ts"], ["benchmark", "residual"], "series", "r")
+    return return_series(spark, sf_dir).unionByName(rel)
+
+
+_4 = _var_sql.replace("FROM trail_1wk),", f"""FROM trail_1wk
+        UNION ALL SELECT symbol, bar_ts, 'benchmark', bench / {prior('bench')} - 1 FROM rel_1wk UNION ALL SELECT symbol, bar_ts, 'residual', exp(resid) - 1 FROM rel_1wk),""", 1)
+QUERIES["a10_four_series"] = lambda s, d: shown(risk.value_at_risk(four_series(s, d), RISK), ["symbol", "series", "n", "method", "status"], [], ["confidence", "var"])
+SQL["a10_four_series"] = sql(_4, "trail_1wk", "rel_1wk")
+
+
+def all_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table of the three methods over the four series (drawn scenarios have no SQL: rows only)."""
+    series = four_series(spark, sf_dir)
+    told = risk.value_at_risk(series, RISK).select("symbol", "series", "method", "confidence", "var")
+    return shown(told.unionByName(risk.bootstrap(series, RISK)), ["symbol", "series", "method"], [], ["confidence", "var"])
+
+
+QUERIES["a09_all_methods"] = all_methods
+
+
 def options(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars.load(spark, sf_dir, "1d")
     sizes = b.groupBy("symbol").agg(F.count("*").alias("n"))

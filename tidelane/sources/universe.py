@@ -15,15 +15,20 @@ DEMO = {
     "Crypto": {"Coin": [("Bitcoin", "BTC-USD"), ("Ether", "ETH-USD")]},
 }
 
-#: Bars of a horizon, by bar length.
+#: Bars of a horizon, by bar length; fixed values.
 HORIZONS = {
-    "15m": {"1D": 26, "1W": 130, "1M": 546},
-    "1d": {"1M": 21, "3M": 63, "6M": 126, "1Y": 252},
-    "1wk": {"1M": 4, "3M": 13, "6M": 26, "1Y": 52},
-    "1mo": {"3M": 3, "6M": 6, "1Y": 12},
+    "15m": {"32B": 32, "64B": 64, "128B": 128, "256B": 256},
+    "1d": {"3M": 63, "6M": 126, "12M": 252, "24M": 504, "36M": 756},
+    "1wk": {"3M": 13, "6M": 26, "12M": 52, "24M": 104, "36M": 156},
+    "1mo": {"3M": 3, "6M": 6, "12M": 12, "24M": 24, "36M": 36},
 }
 
 
+def horizons(spark: SparkSession) -> DataFrame:
+    """grain, horizon, bars."""
+    return spark.createDataFrame([(g, h, n) for g, by in HORIZONS.items() for h, n in by.items()], "grain string, horizon string, bars int")
+
+
 def instruments(spark: SparkSession, universe: dict = DEMO) -> DataFrame:
     """market, group, instrument, ticker."""
     rows = [(m, g, n, t) for m, groups in universe.items() for g, items in groups.items() for n, t in items]
@@ -58,7 +63,7 @@ def horizon_bars(grain: str, horizon: str) -> int:
         raise ValueError(f"no horizon {horizon!r} for bars of {grain!r}") from None
 
 
-def entry_bars(mode: str, grain: str, horizon: str = "1Y", custom: int | None = None) -> int:
+def entry_bars(mode: str, grain: str, horizon: str = "12M", custom: int | None = None) -> int:
     """Length of the entry window: by horizon ("frequency"), 2000 bars ("legacy"), or custom (2 or more)."""
     if mode == "frequency":
         return horizon_bars(grain, horizon)

@@ -47,14 +47,19 @@ def write(bars: DataFrame, path: str, checkpoint: str):
     return bars.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path)
 
 
-def replay(spark: SparkSession, path: str) -> DataFrame:
-    """Streams all events under path once and returns the bars that were closed by the end."""
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a session of one process may do without the setting."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="bars-")
-    root = f"{folder}/bars-{uuid.uuid4().hex}"
+    return folder
+
+
+def replay(spark: SparkSession, path: str) -> DataFrame:
+    """Streams all events under path once and returns the bars that were closed by the end."""
+    root = f"{scratch_folder(spark)}/bars-{uuid.uuid4().hex}"
     # One batch: the files may overlap in time, and the watermark moves only after all rows are in.
     bars = closed_bars(events(spark, path, files_per_trigger=None))
     write(bars, f"{root}/out", f"{root}/state").awaitTermination()
