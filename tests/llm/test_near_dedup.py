@@ -62,6 +62,7 @@ def test_matches_all_pairs(spark):
 
 def test_blocks_across_components(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 3)
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", 150)
     rows = corpus(2)
     out = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4)
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in out.collect()} == brute(rows, 4, 80)
@@ -85,3 +86,28 @@ def test_sketch_agreement_follows_similarity():
         s = N.sketches(np.concatenate(sets), np.array([450, 450]))
         agree.append((s[0] == s[1]).mean())
     assert abs(np.mean(agree) - 0.8) < 0.02 and np.std(agree) < 0.06
+
+
+def test_planted_pairs_at_the_limit(spark):
+    """Sets of 80 shared of 100 shingles in all are linked, of 79 they are not; with and without the cut by sketches."""
+    rows, want = [], {}
+    for k in range(150):
+        shared = 80 if k % 2 else 79
+        # One-word shingles: a set is what its words are.
+        words = [f"k{k}w{i}" for i in range(100)]
+        cut = shared + (100 - shared) // 2
+        rows += [(2 * k, " ".join(words[:cut])), (2 * k + 1, " ".join(words[:shared] + words[cut:]))]
+        want[2 * k + 1] = 2 * k if k % 2 else 2 * k + 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (N.LEAST_ESTIMATE, None):
+        found = {r.doc_id: r.component_id for r in N.near_duplicates(df, shingle=1, least_estimate=least).collect()}
+        assert {d: found[d] for d in want} == want
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i % 5003}x{i}" for i in range(120000)]
+    other = list(words)
+    other[::40] = ["changed"] * len(other[::40])
+    rows = [(1, " ".join(words)), (2, " ".join(words) + " end"), (3, " ".join(other)), (4, " ".join(reversed(words)))]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert found[1] == (119997, 1) and found[2] == (119998, 1) and found[3][1] == 1 and found[4] == (119997, 4)

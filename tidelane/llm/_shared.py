@@ -87,6 +87,10 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def many(self, keys: list, make_all) -> list:
         """The values of distinct keys; make_all(missing keys) gives those of missing ones at once."""
         values = list(map(self.get, keys))

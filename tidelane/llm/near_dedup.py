@@ -15,7 +15,9 @@ full sets decide. So no pair is lost that banding finds, and no task puts out pa
 of the cell, or links that join components.
 
 With BINS 128 in bands of BAND 4, a pair at similarity 0.8 shares no band with probability
-5e-8; the sketch estimate of a pair at 0.8 is below LEAST_ESTIMATE with probability about 1e-6.
+5e-8; the sketch estimate of a pair at 0.8 is below LEAST_ESTIMATE with probability about 1e-6
+(near_duplicates() takes None for it: then every pair that shares a band is checked in full). Texts of
+any length are taken whole; a block of a crowded band is bounded by its rows and its shingles.
 
 Nulls and ties: a null or wordless text has no shingles and no links; a text of fewer words than
 a shingle is one shingle. A null doc_id has no links, component null, and is kept. Rows that
@@ -38,8 +40,8 @@ from tidelane.llm.components import stars
 
 BINS, BAND = 128, 4
 LEAST_ESTIMATE = 0.62
-#: Rows of one band that are compared in one piece.
-BLOCK = 1024
+#: Rows of one band that are compared in one piece, and their shingles.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _M = np.uint64(_ODD)
 
@@ -136,6 +138,7 @@ def _bands(bins: int, band: int):
                     "band": pa.array(h.view(np.int64).ravel()),
                     "number": pa.array(np.tile(np.arange(bins // band, dtype=np.int32), len(s))),
                     "rep": pa.array(np.repeat(batch.column("rep").to_numpy(), bins // band)),
+                    "n": pa.array(np.repeat(batch.column("n_shingles").to_numpy(), bins // band)),
                 }
             )
 
@@ -285,9 +288,17 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, percent: int = 80, bins: int = BINS, band: int = BAND
+    docs: DataFrame,
+    shingle: int = 5,
+    percent: int = 80,
+    bins: int = BINS,
+    band: int = BAND,
+    least_estimate: float | None = LEAST_ESTIMATE,
 ) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept; see the module's text."""
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept; see the module's text.
+
+    least_estimate None: no pair that shares a band is ruled out by its sketches.
+    """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "near-dedup")
@@ -304,7 +315,7 @@ def near_duplicates(
         "reps",
     )
     bands = scratch.keep(
-        reps.select("rep", "sketch").mapInArrow(_bands(bins, band), "band long, number int, rep long"), "bands"
+        reps.select("rep", "sketch", "n_shingles").mapInArrow(_bands(bins, band), "band long, number int, rep long, n long"), "bands"
     )
     hubs = bands.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
     shared = scratch.keep(bands.join(hubs.select("band", "hub").hint("merge"), "band"), "shared")
@@ -320,14 +331,15 @@ def near_duplicates(
 
     # Bands still in several components: all pairs across components, block against block.
     placed = shared.join(near.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "band", "number", "rep", F.coalesce("component", "rep").alias("comp")
+        "band", "number", "rep", "n", F.coalesce("component", "rep").alias("comp")
     )
     placed = scratch.keep(placed, "placed")
     mixed = (
         placed.groupBy("band")
-        .agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count("*").alias("n"))
+        .agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count("*").alias("rows"), F.sum("n").alias("shingles"))
         .where("c < d")
-        .select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        # A cell holds two blocks at most: some thousand rows, and texts of a few million shingles.
+        .select("band", F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     )
     rows = placed.join(mixed, "band").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -341,7 +353,7 @@ def near_duplicates(
     )
     wide = rows.join(reps.select("rep", "sketch", "n_shingles"), "rep").repartition("cell").sortWithinPartitions("cell")
     hopeful = scratch.keep(
-        wide.mapInArrow(_hopeful(bins, band, LEAST_ESTIMATE, percent), "cell long, side int, rep long, comp long"), "hopeful"
+        wide.mapInArrow(_hopeful(bins, band, least_estimate or 0.0, percent), "cell long, side int, rep long, comp long"), "hopeful"
     )
     full = hopeful.join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
     full = full.repartition("cell").sortWithinPartitions("cell")
