@@ -179,16 +179,19 @@ def _met(probes: int, least: float):
         a, b, n = [], [], []
         for group in _groups(batches, "part"):
             side, own = (group.column(c).to_numpy(zero_copy_only=False) for c in ("side", "own"))
+            x = _vectors(group.column("vector")).reshape(len(own), -1)
+            left, right = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
+            ok = (x[left] @ x[right].T >= least) & (own[left, None] | own[None, right])
+            p, q = np.nonzero(ok)
+            p, q = left[p], right[q]
+            p, q = p[p != q], q[p != q]
+            if not len(p):
+                continue
             copies, keys = group.column("copies").to_numpy(), group.column("key").to_pylist()
             # Numbers in order of the keys; a class that comes with two of its cells has one number.
             order = {key: i for i, key in enumerate(sorted(set(keys)))}
             rep = np.array([order[key] for key in keys])
             names = list(order)
-            x = _vectors(group.column("vector")).reshape(len(rep), -1)
-            left, right = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
-            ok = (x[left] @ x[right].T >= least) & (own[left, None] | own[None, right])
-            p, q = np.nonzero(ok)
-            p, q = left[p], right[q]
             once = (rep[p] < rep[q]) if (side == 0).any() else rep[p] != rep[q]
             p, q = p[once], q[once]
             if not len(p):
