@@ -165,12 +165,13 @@ ALERTS = {
     "cross_below_lower": "CROSS BELOW LOWER BAND",
     "momentum_up": "MOMENTUM UPWARD WARNING",
     "momentum_down": "MOMENTUM DOWNWARD WARNING",
+    "bull_reversal OR bear_reversal": "ANY REVERSAL",
 }
 
 
 def alerts(x: DataFrame) -> DataFrame:
     """A row for each flag that is set: symbol, bar_ts, alert, price, trend."""
-    raised = F.array_compact(F.array(*[F.when(F.col(c), F.lit(name)) for c, name in ALERTS.items()]))
+    raised = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(name)) for c, name in ALERTS.items()]))
     return x.select("symbol", "bar_ts", F.explode(raised).alias("alert"), F.col("src").alias("price"), "trend")
 
 

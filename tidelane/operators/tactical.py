@@ -30,6 +30,8 @@ class Tactical:
     start: float = 1.0
     capital: float = 100_000.0
     cash_rate: float = 0.0
+    #: Trade back to the target at every open, not only where it changes.
+    every_bar: bool = False
 
 
 #: Levels that the target moves between.
@@ -138,11 +140,11 @@ def decisions(x: DataFrame, c: Tactical = Tactical()) -> DataFrame:
 def execution(x: DataFrame, c: Tactical = Tactical()) -> DataFrame:
     """decisions() with shares, cash, portfolio, exposure, turnover, buy_hold, wealth_ratio.
 
-    Trades only where the target changes, at the open; cash grows at the yearly rate, by days over
+    Trades only where the target changes (or at every bar, by every_bar), at the open; cash grows at the yearly rate, by days over
     365. Wealth from one trade to the next is a product of known factors, so it is a running sum of logarithms.
     """
     first = prior("px").isNull()
-    trades = first | (F.col("change") != 0)
+    trades = first | (F.col("change") != 0) | F.lit(c.every_bar)
     days = (F.unix_micros(F.col("bar_ts").cast("timestamp")) - F.first(F.unix_micros(F.col("bar_ts").cast("timestamp"))).over(so_far())) / 86_400e6
     # The growth of cash from the first bar on.
     x = x.withColumns({"trades": trades, "growth": F.pow(F.lit(1 + c.cash_rate), days / 365)})

@@ -145,6 +145,14 @@ QUERIES["p17_chosen"] = lambda s, d: universe.chosen(universe.instruments(s), ["
 SQL["p17_chosen"] = f"""SELECT * FROM (VALUES {_values(_demo)}) v(market, "group", instrument, ticker) WHERE market IN ('Equity', 'Commodity') AND "group" IN ('Index', 'Metal')"""
 
 
+QUERIES["s13_navigation"] = lambda s, d: (lambda t: universe.markets(t).join(t.select("market", "group").distinct(), "market"))(universe.instruments(s))
+SQL["s13_navigation"] = f'SELECT DISTINCT market, "group" FROM (VALUES {_values(_demo)}) v(market, "group", instrument, ticker)'
+QUERIES["j10_named"] = lambda s, d: universe.named(universe.instruments(s).select(F.explode(F.array("ticker", F.concat("ticker", F.lit("?")))).alias("symbol")), universe.instruments(s))
+SQL["j10_named"] = f"""
+WITH v AS (SELECT * FROM (VALUES {_values(_demo)}) v(market, "group", instrument, ticker))
+SELECT ticker AS symbol, instrument AS name FROM v UNION ALL SELECT ticker || '?', ticker || '?' FROM v"""
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tactical.execution(K.decided(spark, sf_dir), K.TAC)
 

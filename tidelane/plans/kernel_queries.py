@@ -192,6 +192,25 @@ define("tac", ("walk",), f"""
     100000.0 * c.px / first_value(c.px) OVER (PARTITION BY c.symbol ORDER BY c.bar_ts) AS buy_hold
   FROM tac_c c JOIN walk w ON c.symbol = w.symbol AND c.i = w.i""")
 
+# From cash, and back to the target at every open.
+EVERY = tactical.Tactical(start=0.0, every_bar=True)
+_walk_0 = _WALK.replace("FROM walk w", "FROM walk_0 w").replace("change <> 0", "true").replace("1.0::DOUBLE AS target", "0.0::DOUBLE AS target", 1)
+_walk_0 = _walk_0.replace("INITIALIZE 100%", "INITIALIZE 0%").replace("100000.0 / px AS shares, 0.0::DOUBLE AS cash", "0.0::DOUBLE AS shares, 100000.0::DOUBLE AS cash")
+define("walk_0", ("tac_c",), _walk_0)
+define("tac_0", ("walk_0",), """
+  SELECT c.symbol, c.bar_ts, w.target, w.change, w.action, w.shares, w.cash, w.turnover, w.shares * c.px + w.cash AS portfolio
+  FROM tac_c c JOIN walk_0 w ON c.symbol = w.symbol AND c.i = w.i""")
+
+
+def every_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = tactical.features(indicator(spark, sf_dir), against(spark, sf_dir), EVERY)
+    return tactical.execution(tactical.decisions(x, EVERY), EVERY)
+
+
+_ev = (["symbol", "bar_ts", "action"], ["target", "change"], ["log_cash", "log_portfolio", "log_shares", "turnover"])
+QUERIES["t17_every_bar"] = lambda s, d: shown(logged(every_bar(s, d)), *_ev)
+SQL["t17_every_bar"] = sql(shown_sql(logged_sql("tac_0", "cash", "portfolio", "shares"), *_ev), "tac_0", recursive=True)
+
 _feat = (["symbol", "bar_ts", "reenter_below_upper", "reenter_above_lower", "cross_below_path", "cross_above_path"], [], ["drift_z", "envelope_z", "relative_volume"])
 QUERIES["w24_tactical_features"] = lambda s, d: shown(tactical.features(indicator(s, d), against(s, d), TAC), *_feat)
 SQL["w24_tactical_features"] = sql(shown_sql("tac_b", *_feat), "tac_b")

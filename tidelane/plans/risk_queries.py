@@ -184,8 +184,8 @@ v AS (SELECT symbol, field, count(*) AS compared, max(off) AS max_off, count(*)
 def holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars.load(spark, sf_dir, "1d")
     days, names = b.select("bar_ts").distinct(), b.select("symbol").distinct()
-    # Every session for every symbol: the calendar against the list of symbols.
-    return checks.gaps(b, names.join(days))
+    # Every session for every symbol: the calendar against the list of instruments, a dimension table.
+    return checks.gaps(b, days.crossJoin(names))
 
 
 QUERIES["j09_session_gaps"] = holes
