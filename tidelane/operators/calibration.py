@@ -136,6 +136,22 @@ def scored(measures: DataFrame, least_trades: int = 2) -> DataFrame:
     return measures.withColumn("score", F.when(F.col("trades") < least_trades, total * 0.55).otherwise(total))
 
 
+#: How far the settings of neighbouring candidates may differ, in the order of _KEYS.
+NEAR = (2, 5, 2, 5, 5)
+
+
+def neighbours(candidates: DataFrame) -> DataFrame:
+    """candidate, other: those of a grid whose settings are near, itself included.
+
+    The grid alone is compared with itself, once for all symbols; its size is fixed by GRIDS.
+    """
+    other = candidates.select(F.col("candidate").alias("other"), *[F.col(k).alias(f"_{k}") for k in _KEYS])
+    close = F.lit(True)
+    for k, most in zip(_KEYS, NEAR):
+        close = close & (F.abs(F.col(k) - F.col(f"_{k}")) <= most)
+    return candidates.join(F.broadcast(other), close).select("candidate", "other")
+
+
 def ranking(scores: DataFrame, candidates: DataFrame) -> DataFrame:
     """scores of the parts train and validation -> each symbol's candidates with robust and plateau scores and place.
 
@@ -148,14 +164,10 @@ def ranking(scores: DataFrame, candidates: DataFrame) -> DataFrame:
     cut = wide.groupBy("symbol").agg(F.percentile("train", 0.75).alias("cut"))
     x = wide.join(cut, "symbol").join(candidates, "candidate")
     x = x.withColumn("robust", F.when(F.col("train") >= F.col("cut"), 0.7 * F.col("train") + 0.3 * F.col("validation")).otherwise(0.0)).drop("cut")
-    # Neighbours within a symbol: the key limits the pairs to one grid's square.
-    other = x.select("symbol", F.col("robust").alias("near"), *[F.col(k).alias(f"_{k}") for k in _KEYS])
-    close = F.lit(True)
-    for k, most in zip(_KEYS, (2, 5, 2, 5, 5)):
-        close = close & (F.abs(F.col(k) - F.col(f"_{k}")) <= most)
+    near = neighbours(candidates).join(x.select("symbol", F.col("candidate").alias("other"), F.col("robust").alias("near")), "other")
     plateau = (
-        x.join(other, "symbol")
-        .where(close)
+        x.select("symbol", "candidate", "robust")
+        .join(near, ["symbol", "candidate"])
         .groupBy("symbol", "candidate")
         .agg(F.avg((F.col("near") >= 0.95 * F.col("robust")).cast("int")).alias("plateau"))
     )

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.functions.windows import by_time
-from tidelane.operators import checks, guards, tactical
+from tidelane.operators import calibration, checks, guards, relative, tactical
 from tidelane.plans import kernel_queries as K
 from tidelane.plans.oracle import r, sql
 from tidelane.plans.risk_queries import faulty
@@ -153,6 +154,35 @@ WITH v AS (SELECT * FROM (VALUES {_values(_demo)}) v(market, "group", instrument
 SELECT ticker AS symbol, instrument AS name FROM v UNION ALL SELECT ticker || '?', ticker || '?' FROM v"""
 
 
+_grid = [(i, *c) for i, c in enumerate(x for x in product(*calibration.GRIDS["balanced"]) if x[0] < x[1])]
+QUERIES["j11_neighbours"] = lambda s, d: calibration.neighbours(calibration.grid(s, "balanced"))
+SQL["j11_neighbours"] = f"""
+WITH g AS (SELECT * FROM (VALUES {_values(_grid)}) v(candidate, fast, slow, n, buy, sell))
+SELECT a.candidate::INT AS candidate, b.candidate::INT AS other FROM g a JOIN g b ON abs(a.fast - b.fast) <= 2 AND abs(a.slow - b.slow) <= 5
+  AND abs(a.n - b.n) <= 2 AND abs(a.buy - b.buy) <= 5 AND abs(a.sell - b.sell) <= 5"""
+
+
+def route_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each symbol a row for its own bars and one for its benchmark's: how many, from when to when, sound or not."""
+    b = faulty(spark, sf_dir)
+    span = b.groupBy("symbol").agg(F.min("bar_ts").alias("first"), F.max("bar_ts").alias("last"))
+    known = checks.status(b).join(span, "symbol").withColumnRenamed("symbol", "source")
+    own = known.select(F.col("source").alias("symbol"), F.lit("ASSET").alias("role"), "*")
+    pairs = relative.next_symbol(b).withColumnRenamed("benchmark", "source")
+    return own.unionByName(pairs.join(known, "source").withColumn("role", F.lit("BENCHMARK")))
+
+
+QUERIES["l11_route_audit"] = route_audit
+SQL["l11_route_audit"] = sql("""
+, t AS (SELECT symbol, bar_ts, count(*) AS n FROM faulty GROUP BY ALL), u AS (SELECT symbol, max(n) AS most, sum(n)::BIGINT AS n FROM t GROUP BY symbol),
+f AS (SELECT symbol, count(*) FILTER (open IS NULL OR adj_close IS NULL) AS nulls, count(*) FILTER (least(open, high, low, close, adj_close) <= 0) AS low,
+      count(*) FILTER (volume < 0) AS neg, min(bar_ts) AS first, max(bar_ts) AS last FROM faulty GROUP BY symbol),
+k AS (SELECT symbol AS source, n, CASE WHEN most > 1 THEN 'DUPLICATE TIMESTAMP' WHEN nulls > 0 THEN 'MISSING VALUE' WHEN low > 0 THEN 'NON-POSITIVE PRICE'
+  WHEN neg > 0 THEN 'NEGATIVE VOLUME' WHEN n < 30 THEN 'TOO FEW OBSERVATIONS' ELSE 'OK' END AS status, first, last FROM u JOIN f USING (symbol)),
+m AS (SELECT source AS symbol, coalesce(lead(source) OVER (ORDER BY source), first_value(source) OVER (ORDER BY source)) AS source FROM k)
+SELECT source AS symbol, 'ASSET' AS role, * FROM k UNION ALL SELECT m.symbol, 'BENCHMARK', k.* FROM m JOIN k ON m.source = k.source""", "faulty")
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tactical.execution(K.decided(spark, sf_dir), K.TAC)
 
