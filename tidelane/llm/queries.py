@@ -16,6 +16,7 @@ QUERIES = {
     "op8_mix": "mixing",
     "op9_secrets": "secrets",
     "op10_lattice": "lattice",
+    "op11_collocations": "collocations",
     "op13_fill_in_middle": "fill_in_middle",
 }
 
