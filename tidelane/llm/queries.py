@@ -17,6 +17,7 @@ QUERIES = {
     "op9_secrets": "secrets",
     "op10_lattice": "lattice",
     "op11_collocations": "collocations",
+    "op12_page_text": "page_text",
     "op13_fill_in_middle": "fill_in_middle",
 }
 
