@@ -43,7 +43,7 @@ from tidelane.llm._shared import Scratch, give_back, ship, slices, table
 
 MAX_WORDS, LEAST, INSIDE_PERCENT, TOP = 3, 10, 50, 2000
 #: Bytes of text of a shard, and bytes of text for each bucket of phrases.
-SHARD, BUCKET = 1 << 24, 1 << 24
+SHARD, BUCKET = 3 << 20, 1 << 24
 UNNAMED = "und"
 
 #: Of each byte: 0 part of a word, 1 between words, 2 between pieces.
@@ -192,18 +192,19 @@ def _packets(texts: pa.Array, langs: pa.Array, depth: int, buckets: int, most: i
         places = np.frombuffer(phrases.buffers()[1], np.int64)[: len(phrases) + 1]
         flat, sizes = memoryview(phrases.buffers()[2]), np.diff(places).astype("<u4")
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
-        for first in range(0, len(cut), 512):
-            some = list(zip(cut[first : first + 512], [*cut[1:], len(key)][first : first + 512]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    names.take(pa.array([int(key[a]) // buckets for a, _ in some], pa.int64())).cast(pa.string()),
-                    pa.array([int(key[a]) % buckets for a, _ in some], pa.int64()),
-                    pa.array([flat[places[a] : places[b]] for a, b in some], pa.binary()),
-                    pa.array([sizes[a:b].tobytes() for a, b in some], pa.binary()),
-                    pa.array([counts[a:b].tobytes() for a, b in some], pa.binary()),
-                ],
-                names=["lang", "bucket", "phrases", "sizes", "counts"],
-            )
+        bounds = list(zip(cut, [*cut[1:], len(key)]))
+        raw = [b"".join((flat[places[a] : places[b]], sizes[a:b], counts[a:b])) for a, b in bounds]
+        at = pa.array(key[cut])
+        yield pa.RecordBatch.from_arrays(
+            [
+                names.take(pc.divide(at, buckets)).cast(pa.string()),
+                pc.subtract(at, pc.multiply(pc.divide(at, buckets), buckets)),
+                pa.array([b - a for a, b in bounds], pa.int64()),
+                pa.array(list(map(len, raw)), pa.int64()),
+                pa.array([pa.compress(r, codec="zstd", asbytes=True) for r in raw], pa.binary()),
+            ],
+            names=["lang", "bucket", "entries", "bytes", "packet"],
+        )
 
 
 _SUMS = "lang string, phrase string, n_words long, f long"
@@ -212,20 +213,25 @@ _SUMS = "lang string, phrase string, n_words long, f long"
 def _summed(least: int):
     def run(key: tuple, packets: pa.Table) -> pa.Table:
         """Counts of a bucket's phrases; those of single words in all stand in a row without phrase."""
-        joined = {c: b"".join(x.as_buffer() for x in packets.column(c)) for c in ("phrases", "sizes", "counts")}
-        offsets = np.concatenate([[0], np.cumsum(np.frombuffer(joined["sizes"], "<u4"), dtype=np.int64)])
-        all_of = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(joined["phrases"])])
+        phrases, sizes, counts = [], [], []
+        for n, size, packet in zip(*(packets.column(c).to_pylist() for c in ("entries", "bytes", "packet"))):
+            raw = pa.decompress(packet, size, codec="zstd")
+            phrases.append(memoryview(raw)[: size - 12 * n])
+            sizes.append(np.frombuffer(raw, "<u4", n, size - 12 * n))
+            counts.append(np.frombuffer(raw, "<i8", n, size - 8 * n))
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+        all_of = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(phrases))])
         coded = all_of.dictionary_encode()
-        counts = np.frombuffer(joined["counts"], "<i8")
+        counts = np.concatenate(counts)
         f = np.zeros(len(coded.dictionary), np.int64)
         np.add.at(f, coded.indices.to_numpy(), counts)
         n_words = pc.count_substring(coded.dictionary, " ").to_numpy().astype(np.int64) + 1
         own = np.flatnonzero(f >= least)
-        phrases = coded.dictionary.take(pa.array(own)).cast(pa.large_string()).cast(pa.string())
+        frequent = coded.dictionary.take(pa.array(own)).cast(pa.large_string()).cast(pa.string())
         return pa.table(
             {
                 "lang": pa.array([key[0].as_py()] * (len(own) + 1), pa.string()),
-                "phrase": pa.concat_arrays([phrases, pa.nulls(1, pa.string())]),
+                "phrase": pa.concat_arrays([frequent, pa.nulls(1, pa.string())]),
                 "n_words": np.append(n_words[own], 0),
                 "f": np.append(f[own], f[n_words == 1].sum()),
             }
@@ -243,18 +249,17 @@ def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAS
     ship(spark)
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), "lang")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for batch in batches:
-                texts = batch.column("text")
-                for a, b in slices(texts, shard):
-                    yield from _packets(texts.slice(a, b - a), batch.column("lang").slice(a, b - a), max_words, buckets, shard)
-        finally:
-            give_back()
-
-    packets = docs.mapInArrow(run, "lang string, bucket long, phrases binary, sizes binary, counts binary")
+        for batch in batches:
+            texts = batch.column("text")
+            for a, b in slices(texts, shard):
+                yield from _packets(texts.slice(a, b - a), batch.column("lang").slice(a, b - a), max_words, buckets, shard)
+                give_back()
+        give_back()
+
+    packets = docs.mapInArrow(run, "lang string, bucket long, entries long, bytes long, packet binary")
     return packets.groupBy("lang", "bucket").applyInArrow(_summed(least), _SUMS)
 
 
