@@ -1,19 +1,22 @@
 """Parameter search for the lifecycle: grid, segment measures, ranking, plateau, walk-forward.
 
 Candidates are rows that join the bars. Each (symbol, candidate) runs on its own, so the search spreads
-over the cluster; the smoothed columns of candidates that share lengths are made once. Ranking,
-neighbours and folds are joins and windows within a symbol.
+over the cluster; the smoothed columns of candidates that share lengths are made once. A path is read once for all
+parts and folds: summaries of its stretches merge (segments()). Ranking, neighbours and folds are joins and
+windows within a symbol.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelane.operators import lifecycle
 
+#: Fast, slow and signal lengths, buy and sell levels of each grid. Fixed values.
 GRIDS = {
     "focused": ([10, 12], [24, 26, 30], [7, 9], [60, 65], [60, 65]),
     "balanced": ([8, 10, 12, 14], [21, 26, 30, 35], [5, 7, 9], [60, 65], [60, 65]),
@@ -45,71 +48,198 @@ def paths(bars: DataFrame, depth: str = "focused") -> DataFrame:
     return x.select(F.col("name").alias("symbol"), *kept, F.col("number").alias("candidate"))
 
 
-def segments(path: DataFrame, bounds: list[tuple[str, float, float]], per_year: float = 52.0, whipsaw: int = 10) -> DataFrame:
-    """path (symbol, candidate, ...) -> measures of each named part (from, to as shares of the bars)."""
+#: Bars that a part or a fold needs, and a history as a whole.
+LEAST_PART, LEAST_HISTORY = 3, 180
+
+Part = tuple[str, Column, Column]
+
+
+def split_parts(n: Column, train: float = 0.6, validation: float = 0.2, least: int = 80) -> list[Part]:
+    """(name, from, to) of train, validation and held_out by a history's number of bars; least: bars of warm-up."""
+    first = F.greatest(F.floor(n * train), F.lit(least + 20).cast("long"))
+    second = F.least(F.greatest(F.floor(n * (train + validation)), first + 20), n - 20)
+    return [("train", F.lit(0).cast("long"), first), ("validation", first, second), ("held_out", second, n)]
+
+
+def fold_parts(n: Column, folds: int = 3, least: int = 80) -> list[Part]:
+    """(past_k, 0, from) and (test_k, from, to) of the walk-forward's folds.
+
+    Folds begin after 45% of the bars (and the warm-up) and have 10 bars at least; the last goes to the end. One that
+    begins too late or is too short is empty.
+    """
+    initial = F.greatest(F.floor(n * 0.45), F.lit(least + 20).cast("long"))
+    size = F.greatest(F.lit(10).cast("long"), F.floor((n - initial) / folds))
+    out = []
+    for k in range(folds):
+        start = initial + k * size
+        end = n if k == folds - 1 else F.least(n, start + size)
+        known = (start < n - 2) & (end - start >= LEAST_PART)
+        end, past = F.when(known, end).otherwise(start), F.when(known, start).otherwise(0)
+        out += [(f"past_{k}", F.lit(0).cast("long"), past), (f"test_{k}", start, end)]
+    return out
+
+
+# The summary of a stretch of a path. Stretches that follow one another merge, in whatever grouping, so the path is
+# read once however many parts overlap in it: moments are (count, mean, sum of squared deviations); head is a sale
+# whose purchase came before the stretch, tail a purchase that is still open at its end, as (place, price).
+_MOMENTS = "struct<n:bigint,mean:double,m2:double>"
+_TRADE = "struct<at:bigint,price:double>"
+_SUMMARY = (
+    f"struct<first:bigint,n:bigint,t0:timestamp_ntz,t1:timestamp_ntz,p0:double,p1:double,peak:double,trough:double,fall:double,r:{_MOMENTS},"
+    f"down:{_MOMENTS},held:bigint,closed:bigint,wins:bigint,whipsaws:bigint,bought:boolean,head:{_TRADE},tail:{_TRADE}>"
+)
+
+
+def _moments(n: Column, mean: Column, m2: Column) -> Column:
+    return F.struct(n.cast("long").alias("n"), F.coalesce(mean, F.lit(0.0)).alias("mean"), F.coalesce(m2, F.lit(0.0)).alias("m2"))
+
+
+def _joined(a: Column, b: Column) -> Column:
+    n = a["n"] + b["n"]
+    share = F.when(n > 0, b["n"] / n).otherwise(0.0)
+    apart = b["mean"] - a["mean"]
+    return _moments(n, a["mean"] + apart * share, a["m2"] + b["m2"] + apart * apart * share * a["n"])
+
+
+def merged(a: Column, b: Column, whipsaw: int) -> Column:
+    """The summary of a, then b, which begins where a ends."""
+    gap = b["p0"] / a["p1"] - 1
+    one = lambda counts: _moments(F.when(counts, 1).otherwise(0), F.when(counts, gap), F.lit(0.0))
+    closes = a["tail"].isNotNull() & b["head"].isNotNull()
+    more = lambda c: F.when(closes & c, 1).otherwise(0).cast("long")
+    both = F.struct(
+        a["first"].alias("first"),
+        (a["n"] + b["n"]).alias("n"),
+        a["t0"].alias("t0"),
+        b["t1"].alias("t1"),
+        a["p0"].alias("p0"),
+        b["p1"].alias("p1"),
+        F.greatest(a["peak"], b["peak"]).alias("peak"),
+        F.least(a["trough"], b["trough"]).alias("trough"),
+        F.least(a["fall"], b["fall"], b["trough"] / a["peak"] - 1).alias("fall"),
+        _joined(_joined(a["r"], one(gap.isNotNull())), b["r"]).alias("r"),
+        _joined(_joined(a["down"], one(gap < 0)), b["down"]).alias("down"),
+        (a["held"] + b["held"]).alias("held"),
+        (a["closed"] + b["closed"] + more(F.lit(True))).alias("closed"),
+        (a["wins"] + b["wins"] + more(b["head"]["price"] > a["tail"]["price"])).alias("wins"),
+        (a["whipsaws"] + b["whipsaws"] + more(b["head"]["at"] - a["tail"]["at"] <= whipsaw)).alias("whipsaws"),
+        (a["bought"] | b["bought"]).alias("bought"),
+        F.coalesce(a["head"], F.when(~a["bought"], b["head"])).alias("head"),
+        F.when(b["bought"], b["tail"]).when(b["head"].isNull(), a["tail"]).alias("tail"),
+    )
+    return F.when(a["n"] == 0, b).otherwise(both).cast(_SUMMARY)
+
+
+def summaries(path: DataFrame, edges: list[Column], whipsaw: int = 10) -> DataFrame:
+    """path (symbol, candidate, ...) -> symbol, candidate, n, stretches: summaries of the stretches between edges, in order.
+
+    edges: places (from 0) that cut a path, by columns of n, its number of bars.
+    """
     whole = Window.partitionBy("symbol", "candidate")
     order = whole.orderBy("bar_ts")
-    x = path.withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(whole)})
-    named = F.array(*[F.struct(F.lit(name).alias("part"), F.lit(a).alias("from"), F.lit(b).alias("to")) for name, a, b in bounds])
-    x = x.withColumn("s", F.explode(named))
-    x = x.where((F.col("i") >= F.floor(F.col("n") * F.col("s.from"))) & (F.col("i") < F.floor(F.col("n") * F.col("s.to"))))
-    x = x.withColumn("part", F.col("s.part")).drop("s")
-    inside = Window.partitionBy("symbol", "candidate", "part").orderBy("bar_ts")
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    x = path.withColumns({"i": (F.row_number().over(order) - 1).cast("long"), "n": F.count("*").over(whole)})
+    cuts = F.array_distinct(F.array(*edges))
+    buys, sells = F.col("first_buy") == 1, F.col("first_sell") == 1
     x = x.withColumns(
         {
-            "r": F.col("portfolio") / F.lag("portfolio").over(inside) - 1,
-            "dd": F.col("portfolio") / F.max("portfolio").over(so_far) - 1,
-            # Purchases before the part do not count: a sale pairs with one inside.
-            "trade": F.sum("first_buy").over(so_far),
-            "place": F.row_number().over(inside),
+            "stretch": F.size(F.filter(cuts, lambda c: c <= F.col("i"))),
+            "r": F.col("portfolio") / F.lag("portfolio").over(order) - 1,
+            "entry": F.last(F.when(buys, F.struct(F.col("i").alias("at"), F.col("adj_open").alias("price"))), ignorenulls=True).over(so_far),
         }
     )
-    keys = ["symbol", "candidate", "part"]
-    closed = (
-        x.where("trade > 0")
-        .groupBy(*keys, "trade")
-        .agg(
-            F.min_by("adj_open", "bar_ts").alias("open"),
-            F.min("place").alias("a"),
-            F.max(F.when(F.col("first_sell") == 1, F.col("adj_open"))).alias("close"),
-            F.max(F.when(F.col("first_sell") == 1, F.col("place"))).alias("b"),
-        )
-        .where("close is not null")
-        .groupBy(*keys)
-        .agg(F.count("*").alias("trades"), F.avg((F.col("close") > F.col("open")).cast("int")).alias("wins"), F.avg((F.col("b") - F.col("a") <= whipsaw).cast("int")).alias("whipsaws"))
+    inside = Window.partitionBy("symbol", "candidate", "stretch").orderBy("bar_ts")
+    x = x.withColumns(
+        {
+            "place": F.row_number().over(inside),
+            "top": F.max("portfolio").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+            "start": F.first("i").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+        }
     )
-    m = x.groupBy(*keys).agg(
+    r = F.when(F.col("place") > 1, F.col("r"))
+    mine = sells & (F.col("entry.at") >= F.col("start"))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    m2 = lambda c: F.var_pop(c) * F.count(c)
+    trade = lambda c: F.struct(F.col("i").alias("at"), F.col("adj_open").alias("price"))
+    last_buy, last_sale = F.max(F.when(buys, trade("buy"))), F.max(F.when(sells, F.col("i")))
+    fields = x.groupBy("symbol", "candidate", "n", "stretch").agg(
+        F.min("i").alias("first"),
         F.count("*").alias("bars"),
-        F.datediff(F.max("bar_ts"), F.min("bar_ts")).alias("days"),
-        F.min_by("portfolio", "bar_ts").alias("p0"),
-        F.max_by("portfolio", "bar_ts").alias("p1"),
-        F.min("dd").alias("max_drawdown"),
-        F.stddev_samp("r").alias("sd"),
-        F.avg("r").alias("mean"),
-        F.stddev_samp(F.when(F.col("r") < 0, F.col("r"))).alias("down"),
-        F.avg((F.col("shares") > 0).cast("int")).alias("exposure"),
+        F.min("bar_ts").alias("t0"),
+        F.max("bar_ts").alias("t1"),
+        F.min_by("portfolio", "i").alias("p0"),
+        F.max_by("portfolio", "i").alias("p1"),
+        F.max("portfolio").alias("peak"),
+        F.min("portfolio").alias("trough"),
+        F.min(F.col("portfolio") / F.col("top") - 1).alias("fall"),
+        _moments(F.count(r), F.avg(r), m2(r)).alias("r"),
+        _moments(F.count(F.when(r < 0, r)), F.avg(F.when(r < 0, r)), m2(F.when(r < 0, r))).alias("down"),
+        count(F.col("shares") > 0).alias("held"),
+        count(mine).alias("closed"),
+        count(mine & (F.col("adj_open") > F.col("entry.price"))).alias("wins"),
+        count(mine & (F.col("i") - F.col("entry.at") <= whipsaw)).alias("whipsaws"),
+        (count(buys) > 0).alias("bought"),
+        F.min(F.when(sells & ~F.coalesce(F.col("entry.at") >= F.col("start"), F.lit(False)), trade("sale"))).alias("head"),
+        last_buy.alias("last_buy"),
+        last_sale.alias("last_sale"),
     )
-    years = F.greatest(F.col("days") / 365.25, F.lit(1 / per_year))
-    growth = F.pow(F.col("p1") / F.col("p0"), 1 / years) - 1
-    yearly = F.col("mean") * per_year
-    positive = lambda c: F.when(F.col(c) > 0, F.col(c) * per_year**0.5)
-    return m.join(closed, keys, "left").select(
-        *keys,
-        "bars",
-        growth.alias("growth"),
-        "max_drawdown",
-        (yearly / positive("sd")).alias("sharpe"),
-        (yearly / positive("down")).alias("sortino"),
-        F.when(F.col("max_drawdown") < 0, growth / F.abs("max_drawdown")).alias("calmar"),
-        "wins",
-        "whipsaws",
-        "exposure",
-        F.coalesce("trades", F.lit(0)).alias("trades"),
+    tail = F.when(F.col("last_sale").isNull() | (F.col("last_sale") < F.col("last_buy.at")), F.col("last_buy"))
+    fields = fields.withColumn("tail", tail)
+    named = [f.split(":")[0] for f in ("first", "n", "t0", "t1", "p0", "p1", "peak", "trough", "fall", "r", "down", "held", "closed", "wins", "whipsaws", "bought", "head", "tail")]
+    one = F.struct(*[F.col("bars" if f == "n" else f).alias(f) for f in named]).cast(_SUMMARY)
+    return fields.groupBy("symbol", "candidate", "n").agg(F.array_sort(F.collect_list(one)).alias("stretches"))
+
+
+def segments(path: DataFrame, parts: Callable[[Column], list[Part]], whipsaw: int = 10) -> DataFrame:
+    """path (symbol, candidate, ...) -> measures of each part that parts(n) names for a history of n bars.
+
+    Parts may overlap: they are merged from the summaries of the stretches between all their edges. A part under
+    three bars has no measures and no trades; a history under 180 bars has no parts. Bars per year follow from the
+    part's mean distance of bars: 252 up to 2 days, 52 up to 10, else 12. Measures are rounded to 9 digits, so that
+    candidates with equal paths tie in whatever order their sums were made.
+    """
+    named = parts(F.col("n"))
+    x = summaries(path, [e for _, a, b in named for e in (a, b)], whipsaw).where(F.col("n") >= LEAST_HISTORY)
+    none = F.from_json(F.lit('{"n": 0}'), _SUMMARY)
+
+    def whole(a: Column, b: Column) -> Column:
+        own = F.filter("stretches", lambda s: (s["first"] >= a) & (s["first"] < b))
+        return F.aggregate(own, none, lambda s, t: merged(s, t, whipsaw))
+
+    x = x.select("symbol", "candidate", F.inline(F.array(*[F.struct(F.lit(name).alias("part"), a.alias("from"), b.alias("to"), whole(a, b).alias("s")) for name, a, b in named])))
+    x = x.where(F.col("to") > F.col("from"))
+    s = lambda k: F.col(f"s.{k}")
+    seconds = F.unix_seconds(s("t1").cast("timestamp")) - F.unix_seconds(s("t0").cast("timestamp"))
+    mean_days = seconds / 86400 / (s("n") - 1)
+    per_year = F.when(mean_days <= 2, 252.0).when(mean_days <= 10, 52.0).otherwise(12.0)
+    years = F.greatest(F.floor(seconds / 86400) / 365.25, 1 / per_year)
+    growth = F.pow(s("p1") / s("p0"), 1 / years) - 1
+    spread = lambda k: F.when(s(f"{k}.n") > 1, F.sqrt(s(f"{k}.m2") / (s(f"{k}.n") - 1) * per_year))
+    yearly = F.when(s("r.n") > 0, s("r.mean") * per_year)
+    enough = s("n") >= LEAST_PART
+    known = lambda c, name: F.when(enough, F.round(c, 9)).alias(name)
+    share = lambda k: F.when(s("closed") > 0, s(k) / s("closed"))
+    return x.select(
+        "symbol",
+        "candidate",
+        "part",
+        s("n").alias("bars"),
+        s("t0").alias("from_ts"),
+        s("t1").alias("to_ts"),
+        known(growth, "growth"),
+        known(s("fall"), "max_drawdown"),
+        known(spread("r"), "volatility"),
+        known(yearly / F.when(spread("r") > 1e-12, spread("r")), "sharpe"),
+        known(yearly / F.when(spread("down") > 1e-12, spread("down")), "sortino"),
+        known(growth / F.when(s("fall") < 0, F.abs(s("fall"))), "calmar"),
+        known(share("wins"), "wins"),
+        known(share("whipsaws"), "whipsaws"),
+        known(s("held") / s("n"), "exposure"),
+        F.when(enough, s("closed")).otherwise(0).alias("trades"),
     )
 
 
-#: Measure, weight, whether more is better.
+#: Measure, weight, whether more is better. Fixed values.
 WEIGHTS = [
     ("growth", 0.25, True),
     ("calmar", 0.20, True),
@@ -133,7 +263,8 @@ def scored(measures: DataFrame, least_trades: int = 2) -> DataFrame:
         ties = F.count("*").over(Window.partitionBy("symbol", "part", name))
         share = (F.rank().over(by) + (ties - 1) / 2) / F.count(name).over(Window.partitionBy("symbol", "part"))
         total = total + weight * F.when(F.col(name).isNotNull(), share).otherwise(0.0)
-    return measures.withColumn("score", F.when(F.col("trades") < least_trades, total * 0.55).otherwise(total))
+    # Rounded, as scores that are equal but for the order of sums are equal.
+    return measures.withColumn("score", F.round(F.when(F.col("trades") < least_trades, total * 0.55).otherwise(total), 9))
 
 
 #: How far the settings of neighbouring candidates may differ, in the order of _KEYS.
@@ -161,32 +292,30 @@ def ranking(scores: DataFrame, candidates: DataFrame) -> DataFrame:
         F.max(F.when(F.col("part") == "train", F.col("score"))).alias("train"),
         F.max(F.when(F.col("part") == "validation", F.col("score"))).alias("validation"),
     )
-    cut = wide.groupBy("symbol").agg(F.percentile("train", 0.75).alias("cut"))
+    cut = wide.groupBy("symbol").agg(F.round(F.percentile("train", 0.75), 9).alias("cut"))
     x = wide.join(cut, "symbol").join(candidates, "candidate")
-    x = x.withColumn("robust", F.when(F.col("train") >= F.col("cut"), 0.7 * F.col("train") + 0.3 * F.col("validation")).otherwise(0.0)).drop("cut")
+    robust = F.round(0.7 * F.col("train") + 0.3 * F.col("validation"), 9)
+    x = x.withColumn("robust", F.when(F.col("train") >= F.col("cut"), robust).otherwise(0.0)).drop("cut")
     near = neighbours(candidates).join(x.select("symbol", F.col("candidate").alias("other"), F.col("robust").alias("near")), "other")
     plateau = (
         x.select("symbol", "candidate", "robust")
         .join(near, ["symbol", "candidate"])
         .groupBy("symbol", "candidate")
-        .agg(F.avg((F.col("near") >= 0.95 * F.col("robust")).cast("int")).alias("plateau"))
+        .agg(F.avg((F.col("near") >= F.round(0.95 * F.col("robust"), 9)).cast("int")).alias("plateau"))
     )
     x = x.join(plateau, ["symbol", "candidate"]).withColumn("plateau", F.when(F.col("robust") > 0, F.col("plateau")).otherwise(0.0))
-    x = x.withColumn("final", F.col("robust") * (0.85 + 0.15 * F.col("plateau")))
+    x = x.withColumn("final", F.round(F.col("robust") * (0.85 + 0.15 * F.col("plateau")), 9))
     best = Window.partitionBy("symbol").orderBy(F.desc("final"), F.desc("validation"), F.desc("train"), F.desc("plateau"), "candidate")
     return x.withColumn("place", F.row_number().over(best))
 
 
-def walk_forward(path: DataFrame, folds: int = 3, start: float = 0.5) -> DataFrame:
-    """For each fold: the candidate that is best on all bars before it, and its measures in the fold."""
-    step = (1 - start) / folds
-    bounds = []
-    for k in range(folds):
-        edge = start + k * step
-        bounds += [(f"past_{k}", 0.0, edge), (f"test_{k}", edge, 1.0 if k == folds - 1 else edge + step)]
-    x = scored(segments(path, bounds))
-    past = x.where(F.col("part").startswith("past_")).withColumn("fold", F.substring("part", 6, 9).cast("int"))
+def walk_forward(path: DataFrame, folds: int = 3, least_trades: int = 2, whipsaw: int = 10) -> DataFrame:
+    """For each fold: the candidate that is best on all bars before it (ties: the first), and its measures in the fold."""
+    x = scored(segments(path, lambda n: fold_parts(n, folds), whipsaw), least_trades)
+    x = x.withColumn("fold", F.regexp_extract("part", "[0-9]+", 0).cast("int"))
+    past = x.where(F.col("part").startswith("past_"))
     best = Window.partitionBy("symbol", "fold").orderBy(F.desc("score"), "candidate")
-    chosen = past.withColumn("place", F.row_number().over(best)).where("place = 1").select("symbol", "fold", "candidate", F.col("score").alias("past_score"))
-    test = x.where(F.col("part").startswith("test_")).withColumn("fold", F.substring("part", 6, 9).cast("int"))
+    chosen = past.withColumn("place", F.row_number().over(best)).where("place = 1")
+    chosen = chosen.select("symbol", "fold", "candidate", F.col("score").alias("past_score"), F.col("to_ts").alias("past_end"))
+    test = x.where(F.col("part").startswith("test_"))
     return chosen.join(test.drop("part", "score"), ["symbol", "fold", "candidate"])

@@ -52,37 +52,49 @@ define("macd_s", ("macd_walk",), """
     CASE WHEN i >= 13 THEN atr END AS atr, CASE WHEN i >= 13 THEN 100 * pdm / atr END AS plus_di, CASE WHEN i >= 13 THEN 100 * mdm / atr END AS minus_di,
     CASE WHEN i >= 26 THEN adx END AS adx FROM macd_walk""")
 define("macd_a", ("macd_s", "adj_1wk"), "SELECT a.*, s.* EXCLUDE (symbol, i), line - signal AS hist, plain - plain_signal AS plain_hist FROM adj_1wk a JOIN macd_s s ON a.symbol = s.symbol AND a.i = s.i")
-define("macd_b", ("macd_a",), f"""
-  SELECT *, signal - {prior('signal')} AS signal_slope, hist - {prior('hist')} AS hist_slope, base - {prior('base')} AS base_slope,
-    coalesce(line > signal AND {prior('line')} <= {prior('signal')}, false) AS bull_cross, coalesce(line < signal AND {prior('line')} >= {prior('signal')}, false) AS bear_cross,
-    (px - base) / atr AS extension, {full('min(adj_low)', 'adj_low', 20, rows(-20, -1))} AS swing_low, {full('max(adj_high)', 'adj_high', 20, rows(-20, -1))} AS swing_high
-  FROM macd_a""")
-
-
 def _steady(condition: str, n: int) -> str:
     return f"sum(coalesce({condition}, false)::INT) OVER ({rows(-(n - 1))}) = {n}"
 
 
-define("macd_c", ("macd_b",), f"""
-  SELECT *, max(bull_cross::INT) OVER ({rows(-2)}) = 1 AS recent_bull, max(bear_cross::INT) OVER ({rows(-2)}) = 1 AS recent_bear,
-    {_steady('signal_slope > 0', 2)} AS signal_rising, {_steady('signal_slope < 0', 2)} AS signal_falling,
-    {_steady('hist_slope > 0', 2)} AS hist_rising, {_steady('hist_slope < 0', 2)} AS hist_falling, coalesce(px < swing_low, false) AS swing_break FROM macd_b""")
 _p = lambda c, w: f"CASE WHEN {c} THEN {w} ELSE 0 END"
 _buy = " + ".join([_p("recent_bull", 16), _p("line > signal", 10), _p("signal_rising", 10), _p("hist > 0", 8), _p("hist_rising", 8), _p("px > base", 10), _p("base_slope > 0", 8), _p("plain > plain_signal AND plain_hist >= 0", 10), _p("adx >= 18 AND plus_di > minus_di", 8), _p("extension <= 3", 4)])
 _sell = " + ".join([_p("recent_bear", 16), _p("line < signal", 10), _p("signal_falling", 10), _p("hist < 0", 8), _p("hist_falling", 10), _p("px < base", 10), _p("base_slope < 0", 8), _p("plain < plain_signal AND plain_hist <= 0", 8), _p("adx >= 18 AND minus_di > plus_di", 6), _p("swing_break", 6)])
-define("macd", ("macd_c",), f"SELECT *, 100.0::DOUBLE * ({_buy}) / 92 AS buy_score, 100.0::DOUBLE * ({_sell}) / 92 AS sell_score FROM macd_c")
-def cycle(name: str, bear: bool = False, reduce: bool = False) -> None:
-    """CTE {name}: the lifecycle with the default settings, bar by bar; half is sold once at REDUCE where reduce is true."""
-    weak = "sell_score >= 65" + " AND recent_bear" * bear
-    define(f"{name}_a", ("macd",), "SELECT *, buy_score >= 65 AND recent_bull AS candidate FROM macd")
+
+
+def flags(name: str) -> None:
+    """CTE {name}: flags and scores of {name}_a."""
+    define(f"{name}_b", (f"{name}_a",), f"""
+  SELECT *, signal - {prior('signal')} AS signal_slope, hist - {prior('hist')} AS hist_slope, base - {prior('base')} AS base_slope,
+    coalesce(line > signal AND {prior('line')} <= {prior('signal')}, false) AS bull_cross, coalesce(line < signal AND {prior('line')} >= {prior('signal')}, false) AS bear_cross,
+    (px - base) / atr AS extension, {full('min(adj_low)', 'adj_low', 20, rows(-20, -1))} AS swing_low, {full('max(adj_high)', 'adj_high', 20, rows(-20, -1))} AS swing_high
+  FROM {name}_a""")
+    define(f"{name}_c", (f"{name}_b",), f"""
+  SELECT *, max(bull_cross::INT) OVER ({rows(-2)}) = 1 AS recent_bull, max(bear_cross::INT) OVER ({rows(-2)}) = 1 AS recent_bear,
+    {_steady('signal_slope > 0', 2)} AS signal_rising, {_steady('signal_slope < 0', 2)} AS signal_falling,
+    {_steady('hist_slope > 0', 2)} AS hist_rising, {_steady('hist_slope < 0', 2)} AS hist_falling, coalesce(px < swing_low, false) AS swing_break FROM {name}_b""")
+    define(name, (f"{name}_c",), f"SELECT *, 100.0::DOUBLE * ({_buy}) / 92 AS buy_score, 100.0::DOUBLE * ({_sell}) / 92 AS sell_score FROM {name}_c")
+
+
+flags("macd")
+
+
+def cycle(name: str, bear: bool = False, reduce: bool = False, source: str = "macd", levels: tuple[str, ...] = ("65", "35", "50", "65")) -> None:
+    """CTE {name}: the lifecycle with the default settings, bar by bar; half is sold once at REDUCE where reduce is true.
+
+    levels: buy, watch, reduce and sell, as SQL over source.
+    """
+    buy_at, watch_at, reduce_at, sell_at = levels
+    hope = f"greatest(45, {buy_at} - 15)"
+    weak = f"sell_score >= {sell_at}" + " AND recent_bear" * bear
+    define(f"{name}_a", (source,), f"SELECT *, buy_score >= {buy_at} AND recent_bull AS candidate FROM {source}")
     define(f"{name}_x", (f"{name}_a",), f"SELECT *, candidate AS buy_ok, {_steady(weak, 2)} AS sell_ok FROM {name}_a")
-    state = """CASE WHEN shares > 0 THEN CASE WHEN swing_break OR px <= entry * 0.88 OR coalesce(px <= peak - 3 * atr, false) THEN 'RISK EXIT' WHEN sell_ok THEN 'SELL'
-      WHEN sell_score >= 50 THEN 'REDUCE' WHEN sell_score >= 35 THEN 'SELL WATCH' ELSE 'HOLD' END
-    ELSE CASE WHEN buy_ok AND rested THEN 'BUY' WHEN (candidate AND NOT rested) OR buy_score >= 50 THEN 'BUY WATCH' ELSE 'WAIT / CASH' END END"""
+    state = f"""CASE WHEN shares > 0 THEN CASE WHEN swing_break OR px <= entry * 0.88 OR coalesce(px <= peak - 3 * atr, false) THEN 'RISK EXIT' WHEN sell_ok THEN 'SELL'
+      WHEN sell_score >= {reduce_at} THEN 'REDUCE' WHEN sell_score >= {watch_at} THEN 'SELL WATCH' ELSE 'HOLD' END
+    ELSE CASE WHEN buy_ok AND rested THEN 'BUY' WHEN (candidate AND NOT rested) OR buy_score >= {hope} THEN 'BUY WATCH' ELSE 'WAIT / CASH' END END"""
     cut = f"w.state = 'REDUCE' AND NOT w.cut_once AND {str(reduce).lower()}"
     define(f"{name}_walk", (f"{name}_x",), f"""
   SELECT symbol, i, 0.0::DOUBLE AS shares, 100000.0::DOUBLE AS cash, 0.0::DOUBLE AS entry, 0.0::DOUBLE AS peak, -1000 AS quit, true AS rested, false AS cut_once,
-    CASE WHEN buy_ok THEN 'BUY' WHEN buy_score >= 50 THEN 'BUY WATCH' ELSE 'WAIT / CASH' END AS state, '' AS executed FROM {name}_x WHERE i = 0
+    CASE WHEN buy_ok THEN 'BUY' WHEN buy_score >= {hope} THEN 'BUY WATCH' ELSE 'WAIT / CASH' END AS state, '' AS executed FROM {name}_x WHERE i = 0
   UNION ALL
   SELECT symbol, i, shares, cash, entry, peak, CASE WHEN state IN ('SELL', 'RISK EXIT') THEN i ELSE quit END::INT, rested, cut_once, state, executed FROM (
     SELECT *, {state} AS state FROM (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.operators import calibration, checks, kernel, performance, tactical, trend
+from tidelane.operators import checks, kernel, performance, tactical, trend
 from tidelane.plans import kernel_queries as K
 from tidelane.plans.oracle import SO_FAR, W, prior, r, sql
 from tidelane.plans.trend_queries import DAILY, path, shown, shown_sql
@@ -77,37 +77,3 @@ SQL["s07_payload_bars"] = sql(shown_sql("bars_1wk", ["symbol", "bar_ts"], checks
 _st = (["symbol", "bar_ts"], ["open", "high", "low", "close", "volume"])
 QUERIES["stream_bars_15m"] = lambda s, d: shown(stream.replay(s, f"{d}/events.parquet"), *_st)
 SQL["stream_bars_15m"] = sql(shown_sql("bars_15m WHERE bar_ts + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 20 MINUTE", *_st), "bars_15m")
-
-
-#: The reference's default grid, 192 candidates.
-DEPTH = "balanced"
-_parts = [("train", 0.0, 0.6), ("validation", 0.6, 0.8), ("held_out", 0.8, 1.0)]
-_measured = (["bars", "trades"], [], ["growth", "max_drawdown", "sharpe", "exposure"])
-
-
-def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measures of each candidate of the lifecycle by part of the history (no SQL: rows only)."""
-    found = calibration.segments(calibration.paths(bars.load(spark, sf_dir, "1wk"), DEPTH), _parts)
-    return shown(calibration.scored(found), ["symbol", "candidate", "part", *_measured[0]], [], [*_measured[2], "score"])
-
-
-QUERIES["a22_segments"] = searched
-
-
-def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each symbol's candidates in order of choice; the part held out is not looked at (no SQL: rows only)."""
-    found = calibration.segments(calibration.paths(bars.load(spark, sf_dir, "1wk"), DEPTH), _parts[:2])
-    table = calibration.ranking(calibration.scored(found), calibration.grid(spark, DEPTH))
-    return shown(table, ["symbol", "candidate", "fast", "slow", "signal_n", "buy", "sell", "place"], [], ["train", "validation", "robust", "plateau", "final"])
-
-
-QUERIES["a24_ranking"] = ranked
-
-
-def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each fold's best candidate by the bars before it, and its measures in the fold (no SQL: rows only)."""
-    found = calibration.walk_forward(calibration.paths(bars.load(spark, sf_dir, "1wk"), DEPTH))
-    return shown(found, ["symbol", "fold", "candidate", *_measured[0]], [], ["past_score", *_measured[2]])
-
-
-QUERIES["a25_walk_forward"] = walked
