@@ -3,6 +3,7 @@ import random
 
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 
@@ -101,3 +102,28 @@ def test_a_small_memo_gives_the_same(model):
     texts = pa.array(TEXTS + ["one two three", "two four  five", "one six"])
     for part in (texts, texts[3:], texts[:9]):
         assert list(small.encode(part, 3)) == list(model.encode(part, 3))
+
+
+def test_pieces_without_a_score_count_as_the_rarest():
+    """The mark alone is such a piece: a word that begins with no joined piece costs no more than rare pieces do."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    ranks = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    least = min(s for s in ranks.values() if s > -1e8)
+    assert ranks["▁"] < -1e8
+    total = math.log(sum(1 / (1 - s) for s in ranks.values() if s > -1e8))
+    known = {p: -math.log(1 - max(s, least)) - total for p, s in ranks.items()}
+
+    def best(unit):
+        scores = [0.0] + [-math.inf] * len(unit)
+        for j in range(1, len(unit) + 1):
+            scores[j] = max(scores[i] + known[unit[i:j]] for i in range(j) if unit[i:j] in known)
+        return scores[-1]
+
+    words = ["çréoi", "êeau,", "ç", "éèonç", "über", "ß"]
+    p = S.Pieces(PATH)
+    for word, (_, score, _) in zip(words, p.encode(pa.array(words), 1)):
+        assert abs(score - best(f"▁{word}")) < 1e-4
+    texts = [w * 3 + " " + w for w in words] + ["a  b", "   ", "çà et là", "日本 한국 ça"]
+    assert all(score > -100 * len(t) for t, (_, score, _) in zip(texts, p.encode(pa.array(texts), 1)))
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column("text").combine_chunks().cast(pa.string())
+    assert all(score > -100 * len(t.as_py()) for t, (_, score, _) in zip(table, p.encode(table, 1)))

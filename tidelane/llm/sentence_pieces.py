@@ -12,7 +12,8 @@ those alone and their lists are merged.
 A unigram model's scores are log-probabilities and are taken as they are. A merge model has ranks of
 merges for scores, whose sum would favour early merges over whole words; there the piece of rank r
 counts as log(1 / (r + 1)) less the logarithm of the sum of these weights (Zipf's law over the ranks;
-nothing is trained). Scores are rounded to steps of 2**-20.
+nothing is trained). A piece without a score of its own (below -1e8) has that of the rarest. Scores are
+rounded to steps of 2**-20.
 
 Text is taken as it is (no normalisation), with the model's space mark for spaces and one before
 the text. A character without a piece is spelled in byte pieces, at the least piece score less 10,
@@ -121,12 +122,13 @@ class Pieces:
                 if "\n" in piece or MARK in piece.lstrip(MARK):
                     raise ValueError(f"piece {piece!r} crosses the bounds of units")
                 self.pieces[piece] = (i, score)
-        # Scores of pieces that are there only to be spelled out don't count.
+        # Pieces that no merge makes have a score of -1e9 (the mark alone, runs of it); they count as the rarest one.
         scores = sorted((s for _, s in self.pieces.values() if s > -1e8), reverse=True)
+        self.pieces = {q: (i, max(s, scores[-1])) for q, (i, s) in self.pieces.items()} if scores else self.pieces
         if len(set(scores)) == len(scores) > 1 and all(s.is_integer() for s in scores):
             # Ranks of merges: a sum of them means nothing, so Zipf's law turns them to log-probabilities.
             total = math.log(sum(1 / (1 - s) for s in scores))
-            self.pieces = {q: (i, -math.log(1 - s) - total if s > -1e8 else s) for q, (i, s) in self.pieces.items()}
+            self.pieces = {q: (i, -math.log(1 - s) - total) for q, (i, s) in self.pieces.items()}
             scores = [-math.log(1 - scores[-1]) - total]
         # In steps of 2**-20 sums are exact in any order, so ties are ties for the search.
         self.pieces = {q: (i, round(s * 2**20) / 2**20) for q, (i, s) in self.pieces.items()}
