@@ -110,8 +110,9 @@ def test_pieces_without_a_score_count_as_the_rarest():
     ranks = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
     least = min(s for s in ranks.values() if s > -1e8)
     assert ranks["▁"] < -1e8
-    total = math.log(sum(1 / (1 - s) for s in ranks.values() if s > -1e8))
-    known = {p: -math.log(1 - max(s, least)) - total for p, s in ranks.items()}
+    ranks = {p: max(s, least) for p, s in ranks.items()}
+    total = math.log(sum(1 / (1 - s) for s in ranks.values()))
+    known = {p: -math.log(1 - s) - total for p, s in ranks.items()}
 
     def best(unit):
         scores = [0.0] + [-math.inf] * len(unit)

@@ -127,7 +127,7 @@ class Pieces:
         self.pieces = {q: (i, max(s, scores[-1])) for q, (i, s) in self.pieces.items()} if scores else self.pieces
         if len(set(scores)) == len(scores) > 1 and all(s.is_integer() for s in scores):
             # Ranks of merges: a sum of them means nothing, so Zipf's law turns them to log-probabilities.
-            total = math.log(sum(1 / (1 - s) for s in scores))
+            total = math.log(sum(1 / (1 - s) for _, s in self.pieces.values()))
             self.pieces = {q: (i, -math.log(1 - s) - total) for q, (i, s) in self.pieces.items()}
             scores = [-math.log(1 - scores[-1]) - total]
         # In steps of 2**-20 sums are exact in any order, so ties are ties for the search.
