@@ -11,8 +11,10 @@ from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidelane.functions.windows import by_time, div, flag, frame, full, prior, so_far
 from tidelane.sources.bars import adjusted
@@ -243,7 +245,51 @@ def indicator(bars: DataFrame, c: Macd = Macd(), kernel: DataFrame | None = None
     return x.withColumns({"buy_score": score(buy), "sell_score": score(sell)})
 
 
-_PATH = "symbol string, bar_ts timestamp_ntz, shares double, cash double, first_buy int, first_sell int, state string, executed string, reduced int, entry double, peak double, rested boolean"
+class Walk:
+    """An open or closed position, moved bar by bar: orders of a bar fill at the next one's open."""
+
+    def __init__(self, c: Cycle, state: list | None = None):
+        self.c = c
+        # left: the bar that asked for the last full sale; order: what the bar before asked for.
+        self.cash, self.shares, self.entry, self.peak, self.i, self.left, self.reduced, self.order = state or [c.capital, 0.0, 0.0, 0.0, 0, None, False, None]
+
+    def state(self) -> list:
+        return [self.cash, self.shares, self.entry, self.peak, self.i, self.left, self.reduced, self.order]
+
+    def step(self, adj_open, px, atr, swing_break, buy_score, sell_score, candidate, buy_ok, sell_ok) -> tuple:
+        """The bar's values of MOVES; atr may be None or NaN."""
+        c, order, i = self.c, self.order, self.i
+        bought = sold = cut = 0
+        executed = ""
+        # The order of the bar before fills at this open.
+        if order in ("SELL", "RISK EXIT"):
+            self.cash, self.shares, sold, executed = self.cash + self.shares * adj_open, 0.0, 1, order
+        elif order == "REDUCE":
+            part = self.shares * c.reduce_fraction
+            self.cash, self.shares, self.reduced, cut, executed = self.cash + part * adj_open, self.shares - part, True, 1, order
+        elif order == "BUY":
+            self.shares, self.cash, self.entry, bought, executed, self.reduced = self.cash / adj_open, 0.0, adj_open, 1, order, False
+            self.peak = max(adj_open, px)
+        rested = self.left is None or i - self.left >= c.cooldown
+        if self.shares > 0:
+            self.peak = max(self.peak, px)
+            stop = swing_break or px <= self.entry * (1 - c.hard_stop) or (atr is not None and atr == atr and px <= self.peak - c.atr_times * atr)
+            state = "RISK EXIT" if stop else "SELL" if sell_ok else "REDUCE" if sell_score >= c.reduce else "SELL WATCH" if sell_score >= c.watch else "HOLD"
+            if state in ("RISK EXIT", "SELL"):
+                self.left = i
+        else:
+            hopeful = buy_score >= max(45.0, c.buy - 15.0)
+            state = "BUY" if buy_ok and rested else "BUY WATCH" if (candidate and not rested) or hopeful else "WAIT / CASH"
+        asks = state in ("BUY", "SELL", "RISK EXIT") or (state == "REDUCE" and c.execute_reduce and not self.reduced)
+        self.order = state if asks else None
+        self.i = i + 1
+        inside = (self.entry, self.peak) if self.shares > 0 else (None, None)
+        return (self.shares, self.cash, bought, sold, state, executed, cut, *inside, rested)
+
+
+#: What a step of Walk gives.
+MOVES = "shares double, cash double, first_buy int, first_sell int, state string, executed string, reduced int, entry double, peak double, rested boolean"
+_ASKED = ["adj_open", "px", "atr", "swing_break", "buy_score", "sell_score", "candidate", "buy_ok", "sell_ok"]
 
 
 def lifecycle(x: DataFrame, c: Cycle = Cycle(), levels: dict[str, Column] | None = None) -> DataFrame:
@@ -261,46 +307,20 @@ def lifecycle(x: DataFrame, c: Cycle = Cycle(), levels: dict[str, Column] | None
     weak = flag(F.col("sell_score") >= levels.get("sell", F.lit(c.sell)))
     weak = weak & F.col("recent_bear") if c.need_bear_cross else weak
     x = x.withColumns({"buy_ok": _steady(F.col("candidate"), c.buy_bars), "sell_ok": _steady(weak, c.sell_bars)})
-    narrow = x.select(
-        *["symbol", "bar_ts", "adj_open", "px", "atr", "swing_break", "buy_score", "sell_score", "candidate", "buy_ok", "sell_ok"],
-        *[v.cast("double").alias(f"own_{k}") for k, v in levels.items()],
-    )
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("bar_ts", ignore_index=True)
-        m = replace(c, **{k: float(g[f"own_{k}"].iat[0]) for k in own})
-        cash, shares, entry, peak, left, reduced = m.capital, 0.0, 0.0, 0.0, None, False
-        rows = []
-        order = None
-        for i, b in enumerate(g.itertuples()):
-            bought = sold = cut = 0
-            executed = ""
-            # The order of the bar before fills at this open.
-            if order in ("SELL", "RISK EXIT"):
-                cash, shares, sold, executed = cash + shares * b.adj_open, 0.0, 1, order
-            elif order == "REDUCE":
-                part = shares * m.reduce_fraction
-                cash, shares, reduced, cut, executed = cash + part * b.adj_open, shares - part, True, 1, order
-            elif order == "BUY":
-                shares, cash, entry, bought, executed, reduced = cash / b.adj_open, 0.0, b.adj_open, 1, order, False
-                peak = max(entry, b.px)
-            rested = left is None or i - left >= m.cooldown
-            if shares > 0:
-                peak = max(peak, b.px)
-                stop = b.swing_break or b.px <= entry * (1 - m.hard_stop) or (b.atr == b.atr and b.px <= peak - m.atr_times * b.atr)
-                state = "RISK EXIT" if stop else "SELL" if b.sell_ok else "REDUCE" if b.sell_score >= m.reduce else "SELL WATCH" if b.sell_score >= m.watch else "HOLD"
-                if state in ("RISK EXIT", "SELL"):
-                    left = i
-            else:
-                hopeful = b.buy_score >= max(45.0, m.buy - 15.0)
-                state = "BUY" if b.buy_ok and rested else "BUY WATCH" if (b.candidate and not rested) or hopeful else "WAIT / CASH"
-            order = state if state in ("BUY", "SELL", "RISK EXIT") or (state == "REDUCE" and m.execute_reduce and not reduced) else None
-            inside = (entry, peak) if shares > 0 else (None, None)
-            rows.append((b.symbol, b.bar_ts, shares, cash, bought, sold, state, executed, cut, *inside, rested))
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in _PATH.split(", ")])
-
-    path = narrow.groupBy("symbol").applyInPandas(run, _PATH)
-    out = x.join(path, ["symbol", "bar_ts"])
+    x = x.withColumns({f"own_{k}": v.cast("double") for k, v in levels.items()})
+    moves = StructType.fromDDL(MOVES)
+    arrow = {"double": pa.float64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("bar_ts")
+        walk = Walk(replace(c, **{k: t.column(f"own_{k}")[0].as_py() for k in own}))
+        steps = list(zip(*map(walk.step, *(t.column(k).to_pylist() for k in _ASKED))))
+        for f, values in zip(moves.fields, steps):
+            t = t.append_column(f.name, pa.array(values, arrow[f.dataType.simpleString()]))
+        return t
+
+    # All columns go through the map, so that nothing is joined back.
+    out = x.groupBy("symbol").applyInArrow(run, StructType([*x.schema.fields, *moves.fields])).drop(*[f"own_{k}" for k in own])
     first = F.first("px").over(so_far())
     out = out.withColumns(
         {

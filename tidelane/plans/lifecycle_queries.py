@@ -12,6 +12,7 @@ from tidelane.plans.kernel_queries import logged, logged_sql
 from tidelane.plans.oracle import SO_FAR, W, define, full, prior, rows, sql
 from tidelane.plans.trend_queries import _led, ledger_sql, shown, shown_sql
 from tidelane.sources import bars
+from tidelane.streaming import lifecycle as streamed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -149,6 +150,8 @@ SQL["w48_scores"] = sql(shown_sql("macd", *_scr), "macd", recursive=True)
 _cy = (["symbol", "bar_ts", "state", "executed", "first_buy", "first_sell"], [], ["log_cash", "log_portfolio", "log_shares"])
 QUERIES["t14_lifecycle"] = lambda s, d: shown(logged(cycled(s, d)), *_cy)
 SQL["t14_lifecycle"] = sql(shown_sql(logged_sql("cycle", "cash", "portfolio", "shares"), *_cy), "cycle", recursive=True)
+QUERIES["stream_lifecycle"] = lambda s, d: shown(logged(streamed.replay(s, bars.load(s, d, "1wk"))), *_cy)
+SQL["stream_lifecycle"] = SQL["t14_lifecycle"]
 QUERIES["l02_lifecycle_trades"] = lambda s, d: shown(performance.trades(cycled(s, d)).withColumn("days", F.col("days").cast("long")), *_led)
 SQL["l02_lifecycle_trades"] = ledger_sql("cycle", shown_sql("l", *_led)).replace("WITH ", "WITH RECURSIVE ", 1)
 _ev = (["symbol", "bar_ts", "state", "executed"], ["px"], ["buy_score", "sell_score"])
