@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidelane.functions.scan import CHUNK, Mean, chunked, exponential
 from tidelane.functions.windows import by_time, div, flag, frame, full, prior, so_far
 from tidelane.sources.bars import adjusted
 
@@ -131,9 +132,8 @@ def wilder(x: pd.Series, n: int) -> pd.Series:
 _SMOOTH = ["line", "signal", "plain", "plain_signal", "base", "atr", "plus_di", "minus_di", "adx"]
 
 
-def smoothed(bars: DataFrame, c: Macd = Macd(), lengths: dict[str, Column] | None = None) -> DataFrame:
-    """symbol, bar_ts and the recursive columns; lengths replaces fields of c by columns that are constant in a symbol."""
-    own = list(lengths or {})
+def _inputs(bars: DataFrame, *more: Column) -> DataFrame:
+    """What the recursive columns are made of: px, true range and directional moves."""
     x = adjusted(bars).withColumns(
         {
             "tr": F.greatest(F.col("adj_high") - F.col("adj_low"), F.abs(F.col("adj_high") - prior("px")), F.abs(F.col("adj_low") - prior("px"))),
@@ -141,16 +141,56 @@ def smoothed(bars: DataFrame, c: Macd = Macd(), lengths: dict[str, Column] | Non
             "down": prior("adj_low") - F.col("adj_low"),
         }
     )
-    x = x.select(
+    return x.select(
         "symbol",
         "bar_ts",
         "px",
         "tr",
         F.when((F.col("up") > F.col("down")) & (F.col("up") > 0), F.col("up")).otherwise(0.0).alias("plus"),
         F.when((F.col("down") > F.col("up")) & (F.col("down") > 0), F.col("down")).otherwise(0.0).alias("minus"),
-        *[v.cast("int").alias(f"own_{k}") for k, v in (lengths or {}).items()],
+        *more,
     )
 
+
+def smoothed_by_scan(bars: DataFrame, c: Macd = Macd(), chunk: int = CHUNK) -> DataFrame:
+    """smoothed() without a grouped map: chunks of a symbol are scanned on their own (functions/scan.py)."""
+    span = Mean.span
+    wilder = lambda name, source: Mean(name, source, 1 / c.adx, c.adx)
+    x = exponential(
+        chunked(_inputs(bars), chunk),
+        [
+            *[span(f"{k}1", "px", n) for k, n in (("fast", c.fast), ("slow", c.slow), ("base", c.trend))],
+            *[span("plain_fast", "px", c.plain_fast), span("plain_slow", "px", c.plain_slow)],
+            *[wilder("atr", "tr"), wilder("ups", "plus"), wilder("downs", "minus")],
+        ],
+    )
+    x = x.withColumns({"plain": F.col("plain_fast") - F.col("plain_slow"), **{f"{k}_di": 100 * div(F.col(v), F.col("atr")) for k, v in (("plus", "ups"), ("minus", "downs"))}})
+    x = x.withColumn("strength", div(100 * F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")))
+    x = exponential(
+        x,
+        [
+            *[span(f"{k}2", f"{k}1", n) for k, n in (("fast", c.fast), ("slow", c.slow), ("base", c.trend))],
+            *[span("plain_signal", "plain", c.plain_signal), wilder("adx", "strength")],
+        ],
+    )
+    double = lambda k: 2 * F.col(f"{k}1") - F.col(f"{k}2")
+    x = x.withColumns({"line": double("fast") - double("slow"), "base": double("base")})
+    x = exponential(x, [span("signal1", "line", c.signal)])
+    if c.signal_kind == "dema":
+        x = exponential(x, [span("signal2", "signal1", c.signal)]).withColumn("signal", double("signal"))
+    else:
+        x = x.withColumnRenamed("signal1", "signal")
+    return x.select("symbol", "bar_ts", *_SMOOTH)
+
+
+def smoothed(bars: DataFrame, c: Macd = Macd(), lengths: dict[str, Column] | None = None) -> DataFrame:
+    """symbol, bar_ts and the recursive columns; lengths replaces fields of c by columns that are constant in a symbol.
+
+    A grouped map: the bars of one symbol are one group. smoothed_by_scan() gives the same without that.
+    """
+    own = list(lengths or {})
+    x = _inputs(bars, *[v.cast("int").alias(f"own_{k}") for k, v in (lengths or {}).items()])
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
         m = replace(c, **{k: int(g[f"own_{k}"].iat[0]) for k in own})
         g = g.sort_values("bar_ts")

@@ -141,6 +141,8 @@ def cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 _sm = (["symbol", "bar_ts"], ["line", "signal", "plain", "plain_signal", "base", "atr"], ["plus_di", "minus_di", "adx"])
 QUERIES["w39_smoothed"] = lambda s, d: shown(lifecycle.smoothed(bars.load(s, d, "1wk")), *_sm)
 SQL["w39_smoothed"] = sql(shown_sql("macd", *_sm), "macd", recursive=True)
+QUERIES["w39_scan"] = lambda s, d: shown(lifecycle.smoothed_by_scan(bars.load(s, d, "1wk")), *_sm)
+SQL["w39_scan"] = SQL["w39_smoothed"]
 _in = (["symbol", "bar_ts", "bull_cross", "bear_cross", "recent_bull", "recent_bear", "signal_rising", "hist_falling", "swing_break"], ["hist", "plain_hist", "hist_slope", "swing_low", "swing_high"], ["extension"])
 QUERIES["w43_macd"] = lambda s, d: shown(measured(s, d), *_in)
 SQL["w43_macd"] = sql(shown_sql("macd", *_in), "macd", recursive=True)
