@@ -1,15 +1,18 @@
 """Rolling risk and value at risk by symbol.
 
 Rolling windows are frames of the bars; value at risk is an exact quantile, a normal one, or a
-quantile of scenarios that are drawn from the observed returns. Scenarios are rows of a generated
-range with a hashed choice of returns, so their number does not pass through the driver.
+quantile of scenarios that are drawn from the observed returns. Stretches of scenarios are rows, and each
+draws its own stretch of one seeded stream, so their number does not pass through the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,17 +144,85 @@ def value_at_risk(series: DataFrame, c: Risk = Risk(), confidences=(0.95, 0.99))
     return stats.select("symbol", "series", "n", status.alias("status"), F.inline(F.when(few, stop).otherwise(F.array(*rows))))
 
 
+def _raw(seed: int, first: int, n: int) -> np.ndarray:
+    """Numbers first to first + n - 1 of the 32-bit stream of a PCG64 generator: the halves of its outputs, low one first."""
+    g = np.random.PCG64(seed).advance(first // 2)
+    return g.random_raw((first % 2 + n + 1) // 2).astype("<u8").view("<u4")[first % 2 :][:n].astype(np.uint64)
+
+
+def draws(seed: int, n: int, first: int, count: int, rejected: Sequence[int]) -> np.ndarray:
+    """Draws first to first + count - 1 of default_rng(seed).integers(0, n), made on their own.
+
+    A draw takes one number of the 32-bit stream, unless that is one of the rejected places of it.
+    """
+    gone = np.asarray(sorted(rejected), np.int64)
+    # Where draw k stands: k and the rejected places before it.
+    start = first + int(np.searchsorted(gone - np.arange(len(gone)), first, "right"))
+    inside = gone[gone >= start]
+    more = int(np.searchsorted(inside - np.arange(len(inside)), start + count, "left")) if len(inside) else 0
+    raw = _raw(seed, start, count + more)
+    kept = np.ones(len(raw), bool)
+    kept[inside[inside < start + len(raw)] - start] = False
+    return ((raw[kept][:count] * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def rejections(seed: int, n: int, first: int, count: int) -> np.ndarray:
+    """Places among so many of the 32-bit stream that give no draw below n, as they would favour some values."""
+    raw = _raw(seed, first, count)
+    low = (raw * np.uint64(n)) & np.uint64(0xFFFFFFFF)
+    return first + np.flatnonzero(low < np.uint64((1 << 32) % n))
+
+
+#: Scenarios of one row of work, and spare places of the stream that rejections are looked for in.
+STRETCH, SPARE = 5_000, 4_096
+
+
 def bootstrap(series: DataFrame, c: Risk = Risk(), confidences=(0.95, 0.99)) -> DataFrame:
-    """Value at risk from scenarios of horizon returns each, drawn with replacement by a seeded hash."""
-    r = returns(series, c).select("symbol", "series", "place", F.log1p("r").alias("l"))
-    sizes = r.groupBy("symbol", "series").agg(F.count("*").alias("n")).where(F.col("n") >= c.least)
-    draws = sizes.withColumn("scenario", F.explode(F.sequence(F.lit(1), F.lit(c.scenarios)))).withColumn(
-        "step", F.explode(F.sequence(F.lit(1), F.lit(c.horizon)))
-    )
-    pick = F.pmod(F.xxhash64(F.lit(c.seed), "symbol", "series", "scenario", "step"), F.col("n")) + 1
-    # The planner takes the generated draws for few rows and would broadcast them.
-    drawn = draws.withColumn("place", pick.cast("int")).join(r.hint("shuffle_hash"), ["symbol", "series", "place"])
-    ends = drawn.groupBy("symbol", "series", "scenario").agg(F.expm1(F.sum("l")).alias("r"))
-    out = ends.groupBy("symbol", "series").agg(*[F.greatest(F.lit(0.0), -F.percentile("r", 1 - q)).alias(f"q{i}") for i, q in enumerate(confidences)])
-    rows = F.array(*[F.struct(F.lit(q).alias("confidence"), F.col(f"q{i}").alias("var")) for i, q in enumerate(confidences)])
-    return out.select("symbol", "series", F.lit("Monte Carlo Bootstrap").alias("method"), F.inline(rows))
+    """Value at risk from scenarios of horizon returns each, drawn with replacement by a seeded generator.
+
+    The draws are those of numpy.random.default_rng(seed + 1000 * confidence).integers(0, n, (scenarios, horizon)). The
+    generator jumps to any place of its stream, so stretches of scenarios are rows that any task can work on, with the
+    series' returns (at most `calibration`) in each. The rare places that give no draw depend on n and the seed alone
+    and are found first.
+    """
+    if c.calibration > 1 << 16:
+        raise ValueError("the bootstrap draws from at most 65,536 returns")
+    seeds = F.array(*[F.struct(F.lit(q).alias("confidence"), F.lit(c.seed + int(q * 1000)).cast("long").alias("seed")) for q in confidences])
+    r = returns(series, c).select("symbol", "series", F.struct("place", F.log1p("r").alias("l")).alias("x"))
+    lists = r.groupBy("symbol", "series").agg(F.sort_array(F.collect_list("x"))["l"].alias("l"))
+    lists = lists.withColumn("n", F.size("l").cast("long")).where(F.col("n") >= c.least)
+
+    def stretches(x: DataFrame, total: int, size: int) -> DataFrame:
+        first = F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long"), F.lit(size).cast("long"))
+        return x.select("*", F.inline(seeds)).withColumn("first", F.explode(first))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                at = rejections(x["seed"], x["n"], x["first"], 1 << 16)
+                yield pa.RecordBatch.from_pydict({"n": pa.array([x["n"]] * len(at), pa.int64()), "seed": pa.array([x["seed"]] * len(at), pa.int64()), "at": pa.array(at)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                count = min(STRETCH, c.scenarios - x["first"])
+                place = draws(x["seed"], x["n"], x["first"] * c.horizon, count * c.horizon, x["gone"] or ())
+                ends = np.expm1(np.array(x["l"])[place.reshape(count, c.horizon)].sum(axis=1))
+                own = {k: pa.array([x[k]] * count) for k in ("symbol", "series", "confidence")}
+                yield pa.RecordBatch.from_pydict(own | {"r": pa.array(ends)})
+
+    sizes = stretches(lists.select("n").distinct(), c.scenarios * c.horizon + SPARE, 1 << 16)
+    gone = sizes.mapInArrow(find, "n long, seed long, at long").groupBy("n", "seed").agg(F.sort_array(F.collect_list("at")).alias("gone"))
+    work = stretches(lists, c.scenarios, STRETCH).join(gone, ["n", "seed"], "left")
+    ends = work.repartition("symbol", "series", "confidence", "first").mapInArrow(run, "symbol string, series string, confidence double, r double")
+    value = F.coalesce(*[F.when(F.col("confidence") == q, F.col(f"q{i}")) for i, q in enumerate(confidences)])
+    out = ends.groupBy("symbol", "series", "confidence").agg(*[F.percentile("r", 1 - q).alias(f"q{i}") for i, q in enumerate(confidences)])
+    return out.select("symbol", "series", F.lit("Monte Carlo Bootstrap").alias("method"), "confidence", F.greatest(F.lit(0.0), -value).alias("var"))
+
+
+def all_methods(series: DataFrame, c: Risk = Risk(), confidences=(0.95, 0.99)) -> DataFrame:
+    """One table of the three methods: symbol, series, n, method, confidence, var, status; a stop row where there is too little."""
+    told = value_at_risk(series, c, confidences)
+    sizes = told.where("method = 'Historical'").select("symbol", "series", "n", "status").distinct()
+    drawn = bootstrap(series, c, confidences).join(sizes, ["symbol", "series"])
+    return told.unionByName(drawn.select(*told.columns))

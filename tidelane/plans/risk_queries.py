@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +72,60 @@ v AS (SELECT symbol, series, n, 'Historical' AS method, 0.95 AS confidence, -h95
 SELECT symbol, series, n, method, 'OK' AS status, {r('confidence::DOUBLE')} AS confidence, {r('greatest(0, v)')} AS var FROM v"""
 QUERIES["a10_value_at_risk"] = lambda s, d: shown(risk.value_at_risk(return_series(s, d), RISK), ["symbol", "series", "n", "method", "status"], [], ["confidence", "var"])
 SQL["a10_value_at_risk"] = sql(_var_sql, "trail_1wk")
-# Hashed draws have no SQL form in the other engine: rows only.
+
+
+def _draws(name: str, seed: int, total: int) -> str:
+    """CTEs of the seeded generator in SQL: {name} has the first numbers of its 32-bit stream as (spot, u).
+
+    PCG64 is a linear generator of 128 bits: state -> state * a + c. States are made by doubling: those at i + 2**k follow
+    from those at i by a and c to the power 2**k. An output is the high half xor the low, rotated by the top six bits.
+    """
+    start = np.random.PCG64(seed).state["state"]
+    a, c = 0x2360ED051FC65DA44385DF649FCCF645, start["inc"]
+    half, whole = 1 << 64, 1 << 128
+    wide = lambda v: f"{v}::UHUGEINT"
+
+    def step(a: int, c: int) -> str:
+        p = f"(lo * {wide(a % half)} + {wide(c % half)})"
+        high = f"({p} // {wide(half)} + hi * {wide(a % half)} % {wide(half)} + lo * {wide(a // half)} % {wide(half)} + {wide(c // half)}) % {wide(half)}"
+        return f"{high} AS hi, {p} % {wide(half)} AS lo"
+
+    first = (start["state"] * a + c) % whole
+    out = [f"{name}_0 AS (SELECT 0::BIGINT AS i, {wide(first // half)} AS hi, {wide(first % half)} AS lo)"]
+    k = 0
+    while 2 << k < total:
+        out.append(f"{name}_{k + 1} AS (SELECT * FROM {name}_{k} UNION ALL SELECT i + {1 << k} AS i, {step(a, c)} FROM {name}_{k})")
+        a, c, k = a * a % whole, c * (a + 1) % whole, k + 1
+    powers = "[" + ", ".join(wide(1 << j) for j in range(65)) + "]"
+    x, rot = "xor(hi::UBIGINT, lo::UBIGINT)::UHUGEINT", f"(hi // {wide(1 << 58)})::INT"
+    out.append(f"{name}_x AS (SELECT i, {x} AS x, {powers}[{rot} + 1] AS p, {powers}[65 - {rot}] AS q FROM {name}_{k})")
+    out.append(f"{name}_y AS (SELECT i, x // p + (x % p) * q AS o FROM {name}_x)")
+    low, high = (f"({v})::BIGINT" for v in (f"o % {wide(1 << 32)}", f"o // {wide(1 << 32)}"))
+    out.append(f"{name} AS (SELECT 2 * i AS spot, {low} AS u FROM {name}_y UNION ALL SELECT 2 * i + 1, {high} FROM {name}_y)")
+    return ", ".join(out)
+
+
+def bootstrap_sql(confidence: float) -> str:
+    """CTEs after those of _var_sql: boot_{c} (symbol, series, v), the quantile of all scenarios."""
+    c = int(confidence * 1000)
+    total = RISK.scenarios * RISK.horizon
+    return f"""
+{_draws(f"pcg_{c}", RISK.seed + c, total + risk.SPARE)},
+pick_{c} AS (SELECT n, (row_number() OVER (PARTITION BY n ORDER BY spot) - 1) AS k, (u * n) // 4294967296 AS place
+  FROM pcg_{c}, (SELECT DISTINCT n FROM a) WHERE (u * n) % 4294967296 >= 4294967296 % n),
+drawn_{c} AS (SELECT w.symbol, w.series, k // {RISK.horizon} AS scenario, exp(sum(w.l[place + 1])) - 1 AS e
+  FROM (SELECT symbol, series, count(*) AS n, list(l ORDER BY bar_ts) AS l FROM h GROUP BY symbol, series) w JOIN pick_{c} p ON p.n = w.n
+  WHERE k < {total} GROUP BY ALL),
+boot_{c} AS (SELECT symbol, series, -quantile_cont(e, {round(1 - confidence, 6)}) AS v FROM drawn_{c} GROUP BY symbol, series)"""
+
+
+_boot = ", ".join(bootstrap_sql(q) for q in (0.95, 0.99))
+_boot_rows = " UNION ALL ".join(f"SELECT symbol, series, 'Monte Carlo Bootstrap' AS method, {q} AS confidence, v FROM boot_{int(q * 1000)}" for q in (0.95, 0.99))
 QUERIES["a09_bootstrap_var"] = lambda s, d: shown(risk.bootstrap(return_series(s, d), RISK), ["symbol", "series", "method"], [], ["confidence", "var"])
+SQL["a09_bootstrap_var"] = sql(
+    _var_sql[: _var_sql.index("SELECT symbol, series, n, method, 'OK'")] + f", {_boot}\nSELECT symbol, series, method, {r('confidence::DOUBLE')} AS confidence, {r('greatest(0, v)')} AS var FROM ({_boot_rows})",
+    "trail_1wk",
+)
 
 
 def four_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,14 +141,15 @@ QUERIES["a10_four_series"] = lambda s, d: shown(risk.value_at_risk(four_series(s
 SQL["a10_four_series"] = sql(_4, "trail_1wk", "rel_1wk")
 
 
-def all_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One table of the three methods over the four series (drawn scenarios have no SQL: rows only)."""
-    series = four_series(spark, sf_dir)
-    told = risk.value_at_risk(series, RISK).select("symbol", "series", "method", "confidence", "var")
-    return shown(told.unionByName(risk.bootstrap(series, RISK)), ["symbol", "series", "method"], [], ["confidence", "var"])
-
-
-QUERIES["a09_all_methods"] = all_methods
+_methods = (["symbol", "series", "n", "method", "status"], [], ["confidence", "var"])
+QUERIES["a09_all_methods"] = lambda s, d: shown(risk.all_methods(four_series(s, d), RISK), *_methods)
+SQL["a09_all_methods"] = sql(
+    _4[: _4.index("SELECT symbol, series, n, method, 'OK'")]
+    + f", {_boot}\nSELECT symbol, series, n, method, 'OK' AS status, {r('confidence::DOUBLE')} AS confidence, {r('greatest(0, v)')} AS var"
+    + f" FROM (SELECT symbol, series, n, method, confidence, v FROM v UNION ALL SELECT b.symbol, b.series, a.n, method, confidence, v FROM ({_boot_rows}) b JOIN a USING (symbol, series))",
+    "trail_1wk",
+    "rel_1wk",
+)
 
 
 def options(spark: SparkSession, sf_dir: str) -> DataFrame:
