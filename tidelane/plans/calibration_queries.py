@@ -16,12 +16,6 @@ SQL: dict[str, str] = {}
 #: The default grid, 192 candidates.
 DEPTH = "balanced"
 
-QUERIES["a26_parameter_grid"] = lambda s, d: calibration.grid(s, "balanced")
-SQL["a26_parameter_grid"] = """
-SELECT (row_number() OVER (ORDER BY fast, slow, signal_n, buy, sell) - 1)::INT AS candidate, fast, slow, signal_n, buy, sell
-FROM (VALUES (8), (10), (12), (14)) a(fast), (VALUES (21), (26), (30), (35)) b(slow), (VALUES (5), (7), (9)) c(signal_n),
-     (VALUES (60), (65)) d(buy), (VALUES (60), (65)) e(sell) WHERE fast < slow"""
-
 
 # The rank score on measures made from the orders: each priority's clerks' customers as candidates.
 _MEASURES = """
@@ -147,6 +141,36 @@ define("cal_forward", ("cal_y",), """
   JOIN cal_y t ON t.symbol = c.symbol AND t.candidate = c.candidate AND t.part = 'test_' || c.fold""")
 
 
+def usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each symbol's candidates, with the bars that are left once their lines are known."""
+    sizes = bars.load(spark, sf_dir, "1wk").groupBy("symbol").agg(F.count("*").alias("n"))
+    found = sizes.crossJoin(F.broadcast(calibration.grid(spark, DEPTH)))
+    left = F.greatest(F.lit(0), F.col("n") - 2 * F.col("slow") - 2 * F.col("signal_n") + 4)
+    return found.select("symbol", "candidate", "fast", "slow", "signal_n", "buy", "sell", left.alias("usable"))
+
+
+QUERIES["a26_parameter_grid"] = usable
+SQL["a26_parameter_grid"] = sql("""
+SELECT symbol, g.*, u.usable FROM cal_grid g
+JOIN (SELECT symbol, slow, signal_n, count(line) FILTER (signal IS NOT NULL) AS usable FROM (SELECT name AS symbol, slow, signal_n, line, signal FROM cal_s WHERE fast = 8) GROUP BY ALL) u USING (slow, signal_n)""", "cal_grid", "cal_s", recursive=True)
+
+
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours in the grid of each symbol's candidates, with the difference of the bars they can use."""
+    u = usable(spark, sf_dir)
+    x = calibration.neighbours(calibration.grid(spark, DEPTH)).join(u.select("symbol", "candidate", "usable"), "candidate")
+    other = u.select("symbol", F.col("candidate").alias("other"), F.col("usable").alias("u"))
+    return x.join(other, ["symbol", "other"]).select("symbol", "candidate", "other", (F.col("usable") - F.col("u")).alias("more"))
+
+
+QUERIES["j11_neighbours"] = near
+SQL["j11_neighbours"] = sql(f"""
+, n AS (SELECT symbol, count(*) AS n FROM bars_1wk GROUP BY symbol),
+x AS (SELECT symbol, g.*, greatest(0, n - 2 * slow - 2 * signal_n + 4) AS usable FROM n, cal_grid g)
+SELECT x.symbol, x.candidate, y.candidate AS other, x.usable - y.usable AS more FROM x JOIN x y ON x.symbol = y.symbol
+  AND {' AND '.join(f'abs(x.{k} - y.{k}) <= {m}' for k, m in zip(('fast', 'slow', 'signal_n', 'buy', 'sell'), calibration.NEAR))}""", "bars_1wk", "cal_grid")
+
+
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.paths(bars.load(spark, sf_dir, "1wk"), DEPTH)
 

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.functions.windows import by_time
-from tidelane.operators import calibration, checks, guards, relative, tactical
+from tidelane.operators import checks, guards, relative, tactical
 from tidelane.plans import kernel_queries as K
-from tidelane.plans.oracle import r, sql
+from tidelane.plans.oracle import define, r, sql
 from tidelane.plans.risk_queries import faulty
 from tidelane.plans.trend_queries import path, shown, shown_sql
 from tidelane.sources import bars, ledgers, universe
@@ -137,29 +136,69 @@ UNION ALL SELECT 'trail', count(trail), 0, true, 0 FROM trail_1wk
 UNION ALL SELECT 'signal', count(*), count(*) FILTER (i % 50 = 1), false, 0 FROM trail_1wk""", "trail_1wk")
 
 _values = lambda rows: ", ".join("(" + ", ".join(repr(v) for v in row) + ")" for row in rows)
-_demo = [(m, g, n, t) for m, groups in universe.DEMO.items() for g, items in groups.items() for n, t in items]
-QUERIES["p12_horizons"] = lambda s, d: universe.horizons(s)
-SQL["p12_horizons"] = f"SELECT grain, horizon, bars::INT AS bars FROM (VALUES {_values([(g, h, n) for g, by in universe.HORIZONS.items() for h, n in by.items()])}) v(grain, horizon, bars)"
-QUERIES["s12_instruments"] = lambda s, d: universe.instruments(s)
-SQL["s12_instruments"] = f'SELECT * FROM (VALUES {_values(_demo)}) v(market, "group", instrument, ticker)'
-QUERIES["p17_chosen"] = lambda s, d: universe.chosen(universe.instruments(s), ["Equity", "Commodity"], ["Index", "Metal"])
-SQL["p17_chosen"] = f"""SELECT * FROM (VALUES {_values(_demo)}) v(market, "group", instrument, ticker) WHERE market IN ('Equity', 'Commodity') AND "group" IN ('Index', 'Metal')"""
-
-
-QUERIES["s13_navigation"] = lambda s, d: (lambda t: universe.markets(t).join(t.select("market", "group").distinct(), "market"))(universe.instruments(s))
-SQL["s13_navigation"] = f'SELECT DISTINCT market, "group" FROM (VALUES {_values(_demo)}) v(market, "group", instrument, ticker)'
-QUERIES["j10_named"] = lambda s, d: universe.named(universe.instruments(s).select(F.explode(F.array("ticker", F.concat("ticker", F.lit("?")))).alias("symbol")), universe.instruments(s))
-SQL["j10_named"] = f"""
-WITH v AS (SELECT * FROM (VALUES {_values(_demo)}) v(market, "group", instrument, ticker))
-SELECT ticker AS symbol, instrument AS name FROM v UNION ALL SELECT ticker || '?', ticker || '?' FROM v"""
-
-
-_grid = [(i, *c) for i, c in enumerate(x for x in product(*calibration.GRIDS["balanced"]) if x[0] < x[1])]
-QUERIES["j11_neighbours"] = lambda s, d: calibration.neighbours(calibration.grid(s, "balanced"))
-SQL["j11_neighbours"] = f"""
-WITH g AS (SELECT * FROM (VALUES {_values(_grid)}) v(candidate, fast, slow, n, buy, sell))
-SELECT a.candidate::INT AS candidate, b.candidate::INT AS other FROM g a JOIN g b ON abs(a.fast - b.fast) <= 2 AND abs(a.slow - b.slow) <= 5
-  AND abs(a.n - b.n) <= 2 AND abs(a.buy - b.buy) <= 5 AND abs(a.sell - b.sell) <= 5"""
+
+
+def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers as instruments: market is the region, group the nation."""
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    x = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return x.select(F.col("r_name").alias("market"), F.col("n_name").alias("group"), F.col("s_name").alias("instrument"), F.concat(F.lit("S"), "s_suppkey").alias("ticker"))
+
+
+define("universe", (), """
+  SELECT r_name AS market, n_name AS "group", s_name AS instrument, 'S' || s_suppkey AS ticker
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+QUERIES["s12_instruments"] = instruments
+SQL["s12_instruments"] = sql("SELECT * FROM universe", "universe")
+_MARKETS, _GROUPS = ["ASIA", "EUROPE"], ["NATION_2", "NATION_3", "NATION_4"]
+
+
+def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruments of two markets and three groups; one group is of neither market."""
+    return universe.chosen(instruments(spark, sf_dir), _MARKETS, _GROUPS)
+
+
+QUERIES["p17_chosen"] = chosen
+SQL["p17_chosen"] = sql("""SELECT * FROM universe WHERE market IN ('ASIA', 'EUROPE') AND "group" IN ('NATION_2', 'NATION_3', 'NATION_4')""", "universe")
+
+
+def navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = instruments(spark, sf_dir)
+    return universe.markets(t).join(t.groupBy("market", "group").agg(F.count("*").alias("instruments")), "market")
+
+
+QUERIES["s13_navigation"] = navigation
+SQL["s13_navigation"] = sql('SELECT market, "group", count(*) AS instruments FROM universe GROUP BY ALL', "universe")
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickers of all sales, and as many that no instrument has."""
+    sold = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("S"), "l_suppkey").alias("ticker")).distinct()
+    symbols = sold.select(F.explode(F.array("ticker", F.concat("ticker", F.lit("?")))).alias("symbol"))
+    return universe.named(symbols, instruments(spark, sf_dir))
+
+
+QUERIES["j10_named"] = named
+SQL["j10_named"] = sql("""
+, s AS (SELECT DISTINCT 'S' || l_suppkey AS ticker FROM lineitem)
+SELECT symbol, coalesce(instrument, symbol) AS name FROM (SELECT ticker AS symbol FROM s UNION ALL SELECT ticker || '?' FROM s) x
+LEFT JOIN universe u ON u.ticker = x.symbol""", "universe")
+
+
+def horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which horizons each symbol's history covers, by bar length."""
+    sizes = None
+    for grain in ("15m", "1d", "1wk"):
+        n = bars.load(spark, sf_dir, grain).groupBy("symbol").agg(F.count("*").alias("n")).withColumn("grain", F.lit(grain))
+        sizes = n if sizes is None else sizes.unionByName(n)
+    return sizes.join(F.broadcast(universe.horizons(spark)), "grain").select("symbol", "grain", "horizon", "bars", "n", (F.col("n") > F.col("bars")).alias("covered"))
+
+
+_horizons = ", ".join(f"('{g}', '{h}', {n})" for g, by in universe.HORIZONS.items() for h, n in by.items())
+QUERIES["p12_horizons"] = horizons
+SQL["p12_horizons"] = sql(f"""
+, n AS ({' UNION ALL '.join(f"SELECT symbol, '{g}' AS grain, count(*) AS n FROM bars_{g} GROUP BY symbol" for g in ("15m", "1d", "1wk"))})
+SELECT symbol, grain, horizon, bars, n, n > bars AS covered FROM n JOIN (VALUES {_horizons}) v(grain, horizon, bars) USING (grain)""", "bars_15m", "bars_1d", "bars_1wk")
 
 
 def route_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

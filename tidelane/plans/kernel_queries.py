@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelane.functions.windows import rounded
@@ -13,6 +13,7 @@ from tidelane.plans import oracle
 from tidelane.plans.oracle import W, define, full, prior, r, rows, sql
 from tidelane.plans.trend_queries import ledger_sql, shown, shown_sql, summary_query, summary_sql, _led
 from tidelane.sources import bars
+from tidelane.sources.bars import adjusted
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -56,23 +57,28 @@ _SHAPES = ["gaussian", "rational_quadratic", "epanechnikov", "triangular", "quar
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each symbol's last mean is made of: weight, share and price by lag, for every shape."""
     out = None
     for shape in _SHAPES:
         p = kernel.profile(spark, kernel.Kernel(lookback=12, kernel=shape)).withColumn("kernel", F.lit(shape))
         out = p if out is None else out.unionByName(p)
-    return shown(out, ["kernel", "lag"], [], ["weight", "share"])
+    back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("bar_ts"))) - 1
+    last = adjusted(bars.load(spark, sf_dir, "1wk")).withColumn("lag", back).where("lag <= 12")
+    return shown(last.select("symbol", "lag", "px").join(F.broadcast(out), "lag"), ["symbol", "kernel", "lag"], ["px"], ["weight", "share"])
 
 
 QUERIES["w11_kernel_profiles"] = profiles
-SQL["w11_kernel_profiles"] = f"""
-WITH l AS (SELECT range::INT AS lag, range / 8.0::DOUBLE AS u FROM range(13)),
+SQL["w11_kernel_profiles"] = sql(f"""
+, l AS (SELECT range::INT AS lag, range / 8.0::DOUBLE AS u FROM range(13)),
 w AS (SELECT 'gaussian' AS kernel, lag, exp(-u * u / 2) AS weight FROM l
   UNION ALL SELECT 'rational_quadratic', lag, pow(1 + u * u / 2, -1) FROM l
   UNION ALL SELECT 'epanechnikov', lag, CASE WHEN u <= 1 THEN 0.75 * (1 - u * u) ELSE 0 END FROM l
   UNION ALL SELECT 'triangular', lag, CASE WHEN u <= 1 THEN 1 - u ELSE 0 END FROM l
   UNION ALL SELECT 'quartic', lag, CASE WHEN u <= 1 THEN 15.0 / 16 * pow(1 - u * u, 2) ELSE 0 END FROM l
-  UNION ALL SELECT 'cosine', lag, CASE WHEN u <= 1 THEN pi() / 4 * cos(pi() * u / 2) ELSE 0 END FROM l)
-SELECT kernel, lag, {r('weight')} AS weight, {r('weight / sum(weight) OVER (PARTITION BY kernel)')} AS share FROM w"""
+  UNION ALL SELECT 'cosine', lag, CASE WHEN u <= 1 THEN pi() / 4 * cos(pi() * u / 2) ELSE 0 END FROM l),
+x AS (SELECT kernel, lag, weight, weight / sum(weight) OVER (PARTITION BY kernel) AS share FROM w),
+z AS (SELECT symbol, px, (row_number() OVER (PARTITION BY symbol ORDER BY bar_ts DESC) - 1) AS lag FROM adj_1wk)
+SELECT symbol, kernel, x.lag, {r('px', 4)} AS px, {r('weight')} AS weight, {r('share')} AS share FROM x JOIN z ON z.lag = x.lag""", "adj_1wk")
 
 _flags = ["bull_reversal", "bear_reversal", "cross_above_upper", "cross_below_lower", "momentum_up", "momentum_down", "above_path", "below_path"]
 _nw = (["symbol", "bar_ts", "direction", *_flags], ["src", "trend", "residual", "upper", "lower", "slope", "bull_marker", "down_marker"], ["norm_slope", "accel", "price_gap", "band_width"])

@@ -24,75 +24,81 @@ define("macd_x", ("macd_in",), """
   SELECT symbol, bar_ts, i, px, tr, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS plus, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS minus FROM macd_in""")
 
 
-def _step(state: str, value: str, alpha: str, start: int) -> str:
-    return f"CASE WHEN x.i < {start} THEN NULL WHEN x.i = {start} THEN {value} ELSE {state} + ({value} - {state}) * {alpha} END"
+def walk(name: str, m: lifecycle.Macd) -> None:
+    """CTEs {name}_walk, _s and _a: the recursive columns with the lengths of m, bar by bar."""
+    a = {k: f"(2.0::DOUBLE / {n + 1})" for k, n in (("f", m.fast), ("s", m.slow), ("t", m.trend), ("g", m.signal), ("pf", m.plain_fast), ("ps", m.plain_slow), ("pg", m.plain_signal))}
+    rate = f"(1.0::DOUBLE / {m.adx})"
+    step = lambda start, old, new, by: f"CASE WHEN i < {start} THEN NULL WHEN i = {start} THEN {new} ELSE {old} + ({new} - {old}) * {by} END"
+    line, plain = 2 * m.slow - 2, m.plain_slow - 1
+    define(f"{name}_walk", ("macd_x",), f"""
+  SELECT symbol, i, px AS ef, px AS es, px AS et, px AS pf, px AS pl, NULL::DOUBLE AS df, NULL::DOUBLE AS ds, NULL::DOUBLE AS dt, NULL::DOUBLE AS s1, NULL::DOUBLE AS s2,
+    NULL::DOUBLE AS pg, tr AS atr, plus::DOUBLE AS pdm, minus::DOUBLE AS mdm, {"100 * abs(plus - minus) / nullif(plus + minus, 0)" if m.adx == 1 else "NULL::DOUBLE"} AS adx FROM macd_x WHERE i = 0
+  UNION ALL
+  SELECT symbol, i, ef, es, et, pf, pl, df, ds, dt, s1, {step(line + m.signal - 1, 'os2', 's1', a['g'])} AS s2, pg, atr, pdm, mdm, adx FROM (
+    SELECT *, {step(line, 'os1', 'line', a['g'])} AS s1, {step(plain, 'opg', '(pf - pl)', a['pg'])} AS pg, {step(m.adx - 1, 'oadx', 'dx', rate)} AS adx FROM (
+      SELECT *, (2 * ef - df) - (2 * es - ds) AS line, 100 * abs(pdm - mdm) / (pdm + mdm) AS dx FROM (
+        SELECT *, {step(m.fast - 1, 'odf', 'ef', a['f'])} AS df, {step(m.slow - 1, 'ods', 'es', a['s'])} AS ds, {step(m.trend - 1, 'odt', 'et', a['t'])} AS dt FROM (
+          SELECT x.symbol, x.i, w.ef + (x.px - w.ef) * {a['f']} AS ef, w.es + (x.px - w.es) * {a['s']} AS es, w.et + (x.px - w.et) * {a['t']} AS et,
+            w.pf + (x.px - w.pf) * {a['pf']} AS pf, w.pl + (x.px - w.pl) * {a['ps']} AS pl,
+            w.atr + (x.tr - w.atr) * {rate} AS atr, w.pdm + (x.plus - w.pdm) * {rate} AS pdm, w.mdm + (x.minus - w.mdm) * {rate} AS mdm,
+            w.df AS odf, w.ds AS ods, w.dt AS odt, w.s1 AS os1, w.s2 AS os2, w.pg AS opg, w.adx AS oadx
+          FROM {name}_walk w JOIN macd_x x ON x.symbol = w.symbol AND x.i = w.i + 1))))""")
+    define(f"{name}_s", (f"{name}_walk",), f"""
+  SELECT symbol, i, CASE WHEN i >= {line} THEN (2 * ef - df) - (2 * es - ds) END AS line, CASE WHEN i >= {line + 2 * m.signal - 2} THEN 2 * s1 - s2 END AS signal,
+    CASE WHEN i >= {plain} THEN pf - pl END AS plain, CASE WHEN i >= {plain + m.plain_signal - 1} THEN pg END AS plain_signal, CASE WHEN i >= {2 * m.trend - 2} THEN 2 * et - dt END AS base,
+    CASE WHEN i >= {m.adx - 1} THEN atr END AS atr, CASE WHEN i >= {m.adx - 1} THEN 100 * pdm / atr END AS plus_di, CASE WHEN i >= {m.adx - 1} THEN 100 * mdm / atr END AS minus_di,
+    CASE WHEN i >= {2 * m.adx - 2} THEN adx END AS adx FROM {name}_walk""")
+    define(f"{name}_a", (f"{name}_s", "adj_1wk"), f"SELECT a.*, s.* EXCLUDE (symbol, i), line - signal AS hist, plain - plain_signal AS plain_hist FROM adj_1wk a JOIN {name}_s s ON a.symbol = s.symbol AND a.i = s.i")
+
+
+_HERE = f"{W} ROWS BETWEEN CURRENT ROW AND CURRENT ROW"
 
 
-_A = {n: f"(2.0::DOUBLE / {n + 1})" for n in (9, 12, 26, 50)}
-_R = "(1.0::DOUBLE / 14)"
-_COLS = "e12, e26, e50, d12, d26, d50, s1, s2, ps, atr, pdm, mdm, adx"
-define("macd_walk", ("macd_x",), f"""
-  SELECT symbol, i, px AS e12, px AS e26, px AS e50, NULL::DOUBLE AS d12, NULL::DOUBLE AS d26, NULL::DOUBLE AS d50, NULL::DOUBLE AS s1, NULL::DOUBLE AS s2,
-    NULL::DOUBLE AS ps, tr AS atr, plus::DOUBLE AS pdm, minus::DOUBLE AS mdm, NULL::DOUBLE AS adx FROM macd_x WHERE i = 0
-  UNION ALL
-  SELECT symbol, i, e12, e26, e50, d12, d26, d50, s1, CASE WHEN i < 58 THEN NULL WHEN i = 58 THEN s1 ELSE os2 + (s1 - os2) * {_A[9]} END AS s2, ps, atr, pdm, mdm, adx FROM (
-    SELECT *, CASE WHEN i < 50 THEN NULL WHEN i = 50 THEN line ELSE os1 + (line - os1) * {_A[9]} END AS s1,
-      CASE WHEN i < 25 THEN NULL WHEN i = 25 THEN e12 - e26 ELSE ops + (e12 - e26 - ops) * {_A[9]} END AS ps,
-      CASE WHEN i < 13 THEN NULL WHEN i = 13 THEN dx ELSE oadx + (dx - oadx) * {_R} END AS adx FROM (
-      SELECT *, (2 * e12 - d12) - (2 * e26 - d26) AS line, 100 * abs(pdm - mdm) / (pdm + mdm) AS dx FROM (
-        SELECT *, CASE WHEN i < 11 THEN NULL WHEN i = 11 THEN e12 ELSE od12 + (e12 - od12) * {_A[12]} END AS d12,
-          CASE WHEN i < 25 THEN NULL WHEN i = 25 THEN e26 ELSE od26 + (e26 - od26) * {_A[26]} END AS d26,
-          CASE WHEN i < 49 THEN NULL WHEN i = 49 THEN e50 ELSE od50 + (e50 - od50) * {_A[50]} END AS d50 FROM (
-          SELECT x.symbol, x.i, w.e12 + (x.px - w.e12) * {_A[12]} AS e12, w.e26 + (x.px - w.e26) * {_A[26]} AS e26, w.e50 + (x.px - w.e50) * {_A[50]} AS e50,
-            w.atr + (x.tr - w.atr) * {_R} AS atr, w.pdm + (x.plus - w.pdm) * {_R} AS pdm, w.mdm + (x.minus - w.mdm) * {_R} AS mdm,
-            w.d12 AS od12, w.d26 AS od26, w.d50 AS od50, w.s1 AS os1, w.s2 AS os2, w.ps AS ops, w.adx AS oadx
-          FROM macd_walk w JOIN macd_x x ON x.symbol = w.symbol AND x.i = w.i + 1))))""")
-define("macd_s", ("macd_walk",), """
-  SELECT symbol, i, CASE WHEN i >= 50 THEN (2 * e12 - d12) - (2 * e26 - d26) END AS line, CASE WHEN i >= 66 THEN 2 * s1 - s2 END AS signal,
-    CASE WHEN i >= 25 THEN e12 - e26 END AS plain, CASE WHEN i >= 33 THEN ps END AS plain_signal, CASE WHEN i >= 98 THEN 2 * e50 - d50 END AS base,
-    CASE WHEN i >= 13 THEN atr END AS atr, CASE WHEN i >= 13 THEN 100 * pdm / atr END AS plus_di, CASE WHEN i >= 13 THEN 100 * mdm / atr END AS minus_di,
-    CASE WHEN i >= 26 THEN adx END AS adx FROM macd_walk""")
-define("macd_a", ("macd_s", "adj_1wk"), "SELECT a.*, s.* EXCLUDE (symbol, i), line - signal AS hist, plain - plain_signal AS plain_hist FROM adj_1wk a JOIN macd_s s ON a.symbol = s.symbol AND a.i = s.i")
 def _steady(condition: str, n: int) -> str:
-    return f"sum(coalesce({condition}, false)::INT) OVER ({rows(-(n - 1))}) = {n}"
+    return f"sum(coalesce({condition}, false)::INT) OVER ({rows(-(n - 1)) if n > 1 else _HERE}) = {n}"
 
 
-_p = lambda c, w: f"CASE WHEN {c} THEN {w} ELSE 0 END"
-_buy = " + ".join([_p("recent_bull", 16), _p("line > signal", 10), _p("signal_rising", 10), _p("hist > 0", 8), _p("hist_rising", 8), _p("px > base", 10), _p("base_slope > 0", 8), _p("plain > plain_signal AND plain_hist >= 0", 10), _p("adx >= 18 AND plus_di > minus_di", 8), _p("extension <= 3", 4)])
-_sell = " + ".join([_p("recent_bear", 16), _p("line < signal", 10), _p("signal_falling", 10), _p("hist < 0", 8), _p("hist_falling", 10), _p("px < base", 10), _p("base_slope < 0", 8), _p("plain < plain_signal AND plain_hist <= 0", 8), _p("adx >= 18 AND minus_di > plus_di", 6), _p("swing_break", 6)])
 
 
-def flags(name: str) -> None:
+def flags(name: str, m: lifecycle.Macd = lifecycle.Macd()) -> None:
     """CTE {name}: flags and scores of {name}_a."""
+    swing = rows(-m.swing, -1)
     define(f"{name}_b", (f"{name}_a",), f"""
   SELECT *, signal - {prior('signal')} AS signal_slope, hist - {prior('hist')} AS hist_slope, base - {prior('base')} AS base_slope,
     coalesce(line > signal AND {prior('line')} <= {prior('signal')}, false) AS bull_cross, coalesce(line < signal AND {prior('line')} >= {prior('signal')}, false) AS bear_cross,
-    (px - base) / atr AS extension, {full('min(adj_low)', 'adj_low', 20, rows(-20, -1))} AS swing_low, {full('max(adj_high)', 'adj_high', 20, rows(-20, -1))} AS swing_high
+    (px - base) / atr AS extension, {full('min(adj_low)', 'adj_low', m.swing, swing)} AS swing_low, {full('max(adj_high)', 'adj_high', m.swing, swing)} AS swing_high
   FROM {name}_a""")
+    recent = rows(-(m.cross_bars - 1)) if m.cross_bars > 1 else _HERE
     define(f"{name}_c", (f"{name}_b",), f"""
-  SELECT *, max(bull_cross::INT) OVER ({rows(-2)}) = 1 AS recent_bull, max(bear_cross::INT) OVER ({rows(-2)}) = 1 AS recent_bear,
-    {_steady('signal_slope > 0', 2)} AS signal_rising, {_steady('signal_slope < 0', 2)} AS signal_falling,
-    {_steady('hist_slope > 0', 2)} AS hist_rising, {_steady('hist_slope < 0', 2)} AS hist_falling, coalesce(px < swing_low, false) AS swing_break FROM {name}_b""")
-    define(name, (f"{name}_c",), f"SELECT *, 100.0::DOUBLE * ({_buy}) / 92 AS buy_score, 100.0::DOUBLE * ({_sell}) / 92 AS sell_score FROM {name}_c")
+  SELECT *, max(bull_cross::INT) OVER ({recent}) = 1 AS recent_bull, max(bear_cross::INT) OVER ({recent}) = 1 AS recent_bear,
+    {_steady('signal_slope > 0', m.slope_bars)} AS signal_rising, {_steady('signal_slope < 0', m.slope_bars)} AS signal_falling,
+    {_steady('hist_slope > 0', m.histogram_bars)} AS hist_rising, {_steady('hist_slope < 0', m.histogram_bars)} AS hist_falling, coalesce(px < swing_low, false) AS swing_break FROM {name}_b""")
+    buy = [("recent_bull", 16), ("line > signal", 10), ("signal_rising", 10), ("hist > 0", 8), ("hist_rising", 8), ("px > base", 10), ("base_slope > 0", 8)]
+    buy += [("plain > plain_signal AND plain_hist >= 0", 10)] * m.use_plain + [(f"adx >= {m.adx_least} AND plus_di > minus_di", 8)] * m.use_adx + [(f"extension <= {m.most_extension}", 4)] * m.no_chase
+    sell = [("recent_bear", 16), ("line < signal", 10), ("signal_falling", 10), ("hist < 0", 8), ("hist_falling", 10), ("px < base", 10), ("base_slope < 0", 8)]
+    sell += [("plain < plain_signal AND plain_hist <= 0", 8)] * m.use_plain + [(f"adx >= {m.adx_least} AND minus_di > plus_di", 6)] * m.use_adx + [("swing_break", 6)]
+    total = lambda parts: f"100.0::DOUBLE * ({' + '.join(f'CASE WHEN {c} THEN {w} ELSE 0 END' for c, w in parts)}) / {sum(w for _, w in parts)}"
+    define(name, (f"{name}_c",), f"SELECT *, {total(buy)} AS buy_score, {total(sell)} AS sell_score FROM {name}_c")
 
 
+walk("macd", lifecycle.Macd())
 flags("macd")
 
 
-def cycle(name: str, bear: bool = False, reduce: bool = False, source: str = "macd", levels: tuple[str, ...] = ("65", "35", "50", "65")) -> None:
-    """CTE {name}: the lifecycle with the default settings, bar by bar; half is sold once at REDUCE where reduce is true.
+def cycle(name: str, c: lifecycle.Cycle = lifecycle.Cycle(), source: str = "macd", levels: tuple[str, ...] | None = None) -> None:
+    """CTE {name}: the lifecycle with the settings of c, bar by bar.
 
-    levels: buy, watch, reduce and sell, as SQL over source.
+    levels: buy, watch, reduce and sell, as SQL over source, in place of those of c.
     """
-    buy_at, watch_at, reduce_at, sell_at = levels
+    buy_at, watch_at, reduce_at, sell_at = levels or (c.buy, c.watch, c.reduce, c.sell)
     hope = f"greatest(45, {buy_at} - 15)"
-    weak = f"sell_score >= {sell_at}" + " AND recent_bear" * bear
+    weak = f"sell_score >= {sell_at}" + " AND recent_bear" * c.need_bear_cross
     define(f"{name}_a", (source,), f"SELECT *, buy_score >= {buy_at} AND recent_bull AS candidate FROM {source}")
-    define(f"{name}_x", (f"{name}_a",), f"SELECT *, candidate AS buy_ok, {_steady(weak, 2)} AS sell_ok FROM {name}_a")
-    state = f"""CASE WHEN shares > 0 THEN CASE WHEN swing_break OR px <= entry * 0.88 OR coalesce(px <= peak - 3 * atr, false) THEN 'RISK EXIT' WHEN sell_ok THEN 'SELL'
+    define(f"{name}_x", (f"{name}_a",), f"SELECT *, {_steady('candidate', c.buy_bars)} AS buy_ok, {_steady(weak, c.sell_bars)} AS sell_ok FROM {name}_a")
+    state = f"""CASE WHEN shares > 0 THEN CASE WHEN swing_break OR px <= entry * (1 - {c.hard_stop}::DOUBLE) OR coalesce(px <= peak - {c.atr_times} * atr, false) THEN 'RISK EXIT' WHEN sell_ok THEN 'SELL'
       WHEN sell_score >= {reduce_at} THEN 'REDUCE' WHEN sell_score >= {watch_at} THEN 'SELL WATCH' ELSE 'HOLD' END
     ELSE CASE WHEN buy_ok AND rested THEN 'BUY' WHEN (candidate AND NOT rested) OR buy_score >= {hope} THEN 'BUY WATCH' ELSE 'WAIT / CASH' END END"""
-    cut = f"w.state = 'REDUCE' AND NOT w.cut_once AND {str(reduce).lower()}"
+    cut = f"w.state = 'REDUCE' AND NOT w.cut_once AND {str(c.execute_reduce).lower()}"
     define(f"{name}_walk", (f"{name}_x",), f"""
   SELECT symbol, i, 0.0::DOUBLE AS shares, 100000.0::DOUBLE AS cash, 0.0::DOUBLE AS entry, 0.0::DOUBLE AS peak, -1000 AS quit, true AS rested, false AS cut_once,
     CASE WHEN buy_ok THEN 'BUY' WHEN buy_score >= {hope} THEN 'BUY WATCH' ELSE 'WAIT / CASH' END AS state, '' AS executed FROM {name}_x WHERE i = 0
@@ -105,16 +111,16 @@ def cycle(name: str, bear: bool = False, reduce: bool = False, source: str = "ma
         CASE WHEN w.state = 'BUY' THEN x.adj_open ELSE w.entry END AS entry,
         CASE WHEN w.state = 'BUY' THEN greatest(x.adj_open, x.px) WHEN w.shares > 0 THEN greatest(w.peak, x.px) ELSE w.peak END AS peak,
         CASE WHEN w.state = 'BUY' THEN false ELSE w.cut_once OR ({cut}) END AS cut_once,
-        w.quit, x.i - w.quit >= 3 AS rested, CASE WHEN w.state IN ('SELL', 'RISK EXIT', 'BUY') OR ({cut}) THEN w.state ELSE '' END AS executed
+        w.quit, x.i - w.quit >= {c.cooldown} AS rested, CASE WHEN w.state IN ('SELL', 'RISK EXIT', 'BUY') OR ({cut}) THEN w.state ELSE '' END AS executed
       FROM {name}_walk w JOIN {name}_x x ON x.symbol = w.symbol AND x.i = w.i + 1))""")
     define(f"{name}_y", (f"{name}_walk",), f"""
   SELECT x.*, w.shares, w.cash, w.state, w.executed, w.rested, w.shares * x.px + w.cash AS portfolio, (w.executed = 'BUY')::INT AS first_buy,
     (w.executed IN ('SELL', 'RISK EXIT'))::INT AS first_sell, (w.executed = 'REDUCE')::INT AS reduced, CASE WHEN w.shares > 0 THEN w.entry END AS entry,
-    CASE WHEN w.shares > 0 THEN w.peak END AS peak, CASE WHEN w.shares > 0 THEN w.entry * 0.88 END AS hard_stop,
-    CASE WHEN w.shares > 0 THEN w.peak - 3 * x.atr END AS atr_stop FROM {name}_x x JOIN {name}_walk w ON x.symbol = w.symbol AND x.i = w.i""")
+    CASE WHEN w.shares > 0 THEN w.peak END AS peak, CASE WHEN w.shares > 0 THEN w.entry * (1 - {c.hard_stop}::DOUBLE) END AS hard_stop,
+    CASE WHEN w.shares > 0 THEN w.peak - {c.atr_times} * x.atr END AS atr_stop FROM {name}_x x JOIN {name}_walk w ON x.symbol = w.symbol AND x.i = w.i""")
     hit = "concat_ws(', ', CASE WHEN px <= hard_stop THEN 'hard stop' END, CASE WHEN px <= atr_stop THEN 'trailing stop' END, CASE WHEN shares > 0 AND swing_break THEN 'swing low' END)"
     define(name, (f"{name}_y",), f"""
-  SELECT *, {hit} AS breaches, CASE state WHEN 'RISK EXIT' THEN 'capital protection: ' || {hit} WHEN 'SELL' THEN printf('sell score %.1f confirmed for 2 bars', sell_score)
+  SELECT *, {hit} AS breaches, CASE state WHEN 'RISK EXIT' THEN 'capital protection: ' || {hit} WHEN 'SELL' THEN printf('sell score %.1f confirmed for {c.sell_bars} bars', sell_score)
     WHEN 'REDUCE' THEN printf('sell score %.1f in the reduce tier', sell_score) WHEN 'SELL WATCH' THEN printf('sell score %.1f in the watch tier', sell_score)
     WHEN 'HOLD' THEN printf('held, sell score %.1f', sell_score) WHEN 'BUY' THEN printf('buy score %.1f confirmed', buy_score)
     WHEN 'BUY WATCH' THEN CASE WHEN candidate AND NOT rested THEN printf('candidate at %.1f waits for the cooldown', buy_score) ELSE printf('buy score %.1f improves', buy_score) END
@@ -122,7 +128,7 @@ def cycle(name: str, bear: bool = False, reduce: bool = False, source: str = "ma
 
 
 cycle("cycle")
-cycle("cycle_cut", bear=True, reduce=True)
+cycle("cycle_cut", lifecycle.Cycle(need_bear_cross=True, execute_reduce=True))
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,8 +232,48 @@ SQL["l10_lifecycle_gates"] = sql(
     "cycle_cut",
     recursive=True,
 )
-QUERIES["l14_states"] = lambda s, d: lifecycle.states(s)
-SQL["l14_states"] = "SELECT * FROM (VALUES " + ", ".join(f"({i + 1}, '{a}', '{b}', '{c}')" for i, (a, b, c) in enumerate(lifecycle.STATES)) + ") v(place, state, meaning, execution)"
-QUERIES["t16_presets"] = lambda s, d: lifecycle.preset_table(s)
-_settings = [(name, k, v) for name, both in lifecycle.PRESETS.items() for part in both for k, v in asdict(part).items()]
-SQL["t16_presets"] = "SELECT * FROM (VALUES " + ", ".join(f"('{name}', '{k}', '{v}')" for name, k, v in _settings) + ") v(preset, setting, value)"
+
+
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states, and how many bars and orders of each symbol's lifecycle have each."""
+    x = cut(spark, sf_dir)
+    used = x.groupBy("symbol", "state").agg(F.count("*").alias("bars"))
+    done = x.where("executed <> ''").groupBy("symbol", F.col("executed").alias("state")).agg(F.count("*").alias("fills"))
+    every = used.select("symbol").distinct().crossJoin(F.broadcast(lifecycle.states(spark)))
+    out = every.join(used, ["symbol", "state"], "left").join(done, ["symbol", "state"], "left")
+    return out.select("symbol", "place", "state", "meaning", "execution", *[F.coalesce(k, F.lit(0)).alias(k) for k in ("bars", "fills")])
+
+
+QUERIES["l14_states"] = states
+SQL["l14_states"] = sql(
+    ", v AS (SELECT * FROM (VALUES " + ", ".join(f"({i + 1}, '{a}', '{b}', '{c}')" for i, (a, b, c) in enumerate(lifecycle.STATES)) + """) v(place, state, meaning, execution))
+SELECT symbol, place, v.state, meaning, execution, count(*) FILTER (c.state = v.state) AS bars, count(*) FILTER (c.executed = v.state) AS fills
+FROM cycle_cut c, v GROUP BY ALL""",
+    "cycle_cut",
+    recursive=True,
+)
+
+
+def presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The presets' settings, and how often each preset trades and where it stands, for each symbol."""
+    b = bars.load(spark, sf_dir, "1wk")
+    runs = None
+    for name, (m, c) in lifecycle.PRESETS.items():
+        x = lifecycle.lifecycle(lifecycle.indicator(b, m), c)
+        x = x.groupBy("symbol").agg(F.sum("first_buy").alias("buys"), F.sum("first_sell").alias("sales"), F.max_by("state", "bar_ts").alias("state")).withColumn("preset", F.lit(name))
+        runs = x if runs is None else runs.unionByName(x)
+    return runs.join(F.broadcast(lifecycle.preset_table(spark)), "preset").select("symbol", "preset", "setting", "value", "buys", "sales", "state")
+
+
+QUERIES["t16_presets"] = presets
+_settings = ", ".join(f"('{name}', '{k}', '{v}')" for name, both in lifecycle.PRESETS.items() for part in both for k, v in asdict(part).items())
+for _name, (_m, _c) in lifecycle.PRESETS.items():
+    walk(f"pre_{_name}_m", _m)
+    flags(f"pre_{_name}_m", _m)
+    cycle(f"pre_{_name}", _c, source=f"pre_{_name}_m")
+_runs = " UNION ALL ".join(f"SELECT '{name}' AS preset, symbol, sum(first_buy)::BIGINT AS buys, sum(first_sell)::BIGINT AS sales, arg_max(state, bar_ts) AS state FROM pre_{name} GROUP BY symbol" for name in lifecycle.PRESETS)
+SQL["t16_presets"] = sql(
+    f", p AS (SELECT * FROM (VALUES {_settings}) v(preset, setting, value)) SELECT symbol, preset, setting, value, buys, sales, state FROM ({_runs}) r JOIN p USING (preset)",
+    *[f"pre_{name}" for name in lifecycle.PRESETS],
+    recursive=True,
+)

@@ -32,10 +32,20 @@ y AS (SELECT symbol, bar_ts, CASE WHEN direction > 0 OR coalesce(nxt > 0, false)
   CASE WHEN direction < 0 OR coalesce(nxt < 0, false) THEN trend END AS falling, CASE WHEN direction = 0 OR coalesce(nxt = 0, false) THEN trend END AS flat FROM z)
 {shown_sql('y', *_paths)}""", "nw_1wk")
 
-QUERIES["t11_rulebook"] = lambda s, d: tactical.rulebook(s)
-SQL["t11_rulebook"] = "SELECT place::INT AS place, rule_id, does, level::DOUBLE AS level FROM (VALUES " + ", ".join(
-    f"({i + 1}, '{x[0]}', '{x[1]}', {'NULL' if tactical.level(x, tactical.Tactical()) is None else tactical.level(x, tactical.Tactical())})" for i, x in enumerate(tactical.RULES)
-) + ") v(place, rule_id, does, level)"
+
+
+def rulebook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules with their settings, and on how many bars of each symbol each one decided."""
+    used = K.decided(spark, sf_dir).groupBy("symbol", F.col("rule").alias("rule_id")).agg(F.count("*").alias("bars"))
+    symbols = used.select("symbol").distinct().crossJoin(F.broadcast(tactical.rulebook(spark, K.TAC)))
+    return symbols.join(used, ["symbol", "rule_id"], "left").select("symbol", "place", "rule_id", "does", "level", F.coalesce("bars", F.lit(0)).alias("bars"))
+
+
+QUERIES["t11_rulebook"] = rulebook
+_levels = [(i + 1, x[0], x[1], tactical.level(x, K.TAC)) for i, x in enumerate(tactical.RULES)]
+SQL["t11_rulebook"] = sql(f"""
+, b AS (SELECT place::INT AS place, rule_id, does, level::DOUBLE AS level FROM (VALUES {', '.join(f"({i}, '{a}', '{b}', {'NULL' if v is None else v})" for i, a, b, v in _levels)}) v(place, rule_id, does, level))
+SELECT s.symbol, b.*, (SELECT count(*) FROM tac t WHERE t.symbol = s.symbol AND t.rule = b.rule_id) AS bars FROM (SELECT DISTINCT symbol FROM tac) s, b""", "tac", recursive=True)
 
 
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
