@@ -10,6 +10,7 @@ from tidelane.plans import oracle
 from tidelane.plans.oracle import W, define, full, prior, r, rows, sql
 from tidelane.plans.trend_queries import shown, shown_sql
 from tidelane.sources import bars
+from tidelane.streaming import sessions
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -135,3 +136,15 @@ SQL["p20_session_model"] = """
 SELECT p_partkey, ticker, CASE WHEN upper(trim(ticker)) LIKE '%.IS' THEN '.IS' WHEN upper(trim(ticker)) LIKE '%-USD' THEN '-USD'
   WHEN upper(trim(ticker)) LIKE '%=F' THEN '=F' ELSE '' END AS session
 FROM (SELECT p_partkey, p_brand || ['.is', '-USD', '=F', ' '][(p_partkey % 4 + 1)::INT] AS ticker FROM part)"""
+
+_done = (["symbol", "session_day", "bars", "or_final"], ["session_open", "session_high", "session_low", "session_close", "volume", "vwap", "or_high", "or_low"])
+_finals = lambda x: shown(x.withColumn("session_day", F.col("session_date").cast("string")), *_done)
+for _key, _cte, _session in (("day", "lab_day", DAY), ("night", "lab_night", NIGHT)):
+    QUERIES[f"w50_final_sessions_{_key}"] = lambda s, d, session=_session: _finals(sessions.of_history(bars.load(s, d, "15m"), session, LAB))
+    SQL[f"w50_final_sessions_{_key}"] = sql(f"""
+, z AS (SELECT *, px AS session_close, count(*) OVER k AS bars, sum(volume) OVER k AS total FROM {_cte} WHERE in_session WINDOW k AS (PARTITION BY symbol, session_date)
+  QUALIFY row_number() OVER (PARTITION BY symbol, session_date ORDER BY bar_ts DESC) = 1),
+y AS (SELECT * EXCLUDE (volume), total AS volume, session_date::VARCHAR AS session_day FROM z)
+{shown_sql('y', *_done)}""", _cte)
+QUERIES["stream_sessions"] = lambda s, d: _finals(sessions.replay(s, bars.load(s, d, "15m"), DAY, LAB))
+SQL["stream_sessions"] = SQL["w50_final_sessions_day"]

@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import uuid
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -260,12 +260,14 @@ def _rocksdb(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+def instant(t: Column) -> Column:
+    """The instant of a time without zone as UTC, so that the watermark doesn't depend on the session's zone."""
+    return F.timestamp_seconds(F.unix_date(F.to_date(t)).cast("double") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.date_part(F.lit("SECOND"), t))
+
+
 def follow(stream: DataFrame, m: Macd = Macd(), c: Cycle = Cycle(), delay: str = "0 seconds") -> DataFrame:
     """stream of bars -> rows of the lifecycle (OUT), each once the watermark has passed its bar."""
-    # Times count as UTC, so that the watermark doesn't depend on the session's zone.
-    t = F.col("bar_ts")
-    seconds = F.unix_date(F.to_date(t)).cast("double") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.date_part(F.lit("SECOND"), t)
-    timed = stream.withColumn("at", F.timestamp_seconds(seconds)).withWatermark("at", delay)
+    timed = stream.withColumn("at", instant(F.col("bar_ts"))).withWatermark("at", delay)
     return timed.groupBy("symbol").transformWithState(LifecycleProcessor(m, c), OUT, outputMode="Append", timeMode="EventTime")
 
 
@@ -284,9 +286,9 @@ def heartbeat(spark: SparkSession, path: str, at: datetime) -> None:
     spark.createDataFrame([(_HEARTBEAT, at, *[None] * 6)], BARS).coalesce(1).write.mode("append").parquet(path)
 
 
-def replay(spark: SparkSession, bars: DataFrame, batches: int = 4, m: Macd = Macd(), c: Cycle = Cycle()) -> DataFrame:
-    """bars, written as files of consecutive stretches of time, followed file by file; the emitted rows."""
-    root = f"{scratch_folder(spark)}/lifecycle-{uuid.uuid4().hex}"
+def replayed(spark: SparkSession, bars: DataFrame, run: Callable[[DataFrame], DataFrame], kind: str, batches: int = 4) -> DataFrame:
+    """bars, written as files of consecutive stretches of time, go through run file by file; the emitted rows (kind)."""
+    root = f"{scratch_folder(spark)}/replay-{uuid.uuid4().hex}"
     bars.select(*BAR_COLUMNS).write.parquet(f"{root}/whole")
     bars = spark.read.schema(BARS).parquet(f"{root}/whole")
     first, last = bars.agg(F.min("bar_ts"), F.max("bar_ts")).first()
@@ -296,7 +298,11 @@ def replay(spark: SparkSession, bars: DataFrame, batches: int = 4, m: Macd = Mac
         some = bars if low is None else bars.where(F.col("bar_ts") >= F.lit(low))
         (some if high is None else some.where(F.col("bar_ts") < F.lit(high))).coalesce(1).write.mode("append").parquet(f"{root}/in")
         low = high
-    heartbeat(spark, f"{root}/in", (last or datetime(2000, 1, 1)) + timedelta(days=1))
-    rows = follow(bar_files(spark, f"{root}/in"), m, c)
-    start(rows, f"{root}/out", f"{root}/state").awaitTermination()
-    return spark.read.schema(OUT).parquet(f"{root}/out")
+    heartbeat(spark, f"{root}/in", (last or datetime(2000, 1, 1)) + timedelta(days=3))
+    start(run(bar_files(spark, f"{root}/in")), f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.schema(kind).parquet(f"{root}/out")
+
+
+def replay(spark: SparkSession, bars: DataFrame, batches: int = 4, m: Macd = Macd(), c: Cycle = Cycle()) -> DataFrame:
+    """The rows of follow() over bars that come in so many batches."""
+    return replayed(spark, bars, lambda stream: follow(stream, m, c), OUT, batches)
