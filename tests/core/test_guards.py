@@ -56,3 +56,46 @@ def test_horizons_refuse_what_is_unknown():
     assert universe.horizon_bars("15m", "64B") == 64 and universe.entry_bars("frequency", "1d", "24M") == 504
     with pytest.raises(ValueError):
         universe.horizon_bars("1d", "1Y")
+
+
+def test_guards_within_the_plan(spark):
+    """They pass sound rows on in the same job, and fail the query where a row is unsound."""
+    import datetime as dt
+
+    from pyspark.errors import SparkRuntimeException
+
+    day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(days=i)
+    rows = [(s, day(i), 10.0, 12.0, 9.0, 11.0, 10.5, 1.0) for s in "ab" for i in range(30)]
+    kind = "symbol string, bar_ts timestamp_ntz, open double, high double, low double, close double, adj_close double, volume double"
+    bars = spark.createDataFrame(rows, kind)
+    right = bars.select("symbol", "bar_ts", (F.col("close") * 2).alias("twice"))
+    keys = ["symbol", "bar_ts"]
+    joined = G.one_to_one(G.priced(G.ordered(bars)), right, keys)
+    sc = spark.sparkContext
+    sc.setJobGroup("guarded", "one")
+    assert joined.columns == [*bars.columns, "twice"]
+    assert joined.count() == 60
+    jobs = len(sc.statusTracker().getJobIdsForGroup("guarded"))
+    sc.setJobGroup("plain", "other")
+    assert bars.join(right, keys, "full").count() == 60
+    # At most a job more, for the window's exchange under adaptive execution.
+    assert jobs <= len(sc.statusTracker().getJobIdsForGroup("plain")) + 2
+    sc._jsc.clearJobGroup()
+
+    def fails(df, text):
+        with pytest.raises(SparkRuntimeException, match=text):
+            df.collect()
+
+    gap = right.where(~((F.col("symbol") == "a") & (F.col("bar_ts") == day(7))))
+    fails(G.one_to_one(bars, gap, keys), "missing on the right side: a, 2024-01-08")
+    fails(G.one_to_one(gap, bars, keys), "missing on the left side: a, 2024-01-08")
+    fails(G.one_to_one(bars, right.unionByName(right.limit(1)), keys), "repeated on the right side")
+    fails(G.one_to_one(bars.unionByName(bars.where("symbol = 'b'").limit(1)), right, keys), "repeated on the left side: b")
+    fails(G.ordered(bars.unionByName(bars.limit(1))), "repeated bar")
+    fails(G.ordered(bars.withColumn("bar_ts", F.when(F.col("symbol") == "b", F.col("bar_ts")))), "untimed bar: a")
+    for column, value in (("close", 0.0), ("adj_close", float("nan")), ("open", None), ("low", 10.8), ("high", float("inf"))):
+        faulty = bars.withColumn(column, F.when(F.col("bar_ts") == day(3), F.lit(value)).otherwise(F.col(column)))
+        fails(G.priced(faulty), "faulty prices: . 2024-01-04")
+    with pytest.raises(ValueError, match="close"):
+        G.one_to_one(bars, bars, keys)
+    assert G.one_to_one(bars.limit(0), right.limit(0), keys).collect() == []

@@ -5,11 +5,58 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane.functions.windows import prior, so_far
 
+def insist(df: DataFrame, condition: Column, message: Column | str) -> DataFrame:
+    """df, in whose plan stands that the condition holds on every row: a row that breaks it (or where it is unknown)
+    fails the query with the message. No pass of its own over the data."""
+    text = F.lit(message) if isinstance(message, str) else message
+    return df.where(F.coalesce(F.when(F.coalesce(condition, F.lit(False)), True).otherwise(F.raise_error(text).cast("boolean")), F.lit(True)))
+
+
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The columns of both sides, whose rows must be the same by keys, each once: else the query fails and says why.
+
+    The counts of repeated keys, the join and the check of partners share one partitioning by keys. A null in a
+    key has no partner.
+    """
+    if both := (set(left.columns) & set(right.columns)) - set(keys):
+        raise ValueError(f"columns of both sides: {sorted(both)}")
+    same = Window.partitionBy(*keys)
+    shown = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    own = [c for c in [*left.columns, *right.columns] if c not in keys]
+
+    def once(df: DataFrame, side: str) -> DataFrame:
+        df = df.withColumn(f"_{side}", F.count(F.lit(1)).over(same))
+        return insist(df, F.col(f"_{side}") == 1, F.concat(F.lit(f"repeated on the {side} side: "), shown))
+
+    x = once(left, "left").join(once(right, "right"), keys, "full")
+    x = insist(x, F.col("_left").isNotNull(), F.concat(F.lit("missing on the left side: "), shown))
+    x = insist(x, F.col("_right").isNotNull(), F.concat(F.lit("missing on the right side: "), shown))
+    return x.select(*keys, *own)
+
+
+def ordered(bars: DataFrame) -> DataFrame:
+    """bars, in whose plan stands that each symbol's time stamps rise strictly and none is null."""
+    text = lambda what: F.concat(F.lit(f"{what}: "), F.coalesce("symbol", F.lit("no symbol")), F.lit(" "), F.coalesce(F.col("bar_ts").cast("string"), F.lit("no time")))
+    x = insist(bars, F.col("bar_ts").isNotNull(), text("untimed bar"))
+    x = x.withColumn("_before", prior("bar_ts"))
+    return insist(x, F.col("_before").isNull() | (F.col("bar_ts") > F.col("_before")), text("repeated bar")).drop("_before")
+
+
+def priced(bars: DataFrame, columns: tuple[str, ...] = ("open", "high", "low", "close", "adj_close")) -> DataFrame:
+    """bars, in whose plan stands that these prices are finite and above 0 and that low and high enclose the others."""
+    good = F.lit(True)
+    for c in columns:
+        good = good & ~F.isnan(c) & (F.col(c) > 0) & (F.col(c) < float("inf"))
+    if {"open", "high", "low", "close"} <= set(columns):
+        good = good & (F.col("low") <= F.least("open", "close")) & (F.col("high") >= F.greatest("open", "close"))
+    return insist(bars, good, F.concat(F.lit("faulty prices: "), F.coalesce("symbol", F.lit("no symbol")), F.lit(" "), F.coalesce(F.col("bar_ts").cast("string"), F.lit("no time"))))
+
+
 #: What a provider's message says when it turns requests away; fixed values.
 TURNED_AWAY = ("ratelimit", "rate limit", "too many requests", "429")
 

@@ -243,3 +243,15 @@ def through_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["s14_tactical_csv"] = through_csv
 SQL["s14_tactical_csv"] = sql(shown_sql("(SELECT t.*, c.symbol AS s FROM tac t JOIN tac_c c ON c.symbol = t.symbol AND c.i = t.i)", *_L), "tac", "tac_c", recursive=True)
+
+
+def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trend run's columns beside the guarded bars, row by row."""
+    b = guards.priced(guards.ordered(bars.load(spark, sf_dir, "1wk")))
+    run = path(spark, sf_dir, "trail_1wk").select("symbol", "bar_ts", "px", "signal", "max_price")
+    return guards.one_to_one(b.select("symbol", "bar_ts", "close", "adj_close", "volume"), run, ["symbol", "bar_ts"])
+
+
+_g = (["symbol", "bar_ts", "signal", "volume"], ["close", "adj_close", "px", "max_price"])
+QUERIES["j07_guarded_join"] = lambda s, d: shown(guarded(s, d), *_g)
+SQL["j07_guarded_join"] = sql(shown_sql("trail_1wk", *_g), "trail_1wk")
