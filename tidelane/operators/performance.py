@@ -146,3 +146,39 @@ def cash_regimes(path: DataFrame) -> DataFrame:
         "to_wealth",
         longest.alias("longest"),
     )
+
+
+def execution_events(path: DataFrame) -> DataFrame:
+    """symbol -> the last purchase and the last sale (null: none), and how many there were."""
+    bought, sold = F.col("first_buy") == 1, F.col("first_sell") == 1
+    return path.groupBy("symbol").agg(
+        F.max(F.when(bought, F.col("bar_ts"))).alias("last_buy"),
+        F.max(F.when(sold, F.col("bar_ts"))).alias("last_sell"),
+        F.count_if(bought).alias("buys"),
+        F.count_if(sold).alias("sales"),
+    )
+
+
+def comparison(runs: dict[str, tuple[DataFrame, Column]], capital: float = 100_000.0) -> DataFrame:
+    """Strategies side by side: symbol, strategy, final, growth a year, max_drawdown, trades.
+
+    runs: by name a path (symbol, bar_ts, portfolio, ...) and what counts as one of its trades. The first path's
+    buy_hold comes last, as a strategy without trades.
+    """
+    parts = [x.select("symbol", "bar_ts", F.col("portfolio").alias("value"), F.coalesce(trade, F.lit(False)).alias("trade"), F.lit(name).alias("strategy")) for name, (x, trade) in runs.items()]
+    held = next(iter(runs.values()))[0]
+    parts.append(held.select("symbol", "bar_ts", F.col("buy_hold").alias("value"), F.lit(False).alias("trade"), F.lit("buy and hold").alias("strategy")))
+    x = parts[0]
+    for part in parts[1:]:
+        x = x.unionByName(part)
+    until = Window.partitionBy("symbol", "strategy").orderBy("bar_ts").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("fall", F.col("value") / F.max("value").over(until) - 1)
+    out = x.groupBy("symbol", "strategy").agg(
+        F.max_by("value", "bar_ts").alias("final"),
+        F.datediff(F.max("bar_ts"), F.min("bar_ts")).alias("days"),
+        F.min("fall").alias("max_drawdown"),
+        F.count_if("trade").alias("trades"),
+    )
+    years = F.greatest(F.col("days") / 365.25, F.lit(1e-9))
+    growth = F.when(F.col("final") > 0, F.pow(F.col("final") / capital, 1 / years) - 1)
+    return out.select("symbol", "strategy", "final", growth.alias("growth"), "max_drawdown", "trades")

@@ -70,6 +70,33 @@ SQL["a19_comparison"] = sql(f"""
 SELECT symbol, strategy, {r('ln(arg_max(portfolio, bar_ts) / 100000.0)')} AS log_growth, {r('min(dd)')} AS max_drawdown FROM z GROUP BY symbol, strategy""", "trail_1wk", "nws_1wk", "tac", recursive=True)
 
 
+def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth, depth, end and trades of each strategy and of buying and holding."""
+    sold = F.col("first_sell") == 1
+    out = performance.comparison(
+        {
+            "trend": (path(spark, sf_dir, "trail_1wk"), sold),
+            "kernel": (K.strategy(spark, sf_dir), sold),
+            "tactical": (tactical.execution(K.decided(spark, sf_dir), K.TAC), F.col("traded") > 0),
+        }
+    )
+    return shown(out.withColumn("log_final", F.ln("final")), ["symbol", "strategy", "trades"], [], ["log_final", "growth", "max_drawdown"])
+
+
+_row = lambda name, table, value, trade: f"SELECT symbol, '{name}' AS strategy, bar_ts, {value} AS value, {trade} AS trade, {value} / max({value}) OVER ({SO_FAR}) - 1 AS fall FROM {table}"
+QUERIES["a19_strategies"] = strategies
+SQL["a19_strategies"] = sql(f"""
+, z AS ({_row('trend', 'trail_1wk', 'portfolio', 'first_sell = 1')} UNION ALL {_row('kernel', 'nws_1wk', 'portfolio', 'first_sell = 1')}
+  UNION ALL {_row('tactical', 'tac', 'portfolio', 'traded > 0')} UNION ALL {_row('buy and hold', 'trail_1wk', 'buy_hold', 'false')}),
+y AS (SELECT symbol, strategy, count(*) FILTER (trade) AS trades, arg_max(value, bar_ts) AS final, date_diff('day', min(bar_ts), max(bar_ts)) / 365.25::DOUBLE AS years, min(fall) AS max_drawdown
+  FROM z GROUP BY symbol, strategy)
+SELECT symbol, strategy, trades, {r('ln(final)')} AS log_final, {r('pow(final / 100000, 1 / years) - 1')} AS growth, {r('max_drawdown')} AS max_drawdown FROM y""", "trail_1wk", "nws_1wk", "tac", recursive=True)
+QUERIES["a15_execution_events"] = lambda s, d: performance.execution_events(path(s, d, "trail_1wk"))
+SQL["a15_execution_events"] = sql("""
+SELECT symbol, max(CASE WHEN first_buy = 1 THEN bar_ts END) AS last_buy, max(CASE WHEN first_sell = 1 THEN bar_ts END) AS last_sell,
+  count(*) FILTER (first_buy = 1) AS buys, count(*) FILTER (first_sell = 1) AS sales FROM trail_1wk GROUP BY symbol""", "trail_1wk")
+
+
 def from_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars packed into payloads of parallel arrays, and read from them."""
     b = bars.load(spark, sf_dir, "1wk")
