@@ -99,3 +99,15 @@ def test_guards_within_the_plan(spark):
     with pytest.raises(ValueError, match="close"):
         G.one_to_one(bars, bars, keys)
     assert G.one_to_one(bars.limit(0), right.limit(0), keys).collect() == []
+
+
+def test_first_of_each_keeps_k_before_the_exchange(spark):
+    from tidelane.operators import checks
+
+    x = spark.range(2000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 2003).alias("v"))
+    out = checks.first_of_each(x, ["g"], "v", 5)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    want = {g: sorted((i * 7919) % 2003 for i in range(2000) if i % 3 == g) for g in range(3)}
+    assert {r.g: (r.n, r["first"]) for r in out.collect()} == {g: (len(v), v[:5]) for g, v in want.items()}
+    with pytest.raises(ValueError):
+        checks.first_of_each(x, ["g"], "v", 0)

@@ -36,6 +36,34 @@ def status(bars: DataFrame, least: int = 30) -> DataFrame:
     return out.select("symbol", "n", first.alias("status"))
 
 
+def first_of_each(x: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:
+    """keys -> n, the number of rows, and first, the k least values of order; k is at most 1000.
+
+    Each task keeps k rows of a group before the exchange, so no group is sorted or collected whole.
+    """
+    if not 1 <= k <= 1000:
+        raise ValueError("k is from 1 to 1000")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    few = x.select(*keys, order).withColumn("_place", place).where(F.col("_place") <= k)
+    lists = few.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("first"))
+    return x.groupBy(*keys).agg(F.count("*").alias("n")).join(lists, keys)
+
+
+def first_faults(bars: DataFrame, k: int = 8) -> DataFrame:
+    """symbol, fault -> how many time stamps have it, and the first k of them."""
+    null, low = F.lit(False), F.lit(False)
+    for f in FIELDS:
+        null = null | F.col(f).isNull()
+    for f in PRICES:
+        low = low | (F.col(f) <= 0)
+    at = bars.where(F.col("bar_ts").isNotNull()).groupBy("symbol", "bar_ts").agg(
+        F.count("*").alias("n"), F.count_if(null).alias("nulls"), F.count_if(low).alias("low"), F.count_if(F.col("volume") < 0).alias("neg")
+    )
+    kinds = [(F.col("n") > 1, "DUPLICATE TIMESTAMP"), (F.col("nulls") > 0, "MISSING VALUE"), (F.col("low") > 0, "NON-POSITIVE PRICE"), (F.col("neg") > 0, "NEGATIVE VOLUME")]
+    found = at.select("symbol", "bar_ts", F.explode(F.array_compact(F.array(*[F.when(c, name) for c, name in kinds]))).alias("fault"))
+    return first_of_each(found, ["symbol", "fault"], "bar_ts", k)
+
+
 def valid_only(bars: DataFrame, least: int = 30) -> DataFrame:
     """Bars of the symbols that break no rule."""
     return bars.join(status(bars, least).where("status = 'OK'").select("symbol"), "symbol", "left_semi")

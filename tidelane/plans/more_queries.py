@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from tidelane.operators import checks, kernel, performance, tactical, trend
 from tidelane.plans import kernel_queries as K
 from tidelane.plans.oracle import SO_FAR, W, prior, r, sql
 from tidelane.plans.trend_queries import DAILY, path, shown, shown_sql
-from tidelane.sources import bars, payloads
+from tidelane.sources import bars, cache, payloads
 from tidelane.streaming import bars as stream
 
 QUERIES: dict = {}
@@ -97,6 +100,22 @@ SELECT symbol, max(CASE WHEN first_buy = 1 THEN bar_ts END) AS last_buy, max(CAS
   count(*) FILTER (first_buy = 1) AS buys, count(*) FILTER (first_sell = 1) AS sales FROM trail_1wk GROUP BY symbol""", "trail_1wk")
 
 
+def cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars by way of the request cache: made at the first call of a bucket, read at the second."""
+    kept = cache.RequestCache(spark, f"{stream.scratch_folder(spark)}/requests-{uuid.uuid4().hex}", timedelta(minutes=15))
+    request, now = {"source": sf_dir, "grain": "1d"}, datetime(2024, 1, 1)
+    kept.get(request, now, lambda: bars.load(spark, sf_dir, "1d"))
+
+    def never() -> DataFrame:
+        raise AssertionError("the bucket's result is there")
+
+    return shown(kept.get(request, now + timedelta(minutes=14), never), ["symbol", "bar_ts"], checks.FIELDS)
+
+
+QUERIES["s11_cached_bars"] = cached
+SQL["s11_cached_bars"] = sql(shown_sql("bars_1d", ["symbol", "bar_ts"], checks.FIELDS), "bars_1d")
+
+
 def from_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars packed into payloads of parallel arrays, and read from them."""
     b = bars.load(spark, sf_dir, "1wk")

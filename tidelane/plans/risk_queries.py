@@ -184,6 +184,14 @@ f AS (SELECT symbol, count(*) FILTER (open IS NULL OR adj_close IS NULL) AS null
       count(*) FILTER (volume < 0) AS neg FROM faulty GROUP BY symbol)
 SELECT symbol, n, CASE WHEN most > 1 THEN 'DUPLICATE TIMESTAMP' WHEN nulls > 0 THEN 'MISSING VALUE' WHEN low > 0 THEN 'NON-POSITIVE PRICE'
   WHEN neg > 0 THEN 'NEGATIVE VOLUME' WHEN n < 30 THEN 'TOO FEW OBSERVATIONS' ELSE 'OK' END AS status FROM u JOIN f USING (symbol)""", "faulty")
+for _k in (5, 8, 12):
+    QUERIES[f"o08_first_faults_{_k}"] = lambda s, d, k=_k: checks.first_faults(faulty(s, d), k).select("symbol", "fault", "n", F.concat_ws(",", F.transform("first", lambda t: F.date_format(t, "yyyy-MM-dd"))).alias("first"))
+    SQL[f"o08_first_faults_{_k}"] = sql(f"""
+, t AS (SELECT symbol, bar_ts, count(*) AS n, count(*) FILTER (open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR adj_close IS NULL OR volume IS NULL) AS nulls,
+  count(*) FILTER (least(open, high, low, close, adj_close) <= 0) AS lows, count(*) FILTER (volume < 0) AS neg FROM faulty GROUP BY symbol, bar_ts),
+f AS (SELECT symbol, bar_ts, 'DUPLICATE TIMESTAMP' AS fault FROM t WHERE n > 1 UNION ALL SELECT symbol, bar_ts, 'MISSING VALUE' FROM t WHERE nulls > 0
+  UNION ALL SELECT symbol, bar_ts, 'NON-POSITIVE PRICE' FROM t WHERE lows > 0 UNION ALL SELECT symbol, bar_ts, 'NEGATIVE VOLUME' FROM t WHERE neg > 0)
+SELECT symbol, fault, count(*) AS n, array_to_string(list(strftime(bar_ts, '%Y-%m-%d') ORDER BY bar_ts)[1:{_k}], ',') AS first FROM f GROUP BY symbol, fault""", "faulty")
 _bar = (["symbol", "bar_ts"], ["open", "high", "low", "close", "adj_close", "volume"])
 QUERIES["p01_valid_only"] = lambda s, d: shown(checks.valid_only(faulty(s, d)), *_bar)
 SQL["p01_valid_only"] = sql(shown_sql("faulty WHERE symbol LIKE '5%'", *_bar), "faulty")
