@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelane.functions.windows import by_time, div, flag, frame, prior
@@ -175,6 +175,29 @@ def alerts(x: DataFrame) -> DataFrame:
     return x.select("symbol", "bar_ts", F.explode(raised).alias("alert"), F.col("src").alias("price"), "trend")
 
 
+#: What each alert says of the path: whether it is one of the indicator's own or an early warning, and its state.
+#: The states are fixed values.
+ALERT_STATES = {
+    "BULLISH REVERSAL": ("INDICATOR", "BULLISH"),
+    "BEARISH REVERSAL": ("INDICATOR", "BEARISH"),
+    "ANY REVERSAL": ("INDICATOR", "REVERSAL"),
+    "CROSS ABOVE UPPER BAND": ("INDICATOR", "OVEREXTENSION"),
+    "CROSS BELOW LOWER BAND": ("INDICATOR", "BREAKDOWN"),
+    "MOMENTUM UPWARD WARNING": ("WARNING", "EARLY BULLISH MOMENTUM"),
+    "MOMENTUM DOWNWARD WARNING": ("WARNING", "EARLY BEARISH MOMENTUM"),
+}
+
+
+def alert_tape(x: DataFrame) -> DataFrame:
+    """Each symbol's alerts in order of time, origin and name (place from 1), with the bar's values."""
+    raised = F.array_compact(
+        F.array(*[F.when(F.expr(c), F.struct(F.lit(name).alias("alert"), *[F.lit(v).alias(k) for k, v in zip(("origin", "state"), ALERT_STATES[name])])) for c, name in ALERTS.items()])
+    )
+    values = [F.col("src").alias("price"), "trend", "upper", "lower", "norm_slope", "accel"]
+    out = x.select("symbol", "bar_ts", *values, F.inline(raised))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("symbol").orderBy("bar_ts", "origin", "alert")))
+
+
 def snapshot(x: DataFrame) -> DataFrame:
     """Each symbol's last bar: state, next action and its gates (name, passed)."""
     last = x.groupBy("symbol").agg(F.max_by(F.struct("bar_ts", "src", "trend", "upper", "direction", "held", "enter", "leave", "above_path"), "bar_ts").alias("s"))

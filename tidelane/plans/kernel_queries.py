@@ -114,6 +114,15 @@ _alerts_sql = ", a AS (" + " UNION ALL ".join(
     f"SELECT symbol, bar_ts, '{v}' AS alert, src AS price, trend FROM nw_1wk WHERE {k}" for k, v in kernel.ALERTS.items()
 ) + ") "
 SQL["l04_alerts"] = sql(_alerts_sql + shown_sql("a", *_al), "nw_1wk")
+_tape = (["symbol", "bar_ts", "place", "alert", "origin", "state"], ["price", "trend", "upper", "lower"], ["norm_slope", "accel"])
+QUERIES["l04_alert_tape"] = lambda s, d: shown(kernel.alert_tape(indicator(s, d)), *_tape)
+SQL["l04_alert_tape"] = sql(
+    ", a AS (" + " UNION ALL ".join(
+        f"SELECT symbol, bar_ts, '{v}' AS alert, '{kernel.ALERT_STATES[v][0]}' AS origin, '{kernel.ALERT_STATES[v][1]}' AS state, src AS price, trend, upper, lower, norm_slope, accel FROM nw_1wk WHERE {k}"
+        for k, v in kernel.ALERTS.items()
+    ) + "), z AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY bar_ts, origin, alert))::INT AS place FROM a) " + shown_sql("z", *_tape),
+    "nw_1wk",
+)
 QUERIES["o04_newest_alerts"] = lambda s, d: shown(
     kernel.alerts(indicator(s, d)).orderBy(F.desc("bar_ts"), "symbol", "alert").limit(40), *_al
 )
