@@ -149,6 +149,21 @@ def give_back() -> None:
         pass  # a C library without it
 
 
+def freed(run):
+    """run, a function over a task's batches; what it has freed goes back to the system when the task ends.
+
+    The workers of an executor stay, idle or not, and share its memory with tasks that have none of their own.
+    """
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def word_codes(texts):
     """Words of an Arrow string array (null: none): codes, the distinct words, words per text.
 

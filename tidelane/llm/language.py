@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidelane.llm._shared import ship, slices, table
+from tidelane.llm._shared import freed, ship, slices, table
 
 DIMS, CLUSTERS = 1 << 13, 4
 SAMPLE, MOST_SAMPLED = 400, 4000
@@ -231,7 +231,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
                     )
 
     kind = StructType([*docs.schema]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return docs.mapInArrow(run, kind)
+    return docs.mapInArrow(freed(run), kind)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.llm._shared import Scratch, ship, slices, table, word_codes
+from tidelane.llm._shared import Scratch, freed, ship, slices, table, word_codes
 from tidelane.llm.components import stars
 
 BINS, BAND = 128, 4
@@ -123,7 +123,7 @@ def _features(size: int):
                     }
                 )
 
-    return run
+    return freed(run)
 
 
 def _bands(bins: int, band: int):
@@ -142,7 +142,7 @@ def _bands(bins: int, band: int):
                 }
             )
 
-    return run
+    return freed(run)
 
 
 def _alike(size: int, percent: int):
@@ -167,7 +167,7 @@ def _alike(size: int, percent: int):
                     hits[i + k] = 100 * both >= percent * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(hits))
 
-    return run
+    return freed(run)
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -246,7 +246,7 @@ def _hopeful(bins: int, band: int, least: float, percent: int):
                 kept = group.filter(pa.array(hit)).select(["cell", "side", "rep", "comp"])
                 yield from kept.combine_chunks().to_batches()
 
-    return run
+    return freed(run)
 
 
 def _exact(size: int, percent: int):
@@ -257,16 +257,16 @@ def _exact(size: int, percent: int):
             left, right, ok = _sides(group)
             h, counts = shingle_sets(group.column("text").combine_chunks(), size)
             row = np.repeat(np.arange(len(counts)), counts)
-            # Only shingles of several rows matter; they are taken some thousands at a time.
+            # Only shingles of several rows matter; they are taken a thousand at a time.
             _, place, often = np.unique(h, return_inverse=True, return_counts=True)
             shared = often > 1
             place, row = (np.cumsum(shared) - 1)[place[shared[place]]], row[shared[place]]
             both = np.zeros((len(left), len(right)), np.float32)
             order = np.argsort(place, kind="stable")
             place, row = place[order], row[order]
-            for start in range(0, int(shared.sum()), 4096):
-                i, j = np.searchsorted(place, [start, start + 4096])
-                m = np.zeros((len(counts), 4096), np.float32)
+            for start in range(0, int(shared.sum()), 1024):
+                i, j = np.searchsorted(place, [start, start + 1024])
+                m = np.zeros((len(counts), 1024), np.float32)
                 m[row[i:j], place[i:j] - start] = 1
                 both += m[left] @ m[right].T
             both = both.astype(np.int64)
@@ -277,7 +277,7 @@ def _exact(size: int, percent: int):
                 links = forest(rep[left[x]], rep[right[y]])
                 yield pa.RecordBatch.from_pydict({"a": [u for u, _ in links], "b": [v for _, v in links]}, _LINKS)
 
-    return run
+    return freed(run)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:

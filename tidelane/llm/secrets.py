@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.llm._shared import Scratch, ship, table
+from tidelane.llm._shared import Scratch, freed, ship, table
 
 #: Changes whenever a rule does: contents are then scanned anew.
 RULES = "2024-1"
@@ -99,7 +99,7 @@ def scan_versions(versions: DataFrame, ledger_path: str, rules: str = RULES) ->
     seen = ledger(spark, ledger_path)
     if seen is not None:
         blobs = blobs.join(seen.where(F.col("rules") == rules).select("blob"), "blob", "left_anti")
-    new = blobs.mapInArrow(_scan, f"blob binary, {_FOUND}").withColumn("rules", F.lit(rules))
+    new = blobs.mapInArrow(freed(_scan), f"blob binary, {_FOUND}").withColumn("rules", F.lit(rules))
     new.select("blob", "rules", *[f.split()[0] for f in _FOUND.split(", ")]).write.mode("append").parquet(ledger_path)
     # Runs at the same time may both have committed a pair; a pair counts once.
     known = ledger(spark, ledger_path).where(F.col("rules") == rules).drop("rules").dropDuplicates(["blob"])

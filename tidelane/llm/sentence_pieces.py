@@ -441,8 +441,9 @@ def encoded(docs: DataFrame, model: str, n_best: int = 1, decode: bool = False)
         try:
             yield from work(batches)
         finally:
-            # The model stays for the worker's next task; most units are of one text and go.
+            # The model stays for the worker's next task; units and their lists go.
             pieces(model).units.forget()
+            pieces(model).lists.forget()
             give_back()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
