@@ -190,15 +190,18 @@ def summaries(path: DataFrame, edges: list[Column], whipsaw: int = 10) -> DataFr
     return fields.groupBy("symbol", "candidate", "n").agg(F.array_sort(F.collect_list(one)).alias("stretches"))
 
 
-def segments(path: DataFrame, parts: Callable[[Column], list[Part]], whipsaw: int = 10) -> DataFrame:
+def segments(path: DataFrame, parts: Callable[[Column], list[Part]] | list[tuple[str, float, float]], whipsaw: int = 10) -> DataFrame:
     """path (symbol, candidate, ...) -> measures of each part that parts(n) names for a history of n bars.
 
-    Parts may overlap: they are merged from the summaries of the stretches between all their edges. A part under
-    three bars has no measures and no trades; a history under 180 bars has no parts. Bars per year follow from the
-    part's mean distance of bars: 252 up to 2 days, 52 up to 10, else 12. Measures are rounded to 9 digits, so that
-    candidates with equal paths tie in whatever order their sums were made.
+    Parts may also be given as shares of the bars (name, from, to). They may overlap: they are merged from the
+    summaries of the stretches between all their edges. A part under three bars has no measures and no trades; a
+    history under 180 bars has no parts. Bars per year follow from the part's mean distance of bars: 252 up to 2
+    days, 52 up to 10, else 12. Measures are rounded to 9 digits, so that candidates with equal paths tie in
+    whatever order their sums were made.
     """
-    named = parts(F.col("n"))
+    n = F.col("n")
+    share = lambda v: n if v == 1 else F.floor(n * v)
+    named = parts(n) if callable(parts) else [(name, share(a), share(b)) for name, a, b in parts]
     x = summaries(path, [e for _, a, b in named for e in (a, b)], whipsaw).where(F.col("n") >= LEAST_HISTORY)
     none = F.from_json(F.lit('{"n": 0}'), _SUMMARY)
 
@@ -218,7 +221,7 @@ def segments(path: DataFrame, parts: Callable[[Column], list[Part]], whipsaw: in
     yearly = F.when(s("r.n") > 0, s("r.mean") * per_year)
     enough = s("n") >= LEAST_PART
     known = lambda c, name: F.when(enough, F.round(c, 9)).alias(name)
-    share = lambda k: F.when(s("closed") > 0, s(k) / s("closed"))
+    of_closed = lambda k: F.when(s("closed") > 0, s(k) / s("closed"))
     return x.select(
         "symbol",
         "candidate",
@@ -232,8 +235,8 @@ def segments(path: DataFrame, parts: Callable[[Column], list[Part]], whipsaw: in
         known(yearly / F.when(spread("r") > 1e-12, spread("r")), "sharpe"),
         known(yearly / F.when(spread("down") > 1e-12, spread("down")), "sortino"),
         known(growth / F.when(s("fall") < 0, F.abs(s("fall"))), "calmar"),
-        known(share("wins"), "wins"),
-        known(share("whipsaws"), "whipsaws"),
+        known(of_closed("wins"), "wins"),
+        known(of_closed("whipsaws"), "whipsaws"),
         known(s("held") / s("n"), "exposure"),
         F.when(enough, s("closed")).otherwise(0).alias("trades"),
     )
