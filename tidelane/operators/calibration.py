@@ -41,6 +41,9 @@ def paths(bars: DataFrame, depth: str = "focused") -> DataFrame:
     x = lifecycle.indicator(x, lengths={"fast": F.col("fast"), "slow": F.col("slow"), "signal": F.col("signal_n")})
     numbered = candidates.withColumnRenamed("candidate", "number")
     x = x.join(F.broadcast(numbered), lengths).withColumn("symbol", F.concat_ws("|", "number", "name"))
+    # All that the lifecycle asks for: every column of its input goes through its map.
+    asked = ["adj_open", "px", "atr", "swing_break", "buy_score", "sell_score", "recent_bull", "recent_bear"]
+    x = x.select("symbol", "bar_ts", "name", "number", "buy", "sell", *asked)
     watch = F.least(F.lit(35.0), F.col("sell") - 20.0)
     reduce = F.least(F.greatest(F.lit(50.0), watch), F.col("sell") - 10.0)
     x = lifecycle.lifecycle(x, levels={"buy": F.col("buy"), "watch": watch, "reduce": reduce, "sell": F.col("sell")})
