@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidelane.functions.windows import div, flag, frame, full, prior
+from tidelane.functions.windows import div, flag, frame, full, prior, sign
 from tidelane.sources.bars import adjusted
 
 
@@ -152,7 +152,6 @@ def scored(x: DataFrame, context: DataFrame | None = None, c: Lab = Lab()) -> Da
 
     context (symbol, bar_ts, direction, momentum_up, momentum_down, drift_z) adds its parts.
     """
-    sign = lambda of: F.coalesce(F.signum(of), F.lit(0.0))
     score = 15.0 * sign(F.col("px") - F.col("vwap")) + 15.0 * F.col("or_position")
     score = score + F.when(F.col("climax"), 10.0 * sign(F.col("bar_ret"))).otherwise(0.0)
     parts = F.col("vwap").isNotNull().cast("int") + F.col("or_final").cast("int") + F.col("slot_ratio").isNotNull().cast("int")

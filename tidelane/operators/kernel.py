@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelane.functions.windows import by_time, div, flag, frame, prior
+from tidelane.functions.windows import by_time, div, flag, frame, prior, sign
 from tidelane.operators.trend import all_in_all_out
 from tidelane.sources.bars import adjusted
 
@@ -106,7 +106,7 @@ def indicator(bars: DataFrame, c: Kernel = Kernel()) -> DataFrame:
     )
     x = x.withColumns(
         {
-            "direction": F.coalesce(F.signum("slope").cast("int"), F.lit(0)),
+            "direction": sign(F.col("slope")).cast("int"),
             "norm_slope": div(F.col("slope"), prior("trend")),
         }
     )
