@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidelane.functions.windows import div, flag, frame, full, prior, sign
+from tidelane.functions.windows import div, flag, frame, full, prior, ratio, sign
 from tidelane.sources.bars import adjusted
 
 
@@ -133,7 +133,7 @@ def analytics(bars: DataFrame, s: Session = Session(), c: Lab = Lab()) -> DataFr
     px, same = F.col("px"), F.col("same_session")
     x = x.withColumns(
         {
-            "or_width": div(F.col("or_high"), F.col("or_low")) - 1,
+            "or_width": ratio(F.col("or_high"), F.col("or_low")) - 1,
             "climax": flag(F.col("slot_ratio") >= c.climax),
             "vwap_gap": px / F.col("vwap") - 1,
             "vwap_gap_atr": div(px - F.col("vwap"), F.col("atr")),
