@@ -14,6 +14,7 @@ CHECKED = [
     "w59_confirmation",
     "l09_intraday_gates",
     "w50_final_sessions_day",
+    "w50_final_sessions_night",
 ]
 #: symbol, day, quarter of an hour, and which of a bar's events are 0.
 ZEROS = [
