@@ -15,6 +15,7 @@ CHECKED = [
     "l09_intraday_gates",
     "w50_final_sessions_day",
     "w50_final_sessions_night",
+    "w50_sessions_day",
 ]
 #: symbol, day, quarter of an hour, and which of a bar's events are 0.
 ZEROS = [

@@ -122,8 +122,8 @@ def analytics(bars: DataFrame, s: Session = Session(), c: Lab = Lab()) -> DataFr
             "or_high": inside(F.max(F.when(early, F.col("adj_high"))).over(until_now)),
             "or_low": inside(F.min(F.when(early, F.col("adj_low"))).over(until_now)),
             "or_final": flag(F.col("session_bar") >= c.opening_bars),
-            "session_gap": div(F.col("session_open"), F.col("prior_close")) - 1,
-            "session_ret": F.col("px") / F.col("session_open") - 1,
+            "session_gap": ratio(F.col("session_open"), F.col("prior_close")) - 1,
+            "session_ret": ratio(F.col("px"), F.col("session_open")) - 1,
         }
     )
     slot = Window.partitionBy("symbol", "session_bar").orderBy("session_date").rowsBetween(-c.slot_sessions, -1)
