@@ -17,6 +17,7 @@ CHECKED = [
     "w50_final_sessions_night",
     "w50_sessions_day",
     "w50_sessions_night",
+    "w53_opening_range_day",
 ]
 #: symbol, day, quarter of an hour, and which of a bar's events are 0.
 ZEROS = [
