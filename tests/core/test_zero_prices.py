@@ -19,6 +19,7 @@ CHECKED = [
     "w50_sessions_night",
     "w53_opening_range_day",
     "w53_opening_range_night",
+    "w54_slot_volume_day",
 ]
 #: symbol, day, quarter of an hour, and which of a bar's events are 0.
 ZEROS = [

@@ -136,7 +136,7 @@ def analytics(bars: DataFrame, s: Session = Session(), c: Lab = Lab()) -> DataFr
             "or_width": ratio(F.col("or_high"), F.col("or_low")) - 1,
             "climax": flag(F.col("slot_ratio") >= c.climax),
             "vwap_gap": px / F.col("vwap") - 1,
-            "vwap_gap_atr": div(px - F.col("vwap"), F.col("atr")),
+            "vwap_gap_atr": ratio(px - F.col("vwap"), F.col("atr")),
             "or_up": flag(same & F.col("or_final") & (px > F.col("or_high")) & (prior("px") <= prior("or_high"))),
             "or_down": flag(same & F.col("or_final") & (px < F.col("or_low")) & (prior("px") >= prior("or_low"))),
             "vwap_up": flag(same & (px > F.col("vwap")) & (prior("px") <= prior("vwap"))),
