@@ -20,6 +20,7 @@ CHECKED = [
     "w53_opening_range_day",
     "w53_opening_range_night",
     "w54_slot_volume_day",
+    "w54_slot_volume_night",
 ]
 #: symbol, day, quarter of an hour, and which of a bar's events are 0.
 ZEROS = [
