@@ -102,9 +102,10 @@ def analytics(bars: DataFrame, s: Session = Session(), c: Lab = Lab()) -> DataFr
             "real_vol": full(F.stddev_samp("log_ret"), "log_ret", c.vol_bars, frame(-(c.vol_bars - 1))) * (s.days * s.bars) ** 0.5,
         }
     )
-    # A session's first and last price, and the last price of the session before: one row a session.
+    # A session's first and last known price, and the last price of the session before: one row a session.
+    known = lambda price: F.when(F.col(price).isNotNull(), F.col("bar_ts"))
     sessions = x.where("in_session").groupBy("symbol", "session_date").agg(
-        F.min_by("adj_open", "bar_ts").alias("session_open"), F.max_by("px", "bar_ts").alias("_close")
+        F.min_by("adj_open", known("adj_open")).alias("session_open"), F.max_by("px", known("px")).alias("_close")
     )
     days = Window.partitionBy("symbol").orderBy("session_date")
     sessions = sessions.withColumn("prior_close", F.lag("_close").over(days)).drop("_close")
