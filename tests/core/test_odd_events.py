@@ -14,6 +14,7 @@ CHECKED = [
     "w50_sessions_night",
     "w53_opening_range_day",
     "w53_opening_range_night",
+    "w54_slot_volume_night",
 ]
 
 
@@ -36,6 +37,9 @@ def tables(spark, tmp_path_factory):
                 times[0] = None
             if symbol == "c" and (day, place) in ((2, 40), (3, 20)):
                 values = [-v for v in values]
+            if symbol == "c" and (day, place) == (3, 72):
+                # A mean price of 0.
+                values = [5.0, -2.5, -2.5]
             if symbol == "d" and (day, place) in ((2, 33), (3, 73)):
                 values[1] = -0.0
             rows += [(len(rows) + k, at, 1, symbol, v, "{}") for k, (at, v) in enumerate(zip(times, values))]

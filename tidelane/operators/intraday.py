@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidelane.functions.windows import div, flag, frame, full, prior, ratio, sign
+from tidelane.functions.windows import div, flag, frame, full, log, prior, ratio, sign
 from tidelane.sources.bars import adjusted
 
 
@@ -91,7 +91,7 @@ def analytics(bars: DataFrame, s: Session = Session(), c: Lab = Lab()) -> DataFr
             "true_range": F.greatest(
                 F.col("adj_high") - F.col("adj_low"), F.abs(F.col("adj_high") - prior("px")), F.abs(F.col("adj_low") - prior("px"))
             ),
-            "log_ret": F.ln(F.col("px") / prior("px")),
+            "log_ret": log(F.col("px") / prior("px")),
             "bar_ret": F.col("px") / prior("px") - 1,
             "same_session": flag(F.col("session_date") == prior("session_date")),
         }
@@ -136,7 +136,7 @@ def analytics(bars: DataFrame, s: Session = Session(), c: Lab = Lab()) -> DataFr
         {
             "or_width": ratio(F.col("or_high"), F.col("or_low")) - 1,
             "climax": flag(F.col("slot_ratio") >= c.climax),
-            "vwap_gap": px / F.col("vwap") - 1,
+            "vwap_gap": ratio(px, F.col("vwap")) - 1,
             "vwap_gap_atr": ratio(px - F.col("vwap"), F.col("atr")),
             "or_up": flag(same & F.col("or_final") & (px > F.col("or_high")) & (prior("px") <= prior("or_high"))),
             "or_down": flag(same & F.col("or_final") & (px < F.col("or_low")) & (prior("px") >= prior("or_low"))),
